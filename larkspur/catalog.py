@@ -1,0 +1,10 @@
+"""All queries of the engine by name, and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+QUERIES: dict = {
+    "spl_stats_count_by": lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("count")),
+}
+ORACLE_SQL: dict[str, str] = {"spl_stats_count_by": "SELECT event_type, count(*) AS count FROM events GROUP BY 1"}
