@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import topk, toxicity
+from larkspur.llm import sharding, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
@@ -14,6 +14,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(folder, index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", sharding.text_size("text").alias("size"), sharding.text_key("text", "doc_id").alias("key"), sharding.text_crc32("text").alias("text_crc32")
+    )
+    placed = sharding.shard(docs, shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -34,5 +59,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {"op8_exact_topk": op8_exact_topk, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op8_exact_topk": OP8_SQL}
+QUERIES = {"op2_warc": op2_warc, "op4_sharding": op4_sharding, "op8_exact_topk": op8_exact_topk, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_exact_topk": OP8_SQL}
