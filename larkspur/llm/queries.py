@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import sharding, topk, toxicity, warc
+from larkspur.llm import mixing, sharding, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
@@ -39,6 +39,43 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Target weights of sources by name; the others weigh 1 each.
+WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), WEIGHTS, seed=17)
+
+
+OP6_SQL = """
+WITH s AS (
+  SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes,
+         CASE source WHEN 'src0' THEN 2.0::DOUBLE WHEN 'src1' THEN 3.0::DOUBLE WHEN 'src2' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM documents GROUP BY source
+), r AS (
+  SELECT source, CASE WHEN bytes = 0 THEN 1.0::DOUBLE ELSE
+    round(weight / (SELECT sum(weight) FROM s) * (SELECT CAST(sum(bytes) AS DOUBLE) FROM s) / bytes, 9) END AS rate FROM s
+), n AS (
+  SELECT source, rate, greatest(1, ceil(rate / 32))::INT AS draws FROM r
+), steps AS (
+  SELECT source, draws, rate / draws AS mean, unnest(range(0, CAST(ceil(rate / draws + 12 * sqrt(rate / draws) + 24) AS BIGINT) + 1)) AS i FROM n
+), pmf AS (
+  SELECT source, draws, i, exp(-mean + i * CASE WHEN mean > 0 THEN ln(mean) ELSE 0 END - lgamma(i + 1)) AS p FROM steps
+), cdf AS (
+  SELECT source, draws, i, sum(p) OVER (PARTITION BY source ORDER BY i) AS c FROM pmf
+), u AS (
+  SELECT d.doc_id, d.text, d.source, j, CAST('0x' || substr(md5('17:' || d.doc_id || ':' || md5(coalesce(d.text, '')) || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN n ON d.source IS NOT DISTINCT FROM n.source, range(1, n.draws + 1) AS t(j)
+), k AS (
+  SELECT u.doc_id, u.text, u.source, u.j, count(*) FILTER (cdf.c <= u.u) AS n FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY ALL
+), c AS (
+  SELECT doc_id, text, source, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL
+)
+SELECT doc_id, text, source, CAST(replica AS INTEGER) AS replica, md5('18:' || doc_id || ':' || replica) AS shuffle_key
+FROM c, range(0, c.n) AS t(replica)
+"""
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -59,5 +96,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_sharding": op4_sharding, "op8_exact_topk": op8_exact_topk, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_exact_topk": OP8_SQL}
+QUERIES = {"op2_warc": op2_warc, "op4_sharding": op4_sharding, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL}
