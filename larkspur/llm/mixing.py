@@ -21,6 +21,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larkspur.llm.common import written
+
 #: Sources up to which rates are broadcast.
 MANY = 10_000
 SALTS = 64
@@ -39,14 +41,10 @@ def rates(docs: DataFrame, weights: Mapping[str, float], other: float) -> DataFr
     weight = F.lit(float(other))
     for name, w in weights.items():
         weight = F.when(F.col("_source") == name, F.lit(float(w))).otherwise(weight)
-    per = per.withColumn("weight", weight)
-    total = per.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weights"))
-    per = per.join(F.broadcast(total))  # one row
-    rate = (
-        F.when(F.col("weight") <= 0, 0.0)
-        .when(F.col("bytes") == 0, 1.0)
-        .otherwise(F.round(F.col("weight") / F.col("all_weights") * F.col("all_bytes") / F.col("bytes"), 9))
-    )
+    per = written(per.withColumn("weight", weight), "mix-sources")
+    total = per.agg(F.sum("bytes").alias("bytes"), F.sum("weight").alias("weights")).first()
+    all_bytes, all_weights = F.lit(total.bytes or 0), F.lit(total.weights or 1.0)
+    rate = F.when(F.col("weight") <= 0, 0.0).when(F.col("bytes") == 0, 1.0).otherwise(F.round(F.col("weight") / all_weights * all_bytes / F.col("bytes"), 9))
     per = per.withColumn("rate", rate)
     # p(0) = exp(-rate), p(i) = p(i - 1) * rate / i; a rate over CHUNK is a sum of independent draws of at most CHUNK
     per = per.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / CHUNK)).cast("int")).withColumn("mean", F.col("rate") / F.col("draws"))

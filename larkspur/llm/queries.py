@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import mixing, sharding, topk, toxicity, warc
+from larkspur.llm import licenses, mixing, sharding, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
@@ -39,6 +39,39 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+_TEMPLATE_ROWS = ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}', '{label}')" for t, label in licenses.TEMPLATES.items())
+_PHRASE_ROWS = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""
+WITH w AS (
+  SELECT doc_id, text, {_SQL_WORDS.format("text")} AS w FROM documents
+), phrases AS (
+  SELECT string_split(p, ' ') AS p, label FROM (VALUES {_PHRASE_ROWS}) AS t(p, label)
+), places AS (
+  SELECT doc_id, label, unnest([i - 1 FOR i IN range(1, len(w) + 1) IF w[i:i + len(p) - 1] = p]) AS place
+  FROM w, phrases WHERE list_contains(w, p[1])
+), base AS (
+  SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), templates AS (
+  SELECT list_distinct({_SQL_WORDS.format("t")}) AS t, label FROM (VALUES {_TEMPLATE_ROWS}) AS x(t, label)
+), lines AS (
+  SELECT doc_id, list_distinct({_SQL_WORDS.format("line")}) AS b FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+), met AS (
+  SELECT doc_id, label, len(list_intersect(b, t)) AS n, len(t) AS of FROM lines, templates WHERE len(list_intersect(b, t)) >= ceil(0.8 * len(t) - 1e-9)
+), more AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(n / of) AS best FROM met GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  CAST(CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
 #: Target weights of sources by name; the others weigh 1 each.
 WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
 
@@ -96,5 +129,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_sharding": op4_sharding, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL}
+QUERIES = {"op2_warc": op2_warc, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL}
