@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import licenses, mixing, sharding, topk, toxicity, warc
+from larkspur.llm import licenses, mixing, sharding, substrings, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+), firsts AS (
+  SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE doc_id > first), range(0, 50) AS t(k)
+), words AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -129,5 +153,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL}
+QUERIES = {"op2_warc": op2_warc, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL}
