@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import licenses, mixing, sharding, substrings, topk, toxicity, warc
+from larkspur.llm import licenses, mixing, ngram_join, sharding, substrings, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
@@ -55,6 +55,30 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM met JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM d UNION SELECT b, r FROM reach JOIN links ON a = reach.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", sharding.text_size("text").alias("size"), sharding.text_key("text", "doc_id").alias("key"), sharding.text_crc32("text").alias("text_crc32")
@@ -153,5 +177,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL}
+QUERIES = {"op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL}
