@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import licenses, mixing, ngram_join, sharding, substrings, topk, toxicity, warc
+from larkspur.llm import decontaminate, licenses, mixing, ngram_join, sharding, substrings, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
@@ -38,6 +38,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
+), a AS (
+  SELECT kind, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END AS a FROM w
+), s AS (
+  SELECT kind, id, len(a) AS n, unnest(a) AS s, unnest(range(len(a))) AS p FROM a
+), items AS (
+  SELECT id AS item_id, s, any_value(n) AS m, count(*) AS c FROM s WHERE kind = 1 GROUP BY ALL
+), starts AS (
+  SELECT DISTINCT s.id AS doc_id, item_id, m, n, greatest(least(p, n - m), 0) AS start FROM s JOIN items USING (s) WHERE kind = 0
+), counted AS (
+  SELECT doc_id, item_id, start, m, starts.n, s.s, count(*) AS c FROM starts JOIN s ON s.kind = 0 AND s.id = doc_id AND p >= start AND p < start + m GROUP BY ALL
+), shared AS (
+  SELECT doc_id, item_id, start, any_value(counted.m) AS m, any_value(n) AS n, sum(least(counted.c, items.c)) AS shared
+  FROM counted JOIN items USING (item_id, s) GROUP BY ALL
+)
+SELECT doc_id, item_id, round(max(shared / (m + least(m, n) - shared)), 6) AS similarity
+FROM shared GROUP BY ALL HAVING max(shared / (m + least(m, n) - shared)) >= 0.8
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(folder, index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -177,5 +206,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL}
