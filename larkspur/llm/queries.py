@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import decontaminate, licenses, mixing, ngram_join, sharding, substrings, topk, toxicity, warc
+from larkspur.llm import decontaminate, licenses, line_templates, mixing, ngram_join, sharding, substrings, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
@@ -186,6 +186,41 @@ FROM c, range(0, c.n) AS t(replica)
 """
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL
+), split AS (
+  SELECT doc_id, md5(text) AS h, line, string_split(trim(regexp_replace(regexp_replace(body, '[^ \t\r\x0b\f]*[0-9][^ \t\r\x0b\f]*', '<*>', 'g'), '[ \t\r\x0b\f]+', ' ', 'g')), ' ') AS t FROM lines
+), leaves AS (
+  SELECT *, [CAST(len(t) AS VARCHAR), t[1], t[2], t[3]] AS leaf FROM split WHERE t[1] <> ''
+), frequent AS (
+  SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT h) >= 8
+), single AS (
+  SELECT doc_id, h, line, leaf, len(t) AS size, unnest(t) AS token, unnest(range(len(t))) AS p FROM leaves SEMI JOIN frequent USING (leaf)
+), constant AS (
+  SELECT leaf, p, token FROM single WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT h) >= 8
+), fixed AS (
+  SELECT doc_id, h, line, leaf, size, list({'p': p, 'token': token} ORDER BY p) AS template FROM single JOIN constant USING (leaf, p, token) GROUP BY ALL HAVING 2 * count(*) >= size
+), again AS (
+  SELECT leaf, template FROM fixed GROUP BY ALL HAVING count(DISTINCT h) >= 8
+), dropped AS (
+  SELECT DISTINCT doc_id, line FROM fixed SEMI JOIN again USING (leaf, template)
+), kept AS (
+  SELECT doc_id, string_agg(body, chr(10) ORDER BY line) AS kept FROM lines ANTI JOIN dropped USING (doc_id, line) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(*) AS n FROM dropped GROUP BY doc_id
+)
+SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -206,5 +241,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op7_line_templates": op7_line_templates, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op7_line_templates": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL}
