@@ -283,3 +283,13 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
 
     out = sets.join(classes, ["s1", "s2", "n"], "left").join(found, "rep", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each component; of rows with that doc_id one stays.
+
+    Documents without words link with nothing and stay, as do rows without doc_id.
+    """
+    kept = join(docs, k, share).where("doc_id = component_id").select("doc_id").distinct()
+    with_id = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
