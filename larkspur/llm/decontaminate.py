@@ -96,7 +96,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     if few:
         known = sorted({r.s for r in wanted.collect()})
         places = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).isin(known))
-        held = rows.where((F.size("all") > 0) & F.exists("all", lambda s: s.isin(known))) if known else rows.where("false")
+        held = rows.where(F.exists("all", lambda s: s.isin(known))) if known else rows.where("false")
         held = held.select("doc_id", "_hash", "all", F.explode(places).alias("p"))
         starts = held.withColumn("s", F.get("all", "p")).join(F.broadcast(wanted), "s")
     else:
