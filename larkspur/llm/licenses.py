@@ -57,8 +57,13 @@ MAX_WORDS = 20_000
 
 
 def lower(text: Column) -> Column:
-    """A to Z only, as the words' rule asks."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A to Z, as the words' rule asks; letters beyond ASCII too, which makes no word begin or end elsewhere.
+
+    Two letters would turn into ASCII ones (the Kelvin sign and the dotted capital I); texts with them are translated
+    letter by letter.
+    """
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
 
 
 def spaced(text: Column) -> Column:
@@ -100,15 +105,16 @@ def phrases(docs: DataFrame, table: Mapping[str, str]) -> DataFrame:
     """
     plain = F.col("_plain")
     padded = F.concat(F.lit(" "), plain, F.lit(" "))
-    df = docs.withColumn("_plain", spaced(F.col("text")))
+    # a generator of one row: what it makes is not computed again in each expression that uses it
+    df = docs.select("*", F.explode(F.array(spaced(F.col("text")))).alias("_plain"))
     n_words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
     df = df.withColumn("n_words", n_words.cast("long"))
     hit = F.lit(False)
     for phrase in table:
         hit = hit | F.contains(padded, F.lit(f" {phrase} "))
-    split = F.split(plain, " ")
-    none = F.array().cast("array<int>")
-    df = df.withColumn("_places", F.when(hit, F.flatten(F.array(*[starts(split, p) for p in table]))).otherwise(none))
+    # the words are the lambda's variable, so they are taken apart once a text
+    places = F.element_at(F.transform(F.array(F.split(plain, " ")), lambda w: F.flatten(F.array(*[starts(w, p) for p in table]))), 1)
+    df = df.withColumn("_places", F.when(hit, places).otherwise(F.array().cast("array<int>")))
     labels = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(label)) for p, label in table.items()]))
     return (
         df.withColumn("n_base", F.size("_places").cast("long"))
