@@ -194,10 +194,12 @@ def write_archive(pages: DataFrame, folder: str | None = None, revisit_from: int
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def read_archive(folder: str, index: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_archive(folder: str, index: DataFrame, with_payload: bool = True, frames_per_task: int = 16) -> DataFrame:
     """All records of the bundles that the index names, frame by frame; a response whose payload fails its digest raises."""
-    # about the frames that one task has written go to one task
-    frames = index.select("bundle", "frame").distinct().repartition(F.xxhash64("bundle", (F.col("frame") / 16).cast("int")))
+    # frames_per_task frames go to a task, neighbours of a bundle together; a given number is not coalesced for its few bytes
+    frames = written(index.select("bundle", "frame").distinct(), "warc-frames")
+    tasks = max(1, -(-frames.count() // frames_per_task))
+    frames = frames.repartition(tasks, "bundle", (F.col("frame") / frames_per_task).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
