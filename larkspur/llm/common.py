@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +48,28 @@ def remove(df_or_path: DataFrame | str, spark: SparkSession) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done.
+
+    It does so when the driver collects its garbage, by itself every half hour; steps of many shuffles need it sooner.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bits_of(numbers: DataFrame, column: str, width: int) -> np.ndarray:
+    """Packed bits, one set for each number in ``column`` (0 to 2**width - 1). What reaches the driver is bounded by the
+    width: parts of 4 KB, of 32768 bits each."""
+    n = F.col(column).cast("long") + 1  # Spark numbers parts from 1 and the places in them from 0
+    part, place = F.call_function("bitmap_bucket_number", n), F.call_function("bitmap_bit_position", n)
+    rows = numbers.select(part.alias("part"), place.alias("place")).groupBy("part").agg(F.call_function("bitmap_construct_agg", F.col("place")).alias("bits")).toArrow()
+    out = np.zeros(max(1 << width, 1 << 15) // 8, np.uint8)
+    for part, bits in zip(rows["part"].to_pylist(), rows["bits"].to_pylist()):
+        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def bit(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1

@@ -5,12 +5,16 @@ windows have equal anchors, and neighbouring windows mostly share one.
 
 1. Count-min: each task counts, per document once, the cells of the anchors it sees; the sketches of all tasks are added
    up. A cell's count is never below the number of documents that hold one of its windows.
-2. Windows whose cell counts 2 or more, and no others, are grouped exactly, by 128 bits of their words; the smallest
-   doc_id of each group is joined back, and windows of larger ones mark their words.
+2. Blocks: neighbouring windows with one anchor, of cells that count 2 or more and no others, are one block, grouped
+   exactly by 128 bits of all its words. Blocks that a smaller doc_id holds too mark their words.
+3. Windows: an anchor with a single block is settled so, as its windows are in no other block. Windows of anchors with
+   different blocks (at edits and at the ends of passages) are grouped exactly one by one, by 128 bits of their words;
+   the smallest doc_id of each is joined back, and windows of larger ones mark their words.
 
-What is broadcast is one bit a cell, ``max_cells`` at most (2**28, 32 MB); a fuller sketch lets more windows through to
-the exact grouping and loses none. Equal windows are summed up in each task before the shuffle, and the join back is
-one that adaptive execution splits where a window is in very many documents.
+What is broadcast is one bit a cell, ``max_cells`` at most (2**28, 32 MB), twice; a fuller sketch lets more windows
+through to the exact grouping and loses none. Equal blocks and windows are summed up in each task before the shuffle,
+and joins back are ones that adaptive execution splits where a window is in very many documents. Texts without a mark
+are not shuffled.
 
 Defined cases: a null or empty text has no words and stays as it is with kept_text empty; a null doc_id is neither
 larger nor smaller, so such rows are kept whole; rows with the same doc_id do not cover each other; a text shorter than
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from larkspur.llm import textops as tx
-from larkspur.llm.common import written
+from larkspur.llm.common import bit, bits_of, release, remove, written
 
 WINDOW, GRAM = 50, 16
 #: Bits of a place that hold the window's first word; those above tell texts with the same doc_id apart.
@@ -56,64 +60,85 @@ def anchors(w: tx.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return row, start, lowest[(np.cumsum(n) - n)[row] + start]
 
 
-def repeated_cells(docs: DataFrame, cells: int, window: int, gram: int) -> np.ndarray:
+def _cells(anchor: np.ndarray, cells: int) -> np.ndarray:
+    return (anchor & tx.U(cells - 1)).astype(np.int64)
+
+
+def repeated_cells(docs: DataFrame, width: int, window: int, gram: int) -> np.ndarray:
     """A bit a cell, packed: set where the merged sketch counts 2 or more."""
+    cells = 1 << width
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in tx.pieces(batch.column(0)):
                 row, _, anchor = anchors(tx.words(data, offsets), window, gram)
-                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(row) else row
-                cell = (anchor[new] & tx.U(cells - 1)).astype(np.int64)
-                once = np.unique(row[new] << 32 | cell) & 0xFFFFFFFF
+                new = _changes(row, anchor)
+                once = np.unique(row[new] << 32 | _cells(anchor[new], cells)) & 0xFFFFFFFF
                 cell, n = np.unique(once, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int8))], ["cell", "n"])
 
-    sketch = docs.select("text").mapInArrow(count, "cell int, n byte").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
-    # cells / 32768 rows of 4 KB at most
-    # Spark numbers bitmap parts from 1 and the places in them from 0, for numbers from 1; cells / 32768 rows of 4 KB at most
-    part, place = F.expr("bitmap_bucket_number(cell + 1L)").alias("part"), F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1L))").alias("bits")
-    parts = sketch.groupBy(part).agg(place).toArrow()
-    out = np.zeros(max(cells, 1 << 15) // 8, np.uint8)
-    for part, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist()):
-        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bits, np.uint8)
-    return out
+    return bits_of(docs.select("text").mapInArrow(count, "cell int, n byte").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2"), "cell", width)
 
 
-def repeated_windows(docs: DataFrame, window: int, gram: int, max_cells: int) -> DataFrame:
-    """(doc_id, _tag, starts): first words of the windows that start in a document with a smaller doc_id too."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
-    # about one anchor in 100 bytes, and 25 cells an anchor where the bound allows it
-    cells = min(max_cells, max(1 << 16, 1 << (int(size) // 4).bit_length()))
-    shared = spark.sparkContext.broadcast(repeated_cells(docs, cells, window, gram))
+def _changes(row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Where a run of windows of one text with one anchor begins."""
+    return np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(row) else row
+
+
+def _emitted(docs: DataFrame, bits: np.ndarray, window: int, gram: int, cells: int, whole: bool) -> DataFrame:
+    """(h1, h2, doc_id, place, anchor, size): blocks, or single windows, of anchors whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, _, data, offsets in tx.pieces(batch.column(2)):
                 w = tx.words(data, offsets)
                 row, start, anchor = anchors(w, window, gram)
-                cell = (anchor & tx.U(cells - 1)).astype(np.int64)
-                at = np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
-                if not len(at):
-                    continue
-                row, start = row[at], start[at]
-                one, _ = tx.grams(w.hash, w.first, window)
-                two, _ = tx.grams(w.hash, w.first, window, salt=1)
+                if whole:
+                    at = _changes(row, anchor)
+                    size = np.diff(np.r_[at, len(row)])
+                    live = bit(shared.value, _cells(anchor[at], cells)).astype(bool)
+                    at, size = at[live], size[live]
+                else:
+                    at = np.flatnonzero(bit(shared.value, _cells(anchor, cells)))
+                    size = np.ones(len(at), np.int64)
+                first = w.first[row[at]] + start[at]
+                columns = [*tx.spans(w.hash, first, window - 1 + size), ids[a + row[at]], tags[a + row[at]].astype(np.int64) << START_BITS | start[at], anchor[at].view(np.int64), size.astype(np.int32)]
                 for i in range(0, len(at), 100_000):
-                    s = slice(i, i + 100_000)
-                    columns = [one[at[s]].view(np.int64), two[at[s]].view(np.int64), ids[a + row[s]], tags[a + row[s]].astype(np.int64) << START_BITS | start[s]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["h1", "h2", "doc_id", "place", "anchor", "size"])
+
+    return docs.mapInArrow(emit, "h1 long, h2 long, doc_id long, place long, anchor long, size int")
 
+
+def marks(docs: DataFrame, window: int, gram: int, max_cells: int) -> DataFrame:
+    """(doc_id, _tag, _starts, _sizes): runs of windows that start in a document with a smaller doc_id too."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    # about one anchor in 100 bytes, and 25 cells an anchor where the bound allows it
+    width = min(max_cells.bit_length() - 1, max(16, (int(size) // 4).bit_length()))
     tagged = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _tag().alias("_tag"), "text")
-    rows = written(tagged.mapInArrow(emit, "h1 long, h2 long, doc_id long, place long"), "substring-windows")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
-    found = rows.join(first, ["h1", "h2"]).where("doc_id > _first")
-    return found.groupBy("doc_id", F.shiftright("place", START_BITS).cast("int").alias("_tag")).agg(
-        F.collect_list(F.col("place").bitwiseAND((1 << START_BITS) - 1).cast("int")).alias("_starts")
-    )
+    blocks = written(_emitted(tagged, repeated_cells(docs, width, window, gram), window, gram, 1 << width, True), "substring-blocks")
+    kinds = written(blocks.groupBy("h1", "h2", "anchor").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")), "substring-kinds")
+    release(spark)
+    repeated = kinds.where("_first < _last").select("h1", "h2", "_first")
+    runs = blocks.join(repeated, ["h1", "h2"]).where("doc_id > _first").select("doc_id", "place", "size")
+    runs = written(runs, "substring-runs")
+
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("_first").alias("lo"), F.max("_last").alias("hi")).where("n > 1 AND lo < hi")
+    cell = F.col("anchor").bitwiseAND((1 << width) - 1)
+    open_ = bits_of(mixed.select(cell.alias("cell")), "cell", width)
+    release(spark)
+    windows = written(_emitted(tagged, open_, window, gram, 1 << width, False).drop("anchor", "size"), "substring-windows")
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+    single = windows.join(first, ["h1", "h2"]).where("doc_id > _first").select("doc_id", "place", F.lit(1).alias("size"))
+    found = runs.unionByName(single).groupBy("doc_id", F.shiftright("place", START_BITS).cast("int").alias("_tag"))
+    start = F.col("place").bitwiseAND((1 << START_BITS) - 1).cast("int")
+    out = written(found.agg(F.collect_list(F.struct(start.alias("start"), "size")).alias("_runs")), "substring-marks")
+    for done in (blocks, kinds, windows, runs):
+        remove(done, spark)
+    release(spark)
+    return out.select("doc_id", "_tag", F.col("_runs.start").alias("_starts"), F.col("_runs.size").alias("_sizes"))
 
 
 def _tag():
@@ -122,30 +147,44 @@ def _tag():
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = 1 << 28) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the words left, one space between)."""
+    spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     docs = docs.select(*kept)
-    starts = repeated_windows(docs, window, gram, max_cells)
-    docs = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_tag", _tag())
-    joined = docs.join(starts.withColumnRenamed("doc_id", "_doc"), ["_doc", "_tag"], "left").select(*kept, "_starts")
-    at = kept.index("text")
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = marks(docs, window, gram, max_cells).withColumnRenamed("doc_id", "_doc")
+    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_tag", _tag())
+    n = found.count()
+    width = min(28, max(15, (16 * n).bit_length()))
+    cell = F.pmod(F.xxhash64("_doc", "_tag"), F.lit(1 << width))
+    # 2**width bits, 32 MB at most: texts without a bit have no mark and need no join
+    shared = spark.sparkContext.broadcast(bits_of(found.select(cell.alias("cell")), "cell", width))
+    at, fields = kept.index("text"), [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+    schema = T.StructType([*docs.schema.fields, *fields])
+
+    def cut(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not marked:
+                cells = batch.column(len(kept)).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(bit(shared.value, cells) == 0))
             n_words, n_removed, texts = [], [], []
-            for text, first in zip(tx.binary(batch.column(at)), batch.column(len(kept))):
+            for i, text in enumerate(tx.binary(batch.column(at))):
                 words = text.as_py().split()
                 n_words.append(len(words))
-                if first.is_valid:
+                if marked and (starts := batch.column(len(kept))[i]).is_valid:
                     edges = np.zeros(len(words) + 1, np.int32)
-                    place = np.unique(first.values.to_numpy())
-                    edges[place] += 1
-                    edges[place + window] -= 1
-                    left = np.cumsum(edges[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(left)]
+                    start, size = starts.values.to_numpy(), batch.column(len(kept) + 1)[i].values.to_numpy()
+                    np.add.at(edges, start, 1)
+                    np.add.at(edges, start + size + window - 1, -1)
+                    words = [words[j] for j in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
                 n_removed.append(n_words[-1] - len(words))
                 texts.append(b" ".join(words))
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], schema.names)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bit(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)) == 1))
 
-    return joined.mapInArrow(cut, T.StructType([*docs.select(*kept).schema.fields, *fields]))
+    keyed = keyed.withColumn("_cell", cell)
+    plain = keyed.select(*kept, "_cell").mapInArrow(lambda batches: cut(batches, False), schema)
+    rest = keyed.mapInArrow(marked, keyed.schema).join(found, ["_doc", "_tag"], "left").select(*kept, "_starts", "_sizes")
+    return plain.unionByName(rest.mapInArrow(lambda batches: cut(batches, True), schema))

@@ -143,3 +143,14 @@ def grams(hashes: np.ndarray, first: np.ndarray, k: int, salt: int = 0) -> tuple
         np.cumsum(h * up[: len(h)], out=sums[1:])
         out = (sums[at + k] - sums[at]) * down[at]
     return mix(out, salt + k), n
+
+
+def spans(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """128 bits, as two columns of int64, of runs of ``size`` words from word ``first`` on."""
+    up, down = _of_words.take(len(hashes) + 1)
+    out = []
+    for salt in (1, 2):
+        sums = np.zeros(len(hashes) + 1, U)
+        np.cumsum(mix(hashes, salt) * up[: len(hashes)], out=sums[1:])
+        out.append(mix((sums[first + size] - sums[first]) * down[first] + size.astype(U), salt).view(np.int64))
+    return out
