@@ -4,7 +4,7 @@ Grammar: ``index=NAME`` and then any of
 
 * ``stats AGG[(field)] {, AGG(field)} [by field {, field}]`` with AGG one of count, sum, avg;
 * ``timechart [span=1h] AGG[(field)] {, AGG(field)} [by field]``, giving ``_time`` and a column an aggregate;
-* ``sort [+|-]field {, [+|-]field}``, giving ``rn``, the row's number.
+* ``sort [+|-]field {, [+|-]field}``; groups also get ``rn``, the row's number.
 
 ``span`` and several fields after ``by`` go beyond the texts this language is modelled on.
 """
@@ -108,18 +108,23 @@ def parse(text: str) -> Query:
 
 
 def compiled(query: Query, source: Callable[[str], DataFrame], time: str = "ts", digits: int = 4) -> DataFrame:
-    df = source(query.index)
+    df, grouped = source(query.index), False
     for c in query.commands:
+        grouped = grouped or isinstance(c, Stats)
         if isinstance(c, Timechart):
             keys = [F.window(time, c.span)["start"].alias("_time"), *c.by]
             df = df.groupBy(*keys).agg(*[a.compiled(digits) for a in c.aggregates])
         elif isinstance(c, Stats):
             df = df.groupBy(*c.by).agg(*[a.compiled(digits) for a in c.aggregates])
         else:
-            # rows of a sort after stats are groups; ties are settled by the remaining columns, so results are stable
-            chosen = [F.desc(k) if down else F.asc(k) for k, down in c.keys]
-            rest = [F.asc(k) for k in df.columns if k not in dict(c.keys)]
-            df = df.withColumn("rn", F.row_number().over(Window.orderBy(*chosen, *rest)).cast("int"))
+            # ties are settled by the remaining columns, so results are stable
+            keys = [F.desc(k) if down else F.asc(k) for k, down in c.keys]
+            keys += [F.asc(k) for k in df.columns if k not in dict(c.keys)]
+            if grouped:
+                df = df.withColumn("rn", F.row_number().over(Window.orderBy(*keys)).cast("int"))
+            else:
+                # raw rows are sorted by ranges on all executors; numbering them would take one task
+                df = df.orderBy(*keys)
     return df
 
 

@@ -43,6 +43,13 @@ def test_execute_gives_an_envelope(spark, sf_dir):
         Engine(spark, sf_dir).execute("x", "other")
 
 
+def test_raw_rows_are_sorted_by_ranges(spark, sf_dir):
+    found = Engine(spark, sf_dir).execute("index=region | sort -r_name", "spl").rows
+    assert found.columns == ["r_regionkey", "r_name"]
+    names = [r.r_name for r in found.collect()]
+    assert names == sorted(names, reverse=True)
+
+
 @pytest.mark.parametrize("values", [["10", "9", "2"], ["b", "A", "c", "a"], ["2024-03-01", "2024-01-15", "2023-12-31"], ["1.5e1", " 3", "-2x", "+.5"], [None, "a", "z"]])
 @pytest.mark.parametrize("down", [False, True])
 def test_sort_agrees_with_a_comparator(spark, values, down):
