@@ -27,9 +27,15 @@ VARIABLE = "<*>"
 MANY = 500_000
 
 
+#: White space within a line, and a token with a digit: it begins where a token begins, and nothing is tried twice.
+GAP = r"[ \t\r\x0b\f]"
+WITH_DIGIT = r"(?<![^ \t\r\x0b\f])[^ \t\r\x0b\f0-9]*+[0-9][^ \t\r\x0b\f]*+"
+
+
 def tokens(line: Column) -> Column:
     """Tokens of a line; those with a digit are variable. One empty token without any."""
-    return F.split(F.btrim(F.regexp_replace(F.regexp_replace(line, r"[^ \t\r\x0b\f]*[0-9][^ \t\r\x0b\f]*", VARIABLE), r"[ \t\r\x0b\f]+", " ")), " ")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, WITH_DIGIT, VARIABLE)).otherwise(line)
+    return F.split(F.btrim(masked, F.lit(" \t\r\x0b\f")), f"{GAP}+")
 
 
 def leaf(t: Column, depth: int) -> Column:
@@ -44,7 +50,8 @@ def _lines(text: Column) -> Column:
 def recurring(docs: DataFrame, min_docs: int, depth: int) -> DataFrame:
     """(doc_id, _hash, lines): numbers of the lines to drop, from 0."""
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_hash"), "text")
-    leaves = F.transform(_lines(F.col("text")), lambda line: leaf(F.element_at(F.transform(F.array(line), tokens), 1), depth))
+    # tokens are a lambda's variable when the leaf uses them, so they are made once a line
+    leaves = F.transform(F.transform(_lines(F.col("text")), tokens), lambda t: leaf(t, depth))
     placed = written(texts.select("doc_id", "_hash", F.posexplode(leaves).alias("line", "leaf")).where("leaf IS NOT NULL"), "lines-placed")
     frequent = placed.groupBy("leaf").agg(F.count_distinct("_hash").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     frequent = written(frequent, "lines-leaves")
@@ -54,7 +61,8 @@ def recurring(docs: DataFrame, min_docs: int, depth: int) -> DataFrame:
     per = kept.groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set("line")).alias("some"))
     there = texts.join(per.withColumnRenamed("_hash", "_own"), texts["doc_id"].eqNullSafe(per["doc_id"]) & (F.col("_hash") == F.col("_own"))).select(texts["doc_id"], "_hash", "text", "some")
     there = there.dropDuplicates(["doc_id", "_hash"])
-    taken = there.select("doc_id", "_hash", F.explode(F.arrays_zip(F.col("some").alias("line"), F.transform("some", lambda i: F.get(_lines(F.col("text")), i)).alias("body"))).alias("x"))
+    bodies = F.element_at(F.transform(F.array(_lines(F.col("text"))), lambda every: F.transform("some", lambda i: F.struct(i.alias("line"), F.get(every, i).alias("body")))), 1)
+    taken = there.select("doc_id", "_hash", F.explode(bodies).alias("x"))
     taken = taken.select("doc_id", "_hash", F.col("x.line").alias("line"), tokens(F.col("x.body")).alias("t"))
     taken = written(taken.withColumn("leaf", leaf(F.col("t"), depth)), "lines-taken")
     single = taken.select("doc_id", "_hash", "line", "leaf", F.size("t").alias("size"), F.posexplode("t").alias("p", "token"))
