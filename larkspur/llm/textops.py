@@ -16,7 +16,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD1342543DE82EF95 | 1
 #: Bytes of text that are worked on at a time; bounds the memory of a task, not what it reads.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _bytes = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.int64).view(U) * U(2) + U(1)
 
@@ -108,6 +108,8 @@ def pieces(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    # what Arrow's pool keeps for later counts against the executor's memory
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = WHITE, lower: bool = False) -> Words:
