@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -17,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) is one made.
+    Only where the session has none (tests on one machine) is one made, which goes when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
+        made = tempfile.mkdtemp(prefix="larkspur-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        base = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 

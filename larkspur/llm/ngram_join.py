@@ -11,10 +11,14 @@ Jaccard similarity is ``share`` or more. Exact up to hash collisions; no pair is
    partners that the classes of its prefix tokens let expect, over l. A pair must share as many prefix tokens as the
    smaller l of its two documents. Tokens met once are left out, as they meet nobody.
 3. Equal sets are one class, known by its smallest doc_id; only that goes on, so copies never meet each other.
-4. Stars. In token buckets of more than ``SMALL`` documents, one is drawn and held against the others; verified links
-   are made components. Then all buckets emit the pairs of different components only. A large group of near copies
-   thus costs its size, not its square: whatever the stars have connected needs no further pair.
-5. Pairs within the length bounds are verified on the full sets, made anew from the texts of the documents in pairs.
+4. Stars. In token buckets of more than ``SMALL`` documents, one is held against the others, twice: first the one that
+   shares most of its set, then one drawn by hash; verified links are made components. Then all buckets emit the pairs
+   of different components only. Prefix tokens that no other class has bound what a set can share, and pairs whose
+   bounds are below the overlap they need are not emitted. A large group of near copies so costs about its size: what
+   the stars connect needs no further pair, and what is too far from the others is bounded out.
+5. Pairs must be within the length bounds, and the prefix tokens they share with all that lies beyond the prefixes must
+   reach the overlap that their sizes ask for. They are verified on the full sets, made anew from the texts of the
+   documents in pairs.
 
 Defined cases: a null or blank text has an empty set, links with nothing and is its own component; fewer than k words
 are one token; very long texts are read to the end; rows with the same doc_id are one document with several sets, which
@@ -28,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.llm import textops as tx
-from larkspur.llm.common import remove, written
+from larkspur.llm.common import bit, bits_of, release, remove, written
 from larkspur.llm.components import components
 
 #: Documents in a bucket up to which all its pairs are held against each other at once.
 SMALL = 16
 LONGEST = 8
+#: Rounds of stars before all pairs of different components.
+STARS = 2
 #: Partners that a prefix token of each class lets expect.
 PARTNERS = np.array([0.0, 32.0, 1024.0])
 #: The cost of verifying a pair, in prefix rows.
@@ -56,6 +62,13 @@ class Similarity:
         """What a set of n must share with any that it links with."""
         return -(-self.num * n // self.den)
 
+    def need(self, n: Column) -> Column:
+        return F.ceil(n * self.num / self.den - 1e-9)
+
+    def shared(self, a: Column, b: Column) -> Column:
+        """What sets of a and b must share to link."""
+        return F.ceil((a + b) * self.num / (self.num + self.den) - 1e-9)
+
     def lengths(self, a: Column, b: Column) -> Column:
         return (F.least(a, b) * self.den) >= (F.greatest(a, b) * self.num)
 
@@ -75,10 +88,6 @@ def shingles(w: tx.Words, k: int) -> list[np.ndarray]:
     return out
 
 
-def _bit(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-
-
 def token_classes(docs: DataFrame, k: int, width: int) -> list[np.ndarray]:
     """Packed bits of 2**width cells: met twice; and, FOLD cells a bit, met over 16 and over 256 times."""
     spark = docs.sparkSession
@@ -165,8 +174,8 @@ def prefixes(docs: DataFrame, k: int, sim: Similarity, width: int) -> DataFrame:
                 size = np.array([len(s) for s in sets])
                 flat = np.concatenate(sets)
                 cell = (flat >> shift).astype(np.int64)
-                classes = (_bit(many, cell >> fold) + _bit(most, cell >> fold)).astype(np.int8)
-                live = _bit(twice, cell).astype(bool)
+                classes = (bit(many, cell >> fold) + bit(most, cell >> fold)).astype(np.int8)
+                live = bit(twice, cell).astype(bool)
                 cut = np.r_[0, np.cumsum(size)]
                 some, some_n, l = [], [], []
                 for i, s in enumerate(sets):
@@ -190,29 +199,19 @@ def prefixes(docs: DataFrame, k: int, sim: Similarity, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, l byte, prefix array<long>")
 
 
-def _bits_of(ids: DataFrame, width: int) -> np.ndarray:
-    """A bit set for each id's cell, of 2**width."""
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << width)) + 1
-    rows = ids.select(cell.alias("c")).groupBy(F.expr("bitmap_bucket_number(c)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).toArrow()
-    out = np.zeros((1 << width) // 8, np.uint8)
-    for part, bits in zip(rows["part"].to_pylist(), rows["bits"].to_pylist()):
-        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def verified(docs: DataFrame, pairs: DataFrame, k: int, sim: Similarity, n_docs: int) -> DataFrame:
     """The (a, b) of ``pairs`` that link. Sets are made anew, from the texts of documents in pairs only."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = written(ids, "join-ids")
-    width = min(26, max(15, (8 * n_docs).bit_length()))
-    # 2**width bits, 8 MB at most: they spare most other texts the shuffle; the join after them is exact
-    shared = spark.sparkContext.broadcast(_bits_of(ids, width))
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    width = min(28, max(15, (8 * n_docs).bit_length()))
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << width))
+    # 2**width bits, 32 MB at most: they spare most other texts; what they let through in error meets no pair
+    shared = spark.sparkContext.broadcast(bits_of(ids.select(cell.alias("cell")), "cell", width))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            own = batch.filter(pa.array(_bit(bits, batch.column(2).to_numpy()).astype(bool)))
+            own = batch.filter(pa.array(bit(bits, batch.column(2).to_numpy()).astype(bool)))
             for a, b, data, offsets in tx.pieces(own.column(1)):
                 sets = shingles(tx.words(data, offsets, lower=True), k)
                 cut = np.r_[0, np.cumsum([len(s) for s in sets])]
@@ -220,9 +219,8 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, sim: Similarity, n_docs:
                 packed = pa.Array.from_buffers(pa.large_binary(), len(sets), [None, pa.py_buffer((cut * 8).astype(np.int64)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([own.column(0).slice(a, b - a), packed.cast(pa.binary())], ["doc_id", "tokens"])
 
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << width))
     chosen = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", cell.alias("cell")).mapInArrow(select, "doc_id long, tokens binary")
-    sets = written(chosen.join(ids, "doc_id", "left_semi"), "join-sets")
+    sets = written(chosen, "join-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,10 +236,18 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, sim: Similarity, n_docs:
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "join-links")
     remove(sets, spark)
-    remove(ids, spark)
+    release(spark)
     return out
 
 
+def labelled(shared: DataFrame, known: DataFrame | None) -> DataFrame:
+    """With the component of each document so far; its own id where no link is known."""
+    if known is None:
+        return shared.withColumn("component", F.col("doc_id"))
+    found = shared.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return found.withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width: int = 28) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -255,34 +261,51 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
     reps = real.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
     postings = written(reps.select("doc_id", "n", "l", F.explode("prefix").alias("token")), "join-postings")
     buckets = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    shared = written(postings.join(buckets, "token"), "join-shared")
+    shared = postings.join(buckets, "token")
+    # prefix tokens that no other class has can be in no overlap: what is left of a set bounds it
+    live = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "n", "l"))
+    shared = written(shared.withColumn("most", sim.need(F.col("n")) - F.col("l") + live), "join-shared")
     remove(postings, spark)
-
-    # stars: in the first four large buckets of each document, one member drawn by hash against the others
-    large = shared.where(F.col("k") > SMALL)
-    few = large.groupBy("doc_id").agg(F.min_by("token", F.xxhash64("token"), ).alias("t1"), F.min_by("token", F.xxhash64("token", F.lit(1))).alias("t2"), F.min("token").alias("t3"), F.max("token").alias("t4"))
-    drawn = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", "token").alias("h"), "doc_id", "n")).alias("r")).select("token", F.col("r.doc_id").alias("r"), F.col("r.n").alias("rn"))
-    mine = large.join(few, "doc_id").where("token IN (t1, t2, t3, t4)").select("token", "doc_id", "n")
-    stars = mine.join(drawn, "token").where((F.col("doc_id") != F.col("r")) & sim.lengths(F.col("n"), F.col("rn")))
-    stars = written(stars.select(F.least("doc_id", "r").alias("a"), F.greatest("doc_id", "r").alias("b")).distinct(), "join-stars")
-    links = verified(docs, stars, k, sim, size.n)
-    known = written(components(links), "join-known")
+    release(spark)
+
+    def can_link(x: str, y: str) -> Column:
+        """By length, and by the overlap that both sets can reach at most."""
+        n = F.col(f"{x}n"), F.col(f"{y}n")
+        return sim.lengths(*n) & (F.least(f"{x}most", f"{y}most") >= sim.shared(*n))
+
+    links = known = None
+    for step in range(STARS):
+        # one member of each large bucket against the others, in four large buckets of each document: first the one
+        # whose set the other documents share most of, as the original of copies, then one drawn by hash
+        large = labelled(shared, known).where(F.col("k") > SMALL)
+        order = F.struct((F.col("most") / F.col("n")).alias("a"), F.xxhash64("doc_id").alias("b")) if not step else F.struct(F.xxhash64("doc_id", "token").alias("b"))
+        drawn = large.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "most", "component"), order).alias("r"))
+        drawn = drawn.select("token", *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("doc_id", "n", "most", "component")))
+        few = large.groupBy("doc_id").agg(*(F.min_by("token", F.xxhash64("token", F.lit(4 * step + i))).alias(f"t{i}") for i in range(4)))
+        mine = large.join(few, "doc_id").where("token IN (t0, t1, t2, t3)")
+        stars = mine.join(drawn, "token").where((F.col("component") != F.col("r_component")) & can_link("", "r_"))
+        stars = written(stars.select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")).distinct(), "join-stars")
+        found = verified(docs, stars, k, sim, size.n)
+        links = found if links is None else links.unionByName(found)
+        known = written(components(links), "join-known")
 
     # all buckets: the pairs of different components that share enough prefix tokens
-    labelled = shared.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = written(labelled.select("token", "doc_id", "n", "l", "component"), "join-labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = labelled.join(mixed, "token", "left_semi")
-    x, y = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "l", "component"))) for s in "xy")
-    met = x.join(y, "token").where((F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & sim.lengths(F.col("x_n"), F.col("y_n")))
-    least = F.least(F.min("x_l"), F.min("y_l"))
-    pairs = met.groupBy(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).agg(F.count("*").alias("met"), least.alias("l")).where("met >= l").select("a", "b")
+    every = written(labelled(shared, known).drop("k"), "join-labelled")
+    mixed = every.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    open_ = every.join(mixed, "token", "left_semi")
+    x, y = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "l", "most", "component"))) for s in "xy")
+    met = x.join(y, "token").where((F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & can_link("x_", "y_"))
+    # shared tokens not met in the prefixes lie beyond the end of one of them, where a set has need - l + 1 tokens left
+    beyond = F.greatest(sim.need(F.col("x_n")) - F.col("x_l"), sim.need(F.col("y_n")) - F.col("y_l")) + 1
+    enough = sim.shared(F.col("x_n"), F.col("y_n")) - beyond
+    least = F.greatest(F.least("x_l", "y_l"), enough)
+    pairs = met.groupBy(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).agg(F.count("*").alias("met"), F.min(least).alias("least")).where("met >= least").select("a", "b")
     pairs = written(pairs, "join-pairs")
     more = verified(docs, pairs, k, sim, size.n)
     found = components(links.unionByName(more)).withColumnRenamed("node", "rep")
 
     out = sets.join(classes, ["s1", "s2", "n"], "left").join(found, "rep", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:

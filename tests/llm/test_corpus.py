@@ -235,7 +235,9 @@ def test_prefixes_keep_every_link():
 
 
 @pytest.mark.parametrize("links", [[], [(1, 2), (2, 3), (9, 8)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 60)], [(3, 1), (2, 1), (4, 2), (7, 7)]])
-def test_components(spark, links):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, links, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW", few)
     up = {x: x for l in links for x in l if l[0] != l[1]}
     for _ in range(len(up)):
         for a, b in links:
