@@ -16,6 +16,8 @@ Jaccard similarity is ``share`` or more. Exact up to hash collisions; no pair is
    of different components only. Prefix tokens that no other class has bound what a set can share, and pairs whose
    bounds are below the overlap they need are not emitted. A large group of near copies so costs about its size: what
    the stars connect needs no further pair, and what is too far from the others is bounded out.
+   They are made at early tokens only: of the prefix tokens that a pair must share, the first has the others behind it
+   in both prefixes.
 5. Pairs must be within the length bounds, and the prefix tokens they share with all that lies beyond the prefixes must
    reach the overlap that their sizes ask for. They are verified on the full sets, made anew from the texts of the
    documents in pairs.
@@ -259,12 +261,13 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
     real = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "join-classes")
     reps = real.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    postings = written(reps.select("doc_id", "n", "l", F.explode("prefix").alias("token")), "join-postings")
+    postings = written(reps.select("doc_id", "n", "l", F.posexplode("prefix").alias("at", "token")), "join-postings")
     buckets = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     shared = postings.join(buckets, "token")
     # prefix tokens that no other class has can be in no overlap: what is left of a set bounds it
-    live = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "n", "l"))
-    shared = written(shared.withColumn("most", sim.need(F.col("n")) - F.col("l") + live), "join-shared")
+    own = Window.partitionBy("doc_id", "n", "l")
+    shared = shared.withColumn("live", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("at", "token")))
+    shared = written(shared.drop("at").withColumn("most", sim.need(F.col("n")) - F.col("l") + F.col("live")), "join-shared")
     remove(postings, spark)
     release(spark)
 
@@ -293,13 +296,17 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
     every = written(labelled(shared, known).drop("k"), "join-labelled")
     mixed = every.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = every.join(mixed, "token", "left_semi")
-    x, y = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "l", "most", "component"))) for s in "xy")
-    met = x.join(y, "token").where((F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & can_link("x_", "y_"))
+    x, y = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "l", "most", "live", "rank", "component"))) for s in "xy")
     # shared tokens not met in the prefixes lie beyond the end of one of them, where a set has need - l + 1 tokens left
     beyond = F.greatest(sim.need(F.col("x_n")) - F.col("x_l"), sim.need(F.col("y_n")) - F.col("y_l")) + 1
-    enough = sim.shared(F.col("x_n"), F.col("y_n")) - beyond
-    least = F.greatest(F.least("x_l", "y_l"), enough)
-    pairs = met.groupBy(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).agg(F.count("*").alias("met"), F.min(least).alias("least")).where("met >= least").select("a", "b")
+    least = F.greatest(F.least("x_l", "y_l"), sim.shared(F.col("x_n"), F.col("y_n")) - beyond)
+    # of the tokens that a pair must share, the first leaves the others behind it in both prefixes
+    early = (F.col("x_rank") <= F.col("x_live") - least + 1) & (F.col("y_rank") <= F.col("y_live") - least + 1)
+    met = x.join(y, "token").where((F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & can_link("x_", "y_") & early)
+    met = met.groupBy(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).agg(F.min(least).alias("least"))
+    tokens = every.groupBy("doc_id").agg(F.collect_set("token").alias("tokens"))  # a document's prefix
+    met = met.join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    pairs = met.where(F.size(F.array_intersect("ta", "tb")) >= F.col("least")).select("a", "b")
     pairs = written(pairs, "join-pairs")
     more = verified(docs, pairs, k, sim, size.n)
     found = components(links.unionByName(more)).withColumnRenamed("node", "rep")
