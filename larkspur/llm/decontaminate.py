@@ -100,8 +100,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
         held = held.select("doc_id", "_hash", "all", F.explode(places).alias("p"))
         starts = held.withColumn("s", F.get("all", "p")).join(F.broadcast(wanted), "s")
     else:
-        held = rows.select("doc_id", "_hash", F.posexplode("all").alias("p", "s")).join(wanted, "s")
-        starts = held.join(rows, ["doc_id", "_hash"])
+        # places of a text once, however often its row is repeated; a null doc_id is an id like others
+        per = rows.select("doc_id", "_hash", F.posexplode("all").alias("p", "s")).join(wanted, "s").groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"))
+        per = per.agg(F.collect_set(F.struct("p", "m")).alias("places"))
+        held = rows.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))).dropDuplicates(["doc_id", "_hash"])
+        starts = held.select("doc_id", "_hash", "all", F.explode("places").alias("x")).select("doc_id", "_hash", "all", "x.p", "x.m")
     # the start of the window, and the window
     start = F.greatest(F.least(F.col("p"), F.size("all") - F.col("m")), F.lit(0))
     windows = starts.select("doc_id", "_hash", "m", F.slice("all", start + 1, F.col("m")).alias("window"))

@@ -104,6 +104,15 @@ def test_decontamination_beyond_the_inline_bound(spark, sf_dir, monkeypatch):
     assert rows(decontaminate.leaks(docs, bench), "doc_id", "item_id", "similarity") == want and want
 
 
+def test_decontamination_edges_beyond_the_inline_bound(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "INLINE", 3)
+    test_decontamination_edges(spark)
+    text = " ".join(prose(random.Random(2), 30))
+    df, bench = frame(spark, [(None, text)] * 3 + [(1, text)] * 3 + [(None, "clean"), (1, "clean")]), frame(spark, [(10, text)], "item_id long, text string")
+    assert rows(decontaminate.leaks(df, bench), "doc_id", "item_id") == sorted([(1, 10), (None, 10)], key=repr)
+    assert rows(decontaminate.decontaminate(df, bench), "doc_id", "text") == sorted([(1, "clean"), (None, "clean")], key=repr)
+
+
 def test_multi_index_meets_everything_within_the_radius():
     rng = random.Random(3)
     for _ in range(300):
