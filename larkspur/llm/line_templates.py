@@ -4,7 +4,9 @@ A line is its tokens (runs without white space); tokens with a digit are variabl
 its number of tokens and then by its first ``depth`` tokens to a leaf. In a leaf a token stays constant at its place
 where ``min_docs`` texts have it there, and is generalised to ``<*>`` elsewhere; the line's template is what remains.
 Templates with constants at half their places at least, found in ``min_docs`` different texts, recur, and their lines
-are dropped, in every document.
+are dropped, in every document. A line with fewer constants is tried once more: variable places count as constants too
+where ``min_docs`` texts of the leaf have the same token there, digits and all. So lines that recur word for word always
+have a template, also those that are nothing but numbers; lines that have one without this keep it.
 
 A template's texts are among its leaf's, so lines of leaves that fewer texts reach are kept without a further look.
 Texts are counted, not rows: exact copies count once. All counting is by key with sums in each task first; the lines
@@ -32,10 +34,14 @@ GAP = r"[ \t\r\x0b\f]"
 WITH_DIGIT = r"(?<![^ \t\r\x0b\f])[^ \t\r\x0b\f0-9]*+[0-9][^ \t\r\x0b\f]*+"
 
 
+def raw_tokens(line: Column) -> Column:
+    """Tokens of a line as they are. One empty token without any."""
+    return F.split(F.btrim(line, F.lit(" \t\r\x0b\f")), f"{GAP}+")
+
+
 def tokens(line: Column) -> Column:
-    """Tokens of a line; those with a digit are variable. One empty token without any."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, WITH_DIGIT, VARIABLE)).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(" \t\r\x0b\f")), f"{GAP}+")
+    """Tokens of a line; those with a digit are variable."""
+    return raw_tokens(F.when(line.rlike("[0-9]"), F.regexp_replace(line, WITH_DIGIT, VARIABLE)).otherwise(line))
 
 
 def leaf(t: Column, depth: int) -> Column:
@@ -63,12 +69,18 @@ def recurring(docs: DataFrame, min_docs: int, depth: int) -> DataFrame:
     there = there.dropDuplicates(["doc_id", "_hash"])
     bodies = F.element_at(F.transform(F.array(_lines(F.col("text"))), lambda every: F.transform("some", lambda i: F.struct(i.alias("line"), F.get(every, i).alias("body")))), 1)
     taken = there.select("doc_id", "_hash", F.explode(bodies).alias("x"))
-    taken = taken.select("doc_id", "_hash", F.col("x.line").alias("line"), tokens(F.col("x.body")).alias("t"))
-    taken = written(taken.withColumn("leaf", leaf(F.col("t"), depth)), "lines-taken")
-    single = taken.select("doc_id", "_hash", "line", "leaf", F.size("t").alias("size"), F.posexplode("t").alias("p", "token"))
-    constant = single.where(F.col("token") != VARIABLE).groupBy("leaf", "p", "token").agg(F.count_distinct("_hash").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    taken = taken.select("doc_id", "_hash", F.col("x.line").alias("line"), tokens(F.col("x.body")).alias("t"), raw_tokens(F.col("x.body")).alias("raw"))
+    taken = written(taken.withColumn("leaf", leaf(F.col("t"), depth)).drop("t"), "lines-taken")
+    single = taken.select("doc_id", "_hash", "line", "leaf", F.size("raw").alias("size"), F.posexplode("raw").alias("p", "token"))
+    constant = single.groupBy("leaf", "p", "token").agg(F.count_distinct("_hash").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    # tokens with a digit are in a template only where it has too few constants without them
+    constant = constant.withColumn("h", F.xxhash64("p", "token")).withColumn("plain", ~F.col("token").rlike("[0-9]") & (F.col("token") != VARIABLE))
     fixed = single.join(constant, ["leaf", "p", "token"]).groupBy("doc_id", "_hash", "line", "leaf", "size")
-    fixed = fixed.agg(F.count("*").alias("constants"), F.expr("bit_xor(xxhash64(p, token))").alias("template")).where("2 * constants >= size")
+    fixed = fixed.agg(F.count_if("plain").alias("some"), F.count("*").alias("all"), F.bit_xor(F.when(F.col("plain"), F.col("h"))).alias("of_some"), F.bit_xor("h").alias("of_all"))
+    enough = F.col("some") * 2 >= F.col("size")
+    fixed = fixed.where(F.col("all") * 2 >= F.col("size")).select(
+        "doc_id", "_hash", "line", "leaf", F.when(enough, F.col("some")).otherwise(F.col("all")).alias("constants"), F.when(enough, F.col("of_some")).otherwise(F.col("of_all")).alias("template")
+    )
     fixed = written(fixed, "lines-templates")
     again = fixed.groupBy("leaf", "template", "constants").agg(F.count_distinct("_hash").alias("n")).where(F.col("n") >= min_docs).drop("n")
     return fixed.join(again, ["leaf", "template", "constants"]).groupBy("doc_id", "_hash").agg(F.collect_set("line").alias("lines"))

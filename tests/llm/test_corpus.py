@@ -350,6 +350,16 @@ def test_line_templates(spark):
     assert line_templates.dedup(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_lines_of_digits_that_recur_word_for_word(spark):
+    footers = ["2024-01-01", "Tel. 555-0100 555-0101", "<*> 7"]
+    docs = [(i, "\n".join([f"text {chr(97 + i)} stays", *footers, f"{i} {i}9 no{i}", f"Order {i} of 7 in {2 * i} weeks for {3 * i}"])) for i in range(9)]
+    docs += [(20 + i, "1999-12-31") for i in range(7)]
+    got = {r.doc_id: r for r in line_templates.dedup(frame(spark, docs)).collect()}
+    for i in range(9):
+        assert got[i].n_dropped == 4 and got[i].kept_text == f"text {chr(97 + i)} stays\n{i} {i}9 no{i}"
+    assert all(got[20 + i].n_dropped == 0 for i in range(7))
+
+
 # 8
 
 
