@@ -4,15 +4,20 @@ Words are runs of lower-case ASCII letters, digits and non-ASCII characters, aft
 
 Phrases: every place where the words of a phrase stand consecutively counts and gives the phrase's label.
 
-Set-similarity join: a text block (a line of a text with enough words) matches a template if it holds at least
-``threshold`` of the template's distinct words. Template words are ordered by the number of blocks of the whole corpus
-that hold them, rarest first. With t distinct words and o = ceil(threshold * t) needed:
+Set-similarity join: a text block matches a template if it holds at least ``threshold`` of the template's distinct
+words. Blocks are the lines of a text and, so that line ends within a statement lose nothing, its runs of
+ceil(n / threshold) consecutive words, n being the template's number of words. A run must also hold those of the
+template's words that tell its label apart (``TELLING``), and so must a line for ``scan`` to take its label.
+Template words are ordered by the number of lines of the whole corpus that hold them, rarest first. With t distinct
+words and o = ceil(threshold * t) needed:
 
 * prefix filter: a matching block holds one of the template's first t - o + 1 words; only those are probed;
 * length filter: a matching block has o distinct words at least;
 * positional filter: a word found at place p of the template and place q of the block's template words leaves at most
   1 + min(words of the template after p, template words of the block after q), which must reach o.
 
+Runs are cut out around the words of any prefix only, so all that can match are; a cutting is as far to both sides as
+the longest run, is filtered like a line, and its own runs are then tried one by one.
 Pairs that pass are verified on the word sets. The filters only skip pairs that cannot match, so every match is found.
 Templates are a parameter; their words and prefixes, not the corpus, are what is broadcast (``MAX_WORDS`` is checked).
 
@@ -52,6 +57,9 @@ TEMPLATES = {
     "All rights reserved.": "all-rights-reserved",
 }
 
+#: Words without which a template's other words do not give its label.
+TELLING = {"apache", "gnu", "mit", "mozilla", "nc"}
+
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_WORDS = 20_000
 
@@ -137,8 +145,30 @@ def blocks(docs: DataFrame, vocabulary: list[str], least: int, key: list[str]) -
     return found.where(F.size("_set._known") >= least).select(*key, "_block", "_set._size", "_set._known")
 
 
+def cuttings(docs: DataFrame, anchors: list[str], reach: int, vocabulary: list[str], least: int, key: list[str]) -> DataFrame:
+    """(key, _block, _size, _known, _run): of texts of several lines, the words up to ``reach`` around each anchor word."""
+    known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
+    plain = F.col("_plain")
+    padded = F.concat(F.lit(" "), plain, F.lit(" "))
+    hit = F.lit(False)
+    for word in anchors:
+        hit = hit | F.contains(padded, F.lit(f" {word} "))
+    texts = docs.where(F.contains("text", F.lit("\n"))).select(*key, F.explode(F.array(spaced(F.col("text")))).alias("_plain")).where(hit)
+
+    def around(w: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1))
+
+    runs = F.element_at(F.transform(F.array(F.split(plain, " ")), around), 1)
+    found = texts.select(*key, F.posexplode(runs).alias("_block", "_run")).withColumn("_known", F.array_intersect("_run", known))
+    return found.where(F.size("_known") >= least).select(*key, (-1 - F.col("_block")).alias("_block"), F.size(F.array_distinct("_run")).alias("_size"), "_known", "_run")
+
+
 def matches(docs: DataFrame, templates: Mapping[str, str], threshold: float, key: list[str]) -> DataFrame:
-    """(key, _block, template, label, containment) of every block and template that meet the threshold."""
+    """(key, _block, template, label, containment, _told) of every block and template that meet the threshold.
+
+    _told: the block holds the words that tell the label apart. Blocks from 0 are lines, those below 0 cuttings.
+    """
     spark = docs.sparkSession
     sets = {i: (set(_words(t)), label) for i, (t, label) in enumerate(templates.items()) if _words(t)}
     vocabulary = sorted(set().union(*[s for s, _ in sets.values()])) if sets else []
@@ -150,14 +180,21 @@ def matches(docs: DataFrame, templates: Mapping[str, str], threshold: float, key
     counts = {r.w: r.n for r in found.select(F.explode("_known").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row a word of the vocabulary
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     prefix, bodies = [], []
+    spans = {i: math.ceil(len(_words(t)) / threshold - 1e-9) for i, t in enumerate(templates) if i in sets}
     for i, (s, label) in sets.items():
         ordered = sorted(s, key=rank.__getitem__)
-        bodies.append((i, label, ordered, len(ordered), need[i]))
+        bodies.append((i, label, ordered, len(ordered), need[i], spans[i], sorted(s & TELLING)))
         prefix += [(w, i, p) for p, w in enumerate(ordered[: len(ordered) - need[i] + 1])]
     prefix_rows = spark.createDataFrame(prefix, "w string, template int, p int")
-    body_rows = spark.createDataFrame(bodies, "template int, label string, body array<string>, t int, need int")
+    body_rows = spark.createDataFrame(bodies, "template int, label string, body array<string>, t int, need int, span int, telling array<string>")
     # an intersection keeps the order of its first side
     order = F.array(*[F.lit(w) for w in sorted(rank, key=rank.__getitem__)]).cast("array<string>")
+    anchors = sorted({w for w, _, _ in prefix})
+    if anchors:
+        cut = written(cuttings(docs, anchors, max(spans.values()) - 1, vocabulary, least, key), "license-cuttings")
+        found = found.withColumn("_run", F.lit(None).cast("array<string>")).unionByName(cut)
+    else:
+        found = found.withColumn("_run", F.lit(None).cast("array<string>"))
     ordered = found.withColumn("_known", F.array_intersect(order, "_known"))
     probes = ordered.select("*", F.posexplode("_known").alias("_q", "w")).join(F.broadcast(prefix_rows), "w").join(F.broadcast(body_rows), "template")
     bound = 1 + F.least(F.col("t") - 1 - F.col("p"), F.size("_known") - 1 - F.col("_q"))
@@ -165,12 +202,14 @@ def matches(docs: DataFrame, templates: Mapping[str, str], threshold: float, key
     shared = F.size(F.array_intersect("_known", "body"))
     # a pair is kept at the first of the prefix words that its block holds
     first = F.element_at(F.array_intersect("_known", F.slice("body", F.lit(1), F.col("t") - F.col("need") + 1)), 1)
-    return (
-        probes.where(F.col("w") == first)
-        .withColumn("containment", shared / F.col("t"))
-        .where(shared >= F.col("need"))
-        .select(*key, "_block", "template", "label", "containment")
-    )
+    pairs = probes.where((F.col("w") == first) & (shared >= F.col("need")))
+    told = F.size(F.array_except("telling", "_known")) == 0
+    lines = pairs.where("_run IS NULL").select(*key, "_block", "template", "label", (shared / F.col("t")).alias("containment"), told.alias("_told"))
+    # the most that a run of the template's length holds, of those with the telling words
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_run") - F.col("span") + 1, F.lit(1))), lambda i: F.array_intersect("body", F.slice("_run", i, F.col("span"))))
+    best = F.array_max(F.transform(F.filter(windows, lambda x: F.size(F.array_except("telling", x)) == 0), F.size))
+    runs = pairs.where(F.col("_run").isNotNull() & told).withColumn("_most", best).where(F.col("_most") >= F.col("need"))
+    return lines.unionByName(runs.select(*key, "_block", "template", "label", (F.col("_most") / F.col("t")).alias("containment"), F.lit(True).alias("_told")))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, table: Mapping[str, str] = PHRASES) -> DataFrame:
@@ -185,7 +224,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     # a text is known by its id and hash, so rows repeated with both are one key
     key = ["_id", "_hash"]
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    per = matches(keyed, templates, threshold, key).groupBy(*key).agg(F.array_sort(F.collect_set("label")).alias("_more"), F.max("containment").alias("_best"))
+    per = matches(keyed, templates, threshold, key).where("_told").groupBy(*key).agg(F.array_sort(F.collect_set("label")).alias("_more"), F.max("containment").alias("_best"))
     out = phrases(keyed, table).join(per, key, "left")
     more = F.coalesce("_more", F.array().cast("array<string>"))
     return out.select(

@@ -309,6 +309,20 @@ def test_license_matches_equal_brute_force(spark):
     assert got == sorted([(i, k) for i, x in enumerate(lines) for k, s in enumerate(sets) if len(set(licenses._words(x)) & s) >= 0.8 * len(s) - 1e-9], key=repr)
 
 
+def test_license_statements_over_several_lines(spark):
+    bsd, cc = (next(t for t, label in licenses.TEMPLATES.items() if label == x) for x in ("bsd", "cc-by"))
+    gpl = "This program is free software: you can redistribute\n * it and/or modify it\n * under the terms of the\n *\n * GNU General Public License"
+    texts = [
+        (bsd.replace("without ", "without\n"), "bsd", 1.0), ("# " + cc.replace("Commons ", "Commons\n# "), "cc-by", 1.0), ("x\n" * 3000 + gpl, "gpl", 1.0),
+        ("\n".join(f"{w} " for w in bsd.split()[:-1]) + "\nend", "bsd", 12 / 13), ("All rights\nreserved.", "all-rights-reserved", 1.0),
+        (bsd.replace("without ", "without\n" + "much else " * 20), "", 0.0), ("Released under\nthe BSD License.", "", 0.0), ("Released under the BSD License.", "", 0.0),
+        ("Licensed under\nCC-BY 4.0.", "cc-by", 1.0), ("Licensed under CC BY-\nNC 4.0", "cc-by,cc-by-nc", 1.0), ("Licensed under CC-SA BY\n4.0", "", 0.0),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(i, t) for i, (t, _, _) in enumerate(texts)])).collect()}
+    for i, (text, labels, score) in enumerate(texts):
+        assert (got[i].labels, round(got[i].score, 9)) == (labels, round(score, 9)), text[-100:]
+
+
 # 6
 
 
