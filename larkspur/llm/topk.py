@@ -1,8 +1,9 @@
 """Exact top-k inner-product search by vector approximation.
 
-Every vector is kept twice: as one quantised cell number a dimension, and exactly. A scan of the cells alone bounds the
-score of each query with each vector; exact vectors are then read in order of those bounds until no bound left can
-reach the k-th score found. Nothing is missed: a vector is passed over only when its upper bound is below it.
+Every batch of vectors is quantised on the fly to one cell number a dimension; cells are not stored. The middles of the
+cells bound the score of each query with each vector, at the cost of a full product; exact scores are then taken in
+order of those bounds until no bound left can reach the k-th score found. Nothing is missed: a vector is passed over
+only when its upper bound is below it.
 
 Queries are taken in blocks of ``block`` rows, each broadcast (so its size is the parameter, not the table's) and held
 against all vectors, which stay where they are; each task returns at most k rows a query.
