@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) is one made, which goes when the process ends.
+    Only where the session has none and runs in one process (tests) is one made, which goes when the process ends; on a
+    cluster executors would write to disks of their own, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         made = tempfile.mkdtemp(prefix="larkspur-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         base = f"file://{made}"
@@ -41,6 +45,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, most: int) -> DataFrame:
+    """With a broadcast hint where ``df``, a written table, has ``most`` rows at most; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+class Carried:
+    """The columns of a table under numbered names while an operator adds its own, so that no two names clash.
+
+    ``made``: names of outputs, in lower case; columns named so are left out, as the outputs replace them. ``beside``:
+    expressions over the table, each with a name of its own.
+    """
+
+    def __init__(self, docs: DataFrame, made: tuple[str, ...] = (), *beside: Column):
+        self.names = [c for c in docs.columns if c.lower() not in made]
+        self.columns = [f"c{i}" for i in range(len(self.names))]
+        quoted = ["`" + n.replace("`", "``") + "`" for n in self.names]
+        self.df = docs.select(*[F.col(q).alias(c) for q, c in zip(quoted, self.columns)], *beside)
+
+    def __getitem__(self, name: str) -> str:
+        return self.columns[[n.lower() for n in self.names].index(name.lower())]
+
+    def back(self, df: DataFrame, *made) -> DataFrame:
+        """The table's columns under their own names, and then the operator's."""
+        return df.select(*[F.col(c).alias(n) for c, n in zip(self.columns, self.names)], *made)
+
+
 def remove(df_or_path: DataFrame | str, spark: SparkSession) -> None:
     """Delete a written table that no later step reads."""
     path = df_or_path

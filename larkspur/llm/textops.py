@@ -16,7 +16,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD1342543DE82EF95 | 1
 #: Bytes of text that are worked on at a time; bounds the memory of a task, not what it reads.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _bytes = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.int64).view(U) * U(2) + U(1)
 
