@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard (0 to 23, near equal bytes) and slot."""
-    keyed = docs.withColumn("size", sharding.text_size("text")).withColumn("key", sharding.text_key("text", "doc_id"))
-    return sharding.shard(keyed, shards=24).drop("key")
+    return sharding.shard(docs, shards=24, size=sharding.text_size("text"), key=sharding.text_key("text", "doc_id"))
 
 
 STAGES = [
