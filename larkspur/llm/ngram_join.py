@@ -24,8 +24,9 @@ Jaccard similarity is ``share`` or more. Exact up to hash collisions; no pair is
 
 Defined cases: a null or blank text has an empty set, links with nothing and is its own component; fewer than k words
 are one token; very long texts are read to the end; rows with the same doc_id are one document with several sets, which
-links where any of them does (repeated rows are just repeated in the result); rows with a null doc_id come back with a
-null component and link with nothing; an empty table gives an empty result; other columns are not read.
+links where any of them does, so all its rows have one component (repeated rows are just repeated in the result); rows
+with a null doc_id come back with a null component and link with nothing; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.llm import textops as tx
-from larkspur.llm.common import bit, bits_of, release, remove, written
+from larkspur.llm.common import Carried, bit, bits_of, if_small, release, remove, written
 from larkspur.llm.components import components
+from larkspur.llm.sketch import merged_levels
 
 #: Documents in a bucket up to which all its pairs are held against each other at once.
 SMALL = 16
@@ -49,7 +51,8 @@ STARS = 2
 PARTNERS = np.array([0.0, 32.0, 1024.0])
 #: The cost of verifying a pair, in prefix rows.
 VERIFY = 4.0
-SEGMENT = 1 << 16
+#: Rows of a token, and documents that go, up to which they are broadcast.
+FEW, GONE = 200_000, 1_000_000
 #: Coarser bits stand for so many cells.
 FOLD = 4
 
@@ -92,55 +95,16 @@ def shingles(w: tx.Words, k: int) -> list[np.ndarray]:
 
 def token_classes(docs: DataFrame, k: int, width: int) -> list[np.ndarray]:
     """Packed bits of 2**width cells: met twice; and, FOLD cells a bit, met over 16 and over 256 times."""
-    spark = docs.sparkSession
     shift = tx.U(64 - width)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            cell = np.sort(np.concatenate(held))
-            segment = cell >> np.uint32(16)
-            cuts = np.r_[0, np.flatnonzero(segment[1:] != segment[:-1]) + 1, len(cell)]
-            low = (cell & np.uint32(0xFFFF)).astype(np.uint16).tobytes()
-            packed = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 2).astype(np.int32)), pa.py_buffer(low)])
-            return pa.RecordBatch.from_arrays([pa.array(segment[cuts[:-1]].astype(np.int32)), packed], ["segment", "cells"])
+    def cells(column: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in tx.pieces(column):
+            w = tx.words(data, offsets, lower=True)
+            g, n = tx.grams(w.hash, w.first, k)
+            short = [s for s in (shingles(_only(w, i), k)[0] for i in np.flatnonzero((n == 0) & (w.counts > 0))) if len(s)]
+            yield (np.concatenate([g, *short]) >> shift).astype(np.uint32)
 
-        for batch in batches:
-            for _, _, data, offsets in tx.pieces(batch.column(0)):
-                w = tx.words(data, offsets, lower=True)
-                g, n = tx.grams(w.hash, w.first, k)
-                short = [s for s in (shingles(_only(w, i), k)[0] for i in np.flatnonzero((n == 0) & (w.counts > 0))) if len(s)]
-                g = np.concatenate([g, *short])
-                held.append((g >> shift).astype(np.uint32))
-                size += len(g)
-                if size > 4_000_000:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for segment, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
-                n = np.bincount(np.frombuffer(cells.as_buffer(), np.uint16), minlength=SEGMENT)
-                old = total.get(segment)
-                total[segment] = np.minimum(n if old is None else n + old, 1000).astype(np.uint16)
-        keys = sorted(total)
-        for s in keys:
-            n = total.pop(s)
-            coarse = n.reshape(-1, FOLD).max(1)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([np.packbits(x, bitorder="little").tobytes()]) for x in (n > 1, coarse > 16, coarse > 256))], ["segment", "twice", "many", "most"])
-
-    # 2**width / 2**16 segments, each a dense array once merged, whatever the input
-    parts = max(1, min(1 << (width - 16), 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = docs.select("text").mapInArrow(count, "segment int, cells binary").repartition(parts, "segment").mapInArrow(merge, "segment int, twice binary, many binary, most binary").toArrow()
-    out = [np.zeros((1 << width) // 8, np.uint8), np.zeros((1 << width) // 8 // FOLD, np.uint8), np.zeros((1 << width) // 8 // FOLD, np.uint8)]
-    for segment, *bits in zip(*(rows[c].to_pylist() for c in ("segment", "twice", "many", "most"))):
-        for level, b in zip(out, bits):
-            level[segment * len(b) : (segment + 1) * len(b)] = np.frombuffer(b, np.uint8)
-    return out
+    return merged_levels(docs, cells, width, [(2, 1), (17, FOLD), (257, FOLD)])
 
 
 def _only(w: tx.Words, i: int) -> tx.Words:
@@ -262,8 +226,9 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
     classes = written(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "join-classes")
     reps = real.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
     postings = written(reps.select("doc_id", "n", "l", F.posexplode("prefix").alias("at", "token")), "join-postings")
-    buckets = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    shared = postings.join(buckets, "token")
+    # rows of a token are counted and written first, so the joins back are ones that adaptive execution can split
+    buckets = written(postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "join-buckets")
+    shared = postings.join(if_small(buckets, FEW), "token")
     # prefix tokens that no other class has can be in no overlap: what is left of a set bounds it
     own = Window.partitionBy("doc_id", "n", "l")
     shared = shared.withColumn("live", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("at", "token")))
@@ -276,7 +241,10 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
         n = F.col(f"{x}n"), F.col(f"{y}n")
         return sim.lengths(*n) & (F.least(f"{x}most", f"{y}most") >= sim.shared(*n))
 
-    links = known = None
+    # a doc_id with several sets links the classes of all of them
+    several = real.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("doc_id")
+    links = real.join(several, "doc_id").join(classes, ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    links, known = written(links, "join-links"), None
     for step in range(STARS):
         # one member of each large bucket against the others, in four large buckets of each document: first the one
         # whose set the other documents share most of, as the original of copies, then one drawn by hash
@@ -284,18 +252,19 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
         order = F.struct((F.col("most") / F.col("n")).alias("a"), F.xxhash64("doc_id").alias("b")) if not step else F.struct(F.xxhash64("doc_id", "token").alias("b"))
         drawn = large.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "most", "component"), order).alias("r"))
         drawn = drawn.select("token", *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("doc_id", "n", "most", "component")))
+        drawn = if_small(written(drawn, "join-drawn"), FEW)
         few = large.groupBy("doc_id").agg(*(F.min_by("token", F.xxhash64("token", F.lit(4 * step + i))).alias(f"t{i}") for i in range(4)))
         mine = large.join(few, "doc_id").where("token IN (t0, t1, t2, t3)")
         stars = mine.join(drawn, "token").where((F.col("component") != F.col("r_component")) & can_link("", "r_"))
         stars = written(stars.select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")).distinct(), "join-stars")
         found = verified(docs, stars, k, sim, size.n)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         known = written(components(links), "join-known")
 
     # all buckets: the pairs of different components that share enough prefix tokens
     every = written(labelled(shared, known).drop("k"), "join-labelled")
     mixed = every.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = every.join(mixed, "token", "left_semi")
+    open_ = written(every.join(if_small(written(mixed, "join-mixed"), FEW), "token", "left_semi"), "join-open")
     x, y = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "l", "most", "live", "rank", "component"))) for s in "xy")
     # shared tokens not met in the prefixes lie beyond the end of one of them, where a set has need - l + 1 tokens left
     beyond = F.greatest(sim.need(F.col("x_n")) - F.col("x_l"), sim.need(F.col("y_n")) - F.col("y_l")) + 1
@@ -316,10 +285,23 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
 
 
 def one_of_each(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each component; of rows with that doc_id one stays.
+    """``docs`` with the document of the smallest doc_id of each component; of its repeated rows one stays.
 
-    Documents without words link with nothing and stay, as do rows without doc_id.
+    Documents without words link with nothing and stay, as do rows without doc_id. Of rows with one doc_id and different
+    texts each text stays, if that doc_id does. Columns of any name are carried along.
     """
-    kept = join(docs, k, share).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
+    held = Carried(docs)
+    doc_id, text = held["doc_id"], held["text"]
+    found = written(join(docs.select("doc_id", "text"), k, share).select("doc_id", "component_id"), "join-found")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "join-gone")
+    # few enough to be sent to all tasks, else by shuffle; rows without doc_id meet none
+    kept = held.df.join(if_small(gone, GONE), F.col(doc_id) == F.col("id"), "left_anti")
+    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    twice = written(twice, "join-twice")
+    if twice.isEmpty():
+        return held.back(kept)
+    # only rows of a doc_id that is there more than once are compared
+    once = kept.join(if_small(twice, GONE), F.col(doc_id) == F.col("id"), "left_anti")
+    repeated = kept.join(if_small(twice, GONE), F.col(doc_id) == F.col("id"), "left_semi")
+    repeated = repeated.withColumn("hash", F.xxhash64(text)).dropDuplicates([doc_id, "hash"]).drop("hash")
+    return held.back(once.unionByName(repeated))
