@@ -3,23 +3,24 @@
 A window is ``window`` consecutive words. Its anchor is the smallest hash among its runs of ``gram`` words, so equal
 windows have equal anchors, and neighbouring windows mostly share one.
 
-1. Count-min: each task counts, per document once, the cells of the anchors it sees; the sketches of all tasks are added
-   up. A cell's count is never below the number of documents that hold one of its windows.
-2. Blocks: neighbouring windows with one anchor, of cells that count 2 or more and no others, are one block, grouped
+1. Count-min: a sketch of ``DEPTH`` rows of cells. Each task counts, per document once, the cells of the anchors it sees,
+   one in each row; the sketches of all tasks are added up. The least count of an anchor's cells is never below the
+   number of documents that hold one of its windows.
+2. Blocks: neighbouring windows with one anchor, of those with a least count of 2 and no others, are one block, grouped
    exactly by 128 bits of all its words. Blocks that a smaller doc_id holds too mark their words.
 3. Windows: an anchor with a single block is settled so, as its windows are in no other block. Windows of anchors with
    different blocks (at edits and at the ends of passages) are grouped exactly one by one, by 128 bits of their words;
    the smallest doc_id of each is joined back, and windows of larger ones mark their words.
 
 What is broadcast is one bit a cell, ``max_cells`` at most (2**28, 32 MB), twice; a fuller sketch lets more windows
-through to the exact grouping and loses none. Equal blocks and windows are summed up in each task before the shuffle,
-and joins back are ones that adaptive execution splits where a window is in very many documents. Texts without a mark
-are not shuffled.
+through to the exact grouping and loses none. Equal blocks and windows are summed up in each task before the shuffle and
+written; what is in several documents is joined back by broadcast up to ``FEW`` rows, and beyond by joins that adaptive
+execution splits where a window is in very many documents. Texts without a mark are not shuffled.
 
 Defined cases: a null or empty text has no words and stays as it is with kept_text empty; a null doc_id is neither
 larger nor smaller, so such rows are kept whole; rows with the same doc_id do not cover each other; a text shorter than
-a window is kept; very long texts are read to the end; an empty table gives an empty result; other columns are carried
-along, unless they are named like an output, which then replaces them.
+a window is kept; very long texts are read to the end; an empty table gives an empty result; other columns, whatever
+their names, are carried along, unless they are named like an output, which then replaces them.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from larkspur.llm import textops as tx
-from larkspur.llm.common import bit, bits_of, release, remove, written
+from larkspur.llm.common import Carried, bit, bits_of, if_small, release, remove, written
+from larkspur.llm.sketch import merged_levels
 
 WINDOW, GRAM = 50, 16
+#: Rows of the sketch.
+DEPTH = 2
+#: Blocks or windows that are in several documents, up to which they are broadcast, of 24 bytes each.
+FEW = 200_000
 #: Bits of a place that hold the window's first word; those above tell texts with the same doc_id apart.
 START_BITS = 40
 
@@ -64,20 +70,28 @@ def _cells(anchor: np.ndarray, cells: int) -> np.ndarray:
     return (anchor & tx.U(cells - 1)).astype(np.int64)
 
 
-def repeated_cells(docs: DataFrame, width: int, window: int, gram: int) -> np.ndarray:
-    """A bit a cell, packed: set where the merged sketch counts 2 or more."""
-    cells = 1 << width
+def _sketched(anchor: np.ndarray, width: int) -> list[np.ndarray]:
+    """The cell of each anchor in each row of a sketch of 2**width cells."""
+    own = width - (DEPTH - 1).bit_length()
+    return [(tx.mix(anchor, 11 + r) >> tx.U(64 - own)).astype(np.int64) + (r << own) for r in range(DEPTH)]
+
+
+def repeated_anchors(docs: DataFrame, width: int, window: int, gram: int) -> np.ndarray:
+    """The merged sketch: a bit a cell, packed, set where it counts 2 or more."""
+
+    def cells(column: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in tx.pieces(column):
+            row, _, anchor = anchors(tx.words(data, offsets), window, gram)
+            new = _changes(row, anchor)
+            for cell in _sketched(anchor[new], width):
+                yield (np.unique(row[new] << 32 | cell) & 0xFFFFFFFF).astype(np.uint32)
+
+    return merged_levels(docs, cells, width, [(2, 1)])[0]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in tx.pieces(batch.column(0)):
-                row, _, anchor = anchors(tx.words(data, offsets), window, gram)
-                new = _changes(row, anchor)
-                once = np.unique(row[new] << 32 | _cells(anchor[new], cells)) & 0xFFFFFFFF
-                cell, n = np.unique(once, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int8))], ["cell", "n"])
 
-    return bits_of(docs.select("text").mapInArrow(count, "cell int, n byte").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2"), "cell", width)
+def _repeated(bits: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+    """Whether the least count of an anchor's cells is 2 or more."""
+    return np.logical_and.reduce([bit(bits, c) == 1 for c in _sketched(anchor, width)])
 
 
 def _changes(row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -85,8 +99,9 @@ def _changes(row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(row) else row
 
 
-def _emitted(docs: DataFrame, bits: np.ndarray, window: int, gram: int, cells: int, whole: bool) -> DataFrame:
-    """(h1, h2, doc_id, place, anchor, size): blocks, or single windows, of anchors whose bit is set."""
+def _emitted(docs: DataFrame, bits: np.ndarray, window: int, gram: int, width: int, whole: bool) -> DataFrame:
+    """(h1, h2, doc_id, place, anchor, size): blocks of anchors that the sketch ``bits`` estimates repeated, or single
+    windows of anchors whose one bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +113,10 @@ def _emitted(docs: DataFrame, bits: np.ndarray, window: int, gram: int, cells: i
                 if whole:
                     at = _changes(row, anchor)
                     size = np.diff(np.r_[at, len(row)])
-                    live = bit(shared.value, _cells(anchor[at], cells)).astype(bool)
+                    live = _repeated(shared.value, anchor[at], width)
                     at, size = at[live], size[live]
                 else:
-                    at = np.flatnonzero(bit(shared.value, _cells(anchor, cells)))
+                    at = np.flatnonzero(bit(shared.value, _cells(anchor, 1 << width)))
                     size = np.ones(len(at), np.int64)
                 first = w.first[row[at]] + start[at]
                 columns = [*tx.spans(w.hash, first, window - 1 + size), ids[a + row[at]], tags[a + row[at]].astype(np.int64) << START_BITS | start[at], anchor[at].view(np.int64), size.astype(np.int32)]
@@ -117,48 +132,49 @@ def marks(docs: DataFrame, window: int, gram: int, max_cells: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     # about one anchor in 100 bytes, and 25 cells an anchor where the bound allows it
     width = min(max_cells.bit_length() - 1, max(16, (int(size) // 4).bit_length()))
-    tagged = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _tag().alias("_tag"), "text")
-    blocks = written(_emitted(tagged, repeated_cells(docs, width, window, gram), window, gram, 1 << width, True), "substring-blocks")
+    tagged = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _tag("text").alias("_tag"), "text")
+    blocks = written(_emitted(tagged, repeated_anchors(docs, width, window, gram), window, gram, width, True), "substring-blocks")
     kinds = written(blocks.groupBy("h1", "h2", "anchor").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")), "substring-kinds")
     release(spark)
     repeated = kinds.where("_first < _last").select("h1", "h2", "_first")
-    runs = blocks.join(repeated, ["h1", "h2"]).where("doc_id > _first").select("doc_id", "place", "size")
+    runs = blocks.join(if_small(repeated, FEW), ["h1", "h2"]).where("doc_id > _first").select("doc_id", "place", "size")
     runs = written(runs, "substring-runs")
 
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("_first").alias("lo"), F.max("_last").alias("hi")).where("n > 1 AND lo < hi")
     cell = F.col("anchor").bitwiseAND((1 << width) - 1)
     open_ = bits_of(mixed.select(cell.alias("cell")), "cell", width)
     release(spark)
-    windows = written(_emitted(tagged, open_, window, gram, 1 << width, False).drop("anchor", "size"), "substring-windows")
+    windows = written(_emitted(tagged, open_, window, gram, width, False).drop("anchor", "size"), "substring-windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
-    single = windows.join(first, ["h1", "h2"]).where("doc_id > _first").select("doc_id", "place", F.lit(1).alias("size"))
+    first = written(first, "substring-firsts")
+    single = windows.join(if_small(first, FEW), ["h1", "h2"]).where("doc_id > _first").select("doc_id", "place", F.lit(1).alias("size"))
     found = runs.unionByName(single).groupBy("doc_id", F.shiftright("place", START_BITS).cast("int").alias("_tag"))
     start = F.col("place").bitwiseAND((1 << START_BITS) - 1).cast("int")
     out = written(found.agg(F.collect_list(F.struct(start.alias("start"), "size")).alias("_runs")), "substring-marks")
-    for done in (blocks, kinds, windows, runs):
+    for done in (blocks, kinds, windows, first, runs):
         remove(done, spark)
     release(spark)
     return out.select("doc_id", "_tag", F.col("_runs.start").alias("_starts"), F.col("_runs.size").alias("_sizes"))
 
 
-def _tag():
-    return F.hash("text").bitwiseAND((1 << 23) - 1)
+def _tag(text: str):
+    return F.hash(text).bitwiseAND((1 << 23) - 1)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = 1 << 28) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the words left, one space between)."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    docs = docs.select(*kept)
-    found = marks(docs, window, gram, max_cells).withColumnRenamed("doc_id", "_doc")
-    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_tag", _tag())
+    held = Carried(docs, ("n_words", "n_removed", "kept_text"))
+    kept = held.columns
+    found = marks(docs.select("doc_id", "text"), window, gram, max_cells).toDF("doc", "tag", "starts", "sizes")
+    keyed = held.df.withColumn("doc", F.col(held["doc_id"]).cast("long")).withColumn("tag", _tag(held["text"]))
     n = found.count()
     width = min(28, max(15, (16 * n).bit_length()))
-    cell = F.pmod(F.xxhash64("_doc", "_tag"), F.lit(1 << width))
+    cell = F.pmod(F.xxhash64("doc", "tag"), F.lit(1 << width))
     # 2**width bits, 32 MB at most: texts without a bit have no mark and need no join
     shared = spark.sparkContext.broadcast(bits_of(found.select(cell.alias("cell")), "cell", width))
-    at, fields = kept.index("text"), [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    schema = T.StructType([*docs.schema.fields, *fields])
+    at, fields = kept.index(held["text"]), [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+    schema = T.StructType([*held.df.schema.fields, *fields])
 
     def cut(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +200,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: in
         for batch in batches:
             yield batch.filter(pa.array(bit(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)) == 1))
 
-    keyed = keyed.withColumn("_cell", cell)
-    plain = keyed.select(*kept, "_cell").mapInArrow(lambda batches: cut(batches, False), schema)
-    rest = keyed.mapInArrow(marked, keyed.schema).join(found, ["_doc", "_tag"], "left").select(*kept, "_starts", "_sizes")
-    return plain.unionByName(rest.mapInArrow(lambda batches: cut(batches, True), schema))
+    keyed = keyed.withColumn("cell", cell)
+    plain = keyed.select(*kept, "cell").mapInArrow(lambda batches: cut(batches, False), schema)
+    rest = keyed.mapInArrow(marked, keyed.schema).join(found, ["doc", "tag"], "left").select(*kept, "starts", "sizes")
+    return held.back(plain.unionByName(rest.mapInArrow(lambda batches: cut(batches, True), schema)), "n_words", "n_removed", "kept_text")
