@@ -12,8 +12,10 @@ terms those that occur in ``min_support`` rows and depend on the label (chi-squa
 So what the driver gathers is bounded by the two parameters. Scoring reads every text to its end.
 
 Defined cases: a null or empty text has no terms and scores by the bias; a label of null counts as none; of several
-labels of a doc_id the largest counts; repeated rows are scored alike; without labels every score is 0.25; an empty
-table gives an empty result. Other columns of ``docs`` are carried along unless they are named like an output.
+labels of a doc_id the largest counts; labels without doc_id are not learned from, and rows without doc_id are scored like
+others; repeated rows are scored alike; very long texts are read to the end; without labels every score is 0.25; an
+empty table gives an empty result. Other columns of ``docs``, whatever their names, are carried along unless they are
+named like an output.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from larkspur.llm import textops as tx
+from larkspur.llm.common import Carried
 
 BITS = 20
 HEADS = (6, 8)
@@ -173,11 +176,9 @@ def fit(
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 at least)."""
-    spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*kept)
-    at, shared = kept.index("text"), spark.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    held = Carried(docs, ("score", "predicted"))
+    at, shared = held.columns.index(held["text"]), docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*held.df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = shared.value
@@ -186,6 +187,6 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
                 continue
             z = np.concatenate([fm.margins(b - a, row, term) for a, b, row, term in terms(batch.column(at), fm.known)])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return held.back(held.df.mapInArrow(run, schema), "score", "predicted")
