@@ -9,12 +9,14 @@ where ``min_docs`` texts of the leaf have the same token there, digits and all.
 have a template, also those that are nothing but numbers; lines that have one without this keep it.
 
 A template's texts are among its leaf's, so lines of leaves that fewer texts reach are kept without a further look.
-Texts are counted, not rows: exact copies count once. All counting is by key with sums in each task first; the lines
-of frequent leaves alone are taken apart; leaves are joined by broadcast up to ``MANY``, by shuffle beyond.
+Texts are counted, not rows: exact copies count once, and are known by 128 bits of their text. All counting is by key
+with sums in each task first; the lines of frequent leaves alone are taken apart; leaves, constants and templates are
+written and joined back by broadcast up to ``MANY``, beyond by joins that adaptive execution can split.
 
 Defined cases: a null or empty text has no lines to drop and is kept as it is; blank lines are kept and have no
-template; very long texts and lines are read to the end; rows repeated with id and text are treated alike; an empty
-table gives an empty result; other columns are carried along, unless they are named like an output (n_lines,
+template; very long texts and lines are read to the end; doc_id is not read, so rows with any or no doc_id are judged by
+their text, and repeated rows alike; a template of exactly ``min_docs`` texts recurs; an empty table gives an empty
+result; other columns, whatever their names, are carried along, unless they are named like an output (n_lines,
 n_dropped, kept_text), which then replaces them.
 """
 
@@ -22,11 +24,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import Carried, if_small, written
 
 VARIABLE = "<*>"
-#: Leaves up to which they are broadcast, of 8 bytes each.
-MANY = 500_000
+#: Leaves, constants and templates up to which they are broadcast, of 8 to 24 bytes each.
+MANY = 300_000
+#: Texts with lines to drop, and such lines, up to which they are broadcast.
+FEW_TEXTS, FEW_LINES = 50_000, 1_000_000
 
 
 #: White space within a line, and a token with a digit: it begins where a token begins, and nothing is tried twice.
@@ -53,50 +57,54 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def recurring(docs: DataFrame, min_docs: int, depth: int) -> DataFrame:
-    """(doc_id, _hash, lines): numbers of the lines to drop, from 0."""
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_hash"), "text")
+def text_hashes(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def recurring(texts: DataFrame, min_docs: int, depth: int) -> DataFrame:
+    """(h1, h2, lines) as a written table: of each text of the column ``text``, the numbers of the lines to drop, from 0."""
+    texts = texts.where(F.col("text").isNotNull()).select(*text_hashes("text"), "text")
     # tokens are a lambda's variable when the leaf uses them, so they are made once a line
-    leaves = F.transform(F.transform(_lines(F.col("text")), tokens), lambda t: leaf(t, depth))
-    placed = written(texts.select("doc_id", "_hash", F.posexplode(leaves).alias("line", "leaf")).where("leaf IS NOT NULL"), "lines-placed")
-    frequent = placed.groupBy("leaf").agg(F.count_distinct("_hash").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    frequent = written(frequent, "lines-leaves")
-    few = frequent.limit(MANY + 1).count() <= MANY
-    kept = placed.join(F.broadcast(frequent) if few else frequent, "leaf", "left_semi")
-    # the lines of frequent leaves, with their text again
-    per = kept.groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set("line")).alias("some"))
-    there = texts.join(per.withColumnRenamed("_hash", "_own"), texts["doc_id"].eqNullSafe(per["doc_id"]) & (F.col("_hash") == F.col("_own"))).select(texts["doc_id"], "_hash", "text", "some")
-    there = there.dropDuplicates(["doc_id", "_hash"])
-    bodies = F.element_at(F.transform(F.array(_lines(F.col("text"))), lambda every: F.transform("some", lambda i: F.struct(i.alias("line"), F.get(every, i).alias("body")))), 1)
-    taken = there.select("doc_id", "_hash", F.explode(bodies).alias("x"))
-    taken = taken.select("doc_id", "_hash", F.col("x.line").alias("line"), tokens(F.col("x.body")).alias("t"), raw_tokens(F.col("x.body")).alias("raw"))
-    taken = written(taken.withColumn("leaf", leaf(F.col("t"), depth)).drop("t"), "lines-taken")
-    single = taken.select("doc_id", "_hash", "line", "leaf", F.size("raw").alias("size"), F.posexplode("raw").alias("p", "token"))
-    constant = single.groupBy("leaf", "p", "token").agg(F.count_distinct("_hash").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    taken_apart = F.transform(_lines(F.col("text")), lambda body: F.struct(body.alias("body"), tokens(body).alias("t")))
+    leaves = F.transform(taken_apart, lambda x: F.struct(leaf(x["t"], depth).alias("leaf"), x["body"].alias("body")))
+    placed = texts.select("h1", "h2", F.posexplode(leaves).alias("line", "x")).where("x.leaf IS NOT NULL").select("h1", "h2", "line", "x.leaf", "x.body")
+    placed = written(placed, "lines-placed")
+    frequent = written(placed.groupBy("leaf").agg(F.count_distinct("h1").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "lines-leaves")
+    # the lines of frequent leaves, of each text once
+    taken = placed.join(if_small(frequent, MANY), "leaf", "left_semi").dropDuplicates(["h1", "h2", "line"])
+    taken = written(taken.select("h1", "h2", "line", "leaf", raw_tokens(F.col("body")).alias("raw")), "lines-taken")
+    single = taken.select("h1", "h2", "line", "leaf", F.size("raw").alias("size"), F.posexplode("raw").alias("p", "token"))
+    constant = single.groupBy("leaf", "p", "token").agg(F.count_distinct("h1").alias("n")).where(F.col("n") >= min_docs)
     # tokens with a digit are in a template only where it has too few constants without them
-    constant = constant.withColumn("h", F.xxhash64("p", "token")).withColumn("plain", ~F.col("token").rlike("[0-9]") & (F.col("token") != VARIABLE))
-    fixed = single.join(constant, ["leaf", "p", "token"]).groupBy("doc_id", "_hash", "line", "leaf", "size")
+    plain = ~F.col("token").rlike("[0-9]") & (F.col("token") != VARIABLE)
+    constant = written(constant.select(F.xxhash64("leaf", "p", "token").alias("constant"), F.xxhash64("p", "token").alias("h"), plain.alias("plain")), "lines-constants")
+    fixed = single.select("h1", "h2", "line", "leaf", "size", F.xxhash64("leaf", "p", "token").alias("constant")).join(if_small(constant, MANY), "constant")
+    fixed = fixed.groupBy("h1", "h2", "line", "leaf", "size")
     fixed = fixed.agg(F.count_if("plain").alias("some"), F.count("*").alias("all"), F.bit_xor(F.when(F.col("plain"), F.col("h"))).alias("of_some"), F.bit_xor("h").alias("of_all"))
     enough = F.col("some") * 2 >= F.col("size")
     fixed = fixed.where(F.col("all") * 2 >= F.col("size")).select(
-        "doc_id", "_hash", "line", "leaf", F.when(enough, F.col("some")).otherwise(F.col("all")).alias("constants"), F.when(enough, F.col("of_some")).otherwise(F.col("of_all")).alias("template")
+        "h1", "h2", "line", "leaf", F.when(enough, F.col("some")).otherwise(F.col("all")).alias("constants"), F.when(enough, F.col("of_some")).otherwise(F.col("of_all")).alias("template")
     )
     fixed = written(fixed, "lines-templates")
-    again = fixed.groupBy("leaf", "template", "constants").agg(F.count_distinct("_hash").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    return fixed.join(again, ["leaf", "template", "constants"]).groupBy("doc_id", "_hash").agg(F.collect_set("line").alias("lines"))
+    again = fixed.groupBy("leaf", "template", "constants").agg(F.count_distinct("h1").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    dropped = fixed.join(if_small(written(again, "lines-again"), MANY), ["leaf", "template", "constants"])
+    return written(dropped.groupBy("h1", "h2").agg(F.collect_list("line").alias("lines")), "lines-dropped")
 
 
 def dedup(docs: DataFrame, min_docs: int = 8, depth: int = 3) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with n_lines, n_dropped and kept_text."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    docs = docs.select(*kept)
-    found = recurring(docs, min_docs, depth).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "lines")
-    joined = docs.withColumn("_mine", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_of")), "left")
-    every = _lines(F.col("text"))
-    left = F.array_join(F.filter(every, lambda _, i: ~F.array_contains("lines", i)), "\n")
-    return joined.select(
-        *kept,
-        F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(every)).cast("long").alias("n_lines"),
+    """``docs`` (text, ...) with n_lines, n_dropped and kept_text."""
+    held = Carried(docs, ("n_lines", "n_dropped", "kept_text"))
+    found = recurring(docs.select("text"), min_docs, depth)
+    size = found.agg(F.count("*").alias("texts"), F.sum(F.size("lines")).alias("lines")).first()
+    few = size.texts <= FEW_TEXTS and (size.lines or 0) <= FEW_LINES
+    text = F.col(held["text"])
+    joined = held.df.select("*", *text_hashes(held["text"])).join(F.broadcast(found) if few else found, ["h1", "h2"], "left")
+    every = _lines(text)
+    # the lines are a lambda's variable, so the text is split once
+    left = F.transform(F.array(every), lambda e: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(e) - 1), "lines"), lambda i: F.get(e, i)), "\n"))
+    return held.back(
+        joined,
+        F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(every)).cast("long").alias("n_lines"),
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped"),
-        F.when(F.col("lines").isNull(), F.coalesce("text", F.lit(""))).otherwise(left).alias("kept_text"),
+        F.when(F.col("lines").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.element_at(left, 1)).alias("kept_text"),
     )
