@@ -5,9 +5,9 @@ Words are runs of lower-case ASCII letters, digits and non-ASCII characters, aft
 Phrases: every place where the words of a phrase stand consecutively counts and gives the phrase's label.
 
 Set-similarity join: a text block matches a template if it holds at least ``threshold`` of the template's distinct
-words. Blocks are the lines of a text and, so that line ends within a statement lose nothing, its runs of
-ceil(n / threshold) consecutive words, n being the template's number of words. A run must also hold those of the
-template's words that tell its label apart (``TELLING``), and so must a line for ``scan`` to take its label.
+words. Blocks are runs of ceil(n / threshold) consecutive words, n being the template's number of words, so neither line
+ends nor the length of a line matter, and words strewn over a long line are no statement. A block must also hold those
+of the template's words that tell its label apart (``TELLING``). ``matches`` holds whole lines against the templates.
 Template words are ordered by the number of lines of the whole corpus that hold them, rarest first. With t distinct
 words and o = ceil(threshold * t) needed:
 
@@ -16,14 +16,17 @@ words and o = ceil(threshold * t) needed:
 * positional filter: a word found at place p of the template and place q of the block's template words leaves at most
   1 + min(words of the template after p, template words of the block after q), which must reach o.
 
-Runs are cut out around the words of any prefix only, so all that can match are; a cutting is as far to both sides as
-the longest run, is filtered like a line, and its own runs are then tried one by one.
-Pairs that pass are verified on the word sets. The filters only skip pairs that cannot match, so every match is found.
-Templates are a parameter; their words and prefixes, not the corpus, are what is broadcast (``MAX_WORDS`` is checked).
+Blocks are cut out around the words of any prefix only, so all that can match are; a cutting is as far to both sides as
+the longest block, is filtered as one, and its own runs are then tried one by one. The filters only skip pairs that
+cannot match, so every match is found. Templates are a parameter; their words and prefixes, not the corpus, are what is
+broadcast (``MAX_WORDS`` is checked).
+
+A first pass takes each text apart once, for its phrases and for the words of its lines, and writes a row of figures a
+text; the second reads texts that hold a word of a prefix as a substring, and takes only those apart again.
 
 Defined cases: a null or empty text has no words, no label and score 0; very long texts and lines are scanned to the
 end; rows are judged one by one, so repeated rows give repeated results; an empty table gives an empty result; other
-columns are carried along, unless they are named like an output, which then replaces them.
+columns, whatever their names, are carried along, unless they are named like an output, which then replaces them.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import Carried, if_small, written
 
 #: Phrases and their labels.
 PHRASES = {
@@ -62,6 +65,8 @@ TELLING = {"apache", "gnu", "mit", "mozilla", "nc"}
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_WORDS = 20_000
+#: Texts with a match up to which they are broadcast.
+FEW = 200_000
 
 
 def lower(text: Column) -> Column:
@@ -106,110 +111,125 @@ def starts(all_words: Column, phrase: str) -> Column:
     return F.filter(places, here)
 
 
-def phrases(docs: DataFrame, table: Mapping[str, str]) -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word and _base, the sorted array of labels.
+def figures(docs: DataFrame, table: Mapping[str, str], vocabulary: list[str], least: int, key: list[str]) -> DataFrame:
+    """(key, n_words, n_base, first_word, last_word, base, blocks): of each text, its words, its phrases, and of its lines
+    that hold ``least`` words of the vocabulary (block, size, known): number, distinct words, and those of the vocabulary.
 
-    Words are taken apart only in texts that hold a phrase's words in a row, and counted by their spaces elsewhere.
+    Places of words are made only in texts that hold a phrase's words in a row.
     """
-    plain = F.col("_plain")
+    known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
+    # generators of one row: what they make is not computed again in each expression that uses it
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), spaced)
+    df = docs.select(*key, F.explode(F.array(lines)).alias("lines"))
+    df = df.select(*key, "lines", F.explode(F.array(F.array_join(F.filter("lines", lambda x: x != ""), " "))).alias("plain"))
+    plain = F.col("plain")
     padded = F.concat(F.lit(" "), plain, F.lit(" "))
-    # a generator of one row: what it makes is not computed again in each expression that uses it
-    df = docs.select("*", F.explode(F.array(spaced(F.col("text")))).alias("_plain"))
     n_words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
-    df = df.withColumn("n_words", n_words.cast("long"))
     hit = F.lit(False)
     for phrase in table:
         hit = hit | F.contains(padded, F.lit(f" {phrase} "))
     # the words are the lambda's variable, so they are taken apart once a text
-    places = F.element_at(F.transform(F.array(F.split(plain, " ")), lambda w: F.flatten(F.array(*[starts(w, p) for p in table]))), 1)
-    df = df.withColumn("_places", F.when(hit, places).otherwise(F.array().cast("array<int>")))
+    places = F.element_at(F.transform(F.array(F.split(plain, " ")), lambda w: F.flatten(F.array(*[starts(w, p) for p in table]).cast("array<array<int>>"))), 1)
     labels = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(label)) for p, label in table.items()]))
-    return (
-        df.withColumn("n_base", F.size("_places").cast("long"))
-        .withColumn("first_word", F.array_min("_places").cast("long"))
-        .withColumn("last_word", F.array_max("_places").cast("long"))
-        .withColumn("_base", F.when(hit, F.array_sort(F.array_distinct(labels))).otherwise(F.array().cast("array<string>")))
-        .drop("_plain", "_places")
-    )
-
+    words = F.transform("lines", lambda x: F.split(x, " "))
+    sets = F.transform(words, lambda w, i: F.struct(i.alias("block"), F.size(F.array_distinct(w)).alias("size"), F.array_intersect(w, known).alias("known")))
+    df = df.select(
+        *key, n_words.cast("long").alias("n_words"), F.when(hit, places).otherwise(F.array().cast("array<int>")).alias("places"),
+        F.when(hit, F.array_sort(F.array_distinct(labels.cast("array<string>")))).otherwise(F.array().cast("array<string>")).alias("base"),
+        F.filter(sets, lambda x: F.size(x["known"]) >= least).alias("blocks"),
+    )
+    return df.select(*key, "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base", "blocks")
+
+
+class Templates:
+    """Templates as word sets, and, once the words' frequencies are known, their order and prefixes."""
+
+    def __init__(self, templates: Mapping[str, str], threshold: float):
+        split = {i: (_words(t), label) for i, (t, label) in enumerate(templates.items())}
+        self.sets = {i: (set(w), label) for i, (w, label) in split.items() if w}
+        self.vocabulary = sorted(set().union(*[s for s, _ in self.sets.values()])) if self.sets else []
+        if len(self.vocabulary) > MAX_WORDS:
+            raise ValueError(f"templates hold more than {MAX_WORDS} words")
+        self.need = {i: max(1, math.ceil(threshold * len(s) - 1e-9)) for i, (s, _) in self.sets.items()}
+        self.least = min(self.need.values(), default=1)
+        self.spans = {i: math.ceil(len(split[i][0]) / threshold - 1e-9) for i in self.sets}
+
+    def order(self, blocks: DataFrame) -> None:
+        """By the lines of ``blocks`` (known) that hold each word; a row a word of the vocabulary comes back."""
+        spark = blocks.sparkSession
+        counts = {r.w: r.n for r in blocks.select(F.explode("known").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+        self.ranked = sorted(self.vocabulary, key=lambda w: (counts.get(w, 0), w))
+        rank = {w: i for i, w in enumerate(self.ranked)}
+        prefix, bodies = [], []
+        for i, (s, label) in self.sets.items():
+            ordered = sorted(s, key=rank.__getitem__)
+            bodies.append((i, label, ordered, len(ordered), self.need[i], self.spans[i], sorted(s & TELLING)))
+            prefix += [(w, i, p) for p, w in enumerate(ordered[: len(ordered) - self.need[i] + 1])]
+        self.prefix = spark.createDataFrame(prefix, "w string, template int, p int")
+        self.bodies = spark.createDataFrame(bodies, "template int, label string, body array<string>, t int, need int, span int, telling array<string>")
+        self.anchors = sorted({w for w, _, _ in prefix})
+
+    def pairs(self, blocks: DataFrame) -> DataFrame:
+        """``blocks`` (size, known, ...) with the templates of which they hold as many words as needed."""
+        # an intersection keeps the order of its first side
+        order = F.array(*[F.lit(w) for w in self.ranked]).cast("array<string>")
+        ordered = blocks.withColumn("known", F.array_intersect(order, "known"))
+        probes = ordered.select("*", F.posexplode("known").alias("q", "w")).join(F.broadcast(self.prefix), "w").join(F.broadcast(self.bodies), "template")
+        bound = 1 + F.least(F.col("t") - 1 - F.col("p"), F.size("known") - 1 - F.col("q"))
+        probes = probes.where((F.col("size") >= F.col("need")) & (bound >= F.col("need")))
+        # a pair is kept at the first of the prefix words that its block holds
+        first = F.element_at(F.array_intersect("known", F.slice("body", F.lit(1), F.col("t") - F.col("need") + 1)), 1)
+        shared = F.size(F.array_intersect("known", "body"))
+        return probes.where((F.col("w") == first) & (shared >= F.col("need"))).withColumn("shared", shared)
 
-def blocks(docs: DataFrame, vocabulary: list[str], least: int, key: list[str]) -> DataFrame:
-    """(key, _block, _size, _known): of each line, its distinct words' number and those that templates hold too.
 
-    Lines with fewer than ``least`` of the latter match no template. The words are made inside the generator, so once.
-    """
+def cuttings(docs: DataFrame, anchors: list[str], reach: int, vocabulary: list[str], least: int, key: list[str]) -> DataFrame:
+    """(key, run, size, known): the words up to ``reach`` around each anchor word."""
     known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.array_distinct(F.split(spaced(line), " ")))
-    sets = F.transform(lines, lambda w: F.struct(F.size(w).alias("_size"), F.array_intersect(w, known).alias("_known")))
-    found = docs.select(*key, F.posexplode(sets).alias("_block", "_set"))
-    return found.where(F.size("_set._known") >= least).select(*key, "_block", "_set._size", "_set._known")
 
+    def holds(text: Column, around: str) -> Column:
+        out = F.lit(False)
+        for word in anchors:
+            out = out | F.contains(text, F.lit(f"{around}{word}{around}"))
+        return out
 
-def cuttings(docs: DataFrame, anchors: list[str], reach: int, vocabulary: list[str], least: int, key: list[str]) -> DataFrame:
-    """(key, _block, _size, _known, _run): of texts of several lines, the words up to ``reach`` around each anchor word."""
-    known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
-    plain = F.col("_plain")
-    padded = F.concat(F.lit(" "), plain, F.lit(" "))
-    hit = F.lit(False)
-    for word in anchors:
-        hit = hit | F.contains(padded, F.lit(f" {word} "))
-    texts = docs.where(F.contains("text", F.lit("\n"))).select(*key, F.explode(F.array(spaced(F.col("text")))).alias("_plain")).where(hit)
+    # a text without an anchor word as a substring is not taken apart
+    texts = docs.select(*key, "text", F.explode(F.array(F.lower("text"))).alias("low")).where(holds(F.col("low"), ""))
+    texts = texts.select(*key, F.explode(F.array(spaced(F.col("text")))).alias("plain")).where(holds(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), " "))
 
     def around(w: Column) -> Column:
-        at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull())
+        at = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(anchors), i)))
         return F.transform(at, lambda i: F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1))
 
-    runs = F.element_at(F.transform(F.array(F.split(plain, " ")), around), 1)
-    found = texts.select(*key, F.posexplode(runs).alias("_block", "_run")).withColumn("_known", F.array_intersect("_run", known))
-    return found.where(F.size("_known") >= least).select(*key, (-1 - F.col("_block")).alias("_block"), F.size(F.array_distinct("_run")).alias("_size"), "_known", "_run")
+    runs = F.element_at(F.transform(F.array(F.split("plain", " ")), around), 1)
+    found = texts.select(*key, F.explode(runs).alias("run")).withColumn("known", F.array_intersect("run", known))
+    return found.where(F.size("known") >= least).select(*key, "run", F.size(F.array_distinct("run")).alias("size"), "known")
 
 
 def matches(docs: DataFrame, templates: Mapping[str, str], threshold: float, key: list[str]) -> DataFrame:
-    """(key, _block, template, label, containment, _told) of every block and template that meet the threshold.
+    """(key, block, template, label, containment, told) of every line and template that meet the threshold.
 
-    _told: the block holds the words that tell the label apart. Blocks from 0 are lines, those below 0 cuttings.
+    told: the line holds the words that tell the label apart.
     """
+    sets = Templates(templates, threshold)
+    lines = written(figures(docs, {}, sets.vocabulary, sets.least, key).select(*key, F.explode("blocks").alias("x")).select(*key, "x.*"), "license-lines")
+    sets.order(lines)
+    told = F.size(F.array_except("telling", "known")) == 0
+    return sets.pairs(lines).select(*key, "block", "template", "label", (F.col("shared") / F.col("t")).alias("containment"), told.alias("told"))
+
+
+def statements(docs: DataFrame, sets: Templates, key: list[str]) -> DataFrame:
+    """(key, labels, best): the labels of the templates that a text's blocks match, and the largest containment."""
     spark = docs.sparkSession
-    sets = {i: (set(_words(t)), label) for i, (t, label) in enumerate(templates.items()) if _words(t)}
-    vocabulary = sorted(set().union(*[s for s, _ in sets.values()])) if sets else []
-    if len(vocabulary) > MAX_WORDS:
-        raise ValueError(f"templates hold more than {MAX_WORDS} words")
-    need = {i: max(1, math.ceil(threshold * len(s) - 1e-9)) for i, (s, _) in sets.items()}
-    least = min(need.values(), default=1)
-    found = written(blocks(docs, vocabulary, least, key), "license-blocks")
-    counts = {r.w: r.n for r in found.select(F.explode("_known").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row a word of the vocabulary
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    prefix, bodies = [], []
-    spans = {i: math.ceil(len(_words(t)) / threshold - 1e-9) for i, t in enumerate(templates) if i in sets}
-    for i, (s, label) in sets.items():
-        ordered = sorted(s, key=rank.__getitem__)
-        bodies.append((i, label, ordered, len(ordered), need[i], spans[i], sorted(s & TELLING)))
-        prefix += [(w, i, p) for p, w in enumerate(ordered[: len(ordered) - need[i] + 1])]
-    prefix_rows = spark.createDataFrame(prefix, "w string, template int, p int")
-    body_rows = spark.createDataFrame(bodies, "template int, label string, body array<string>, t int, need int, span int, telling array<string>")
-    # an intersection keeps the order of its first side
-    order = F.array(*[F.lit(w) for w in sorted(rank, key=rank.__getitem__)]).cast("array<string>")
-    anchors = sorted({w for w, _, _ in prefix})
-    if anchors:
-        cut = written(cuttings(docs, anchors, max(spans.values()) - 1, vocabulary, least, key), "license-cuttings")
-        found = found.withColumn("_run", F.lit(None).cast("array<string>")).unionByName(cut)
-    else:
-        found = found.withColumn("_run", F.lit(None).cast("array<string>"))
-    ordered = found.withColumn("_known", F.array_intersect(order, "_known"))
-    probes = ordered.select("*", F.posexplode("_known").alias("_q", "w")).join(F.broadcast(prefix_rows), "w").join(F.broadcast(body_rows), "template")
-    bound = 1 + F.least(F.col("t") - 1 - F.col("p"), F.size("_known") - 1 - F.col("_q"))
-    probes = probes.where((F.col("_size") >= F.col("need")) & (bound >= F.col("need")))
-    shared = F.size(F.array_intersect("_known", "body"))
-    # a pair is kept at the first of the prefix words that its block holds
-    first = F.element_at(F.array_intersect("_known", F.slice("body", F.lit(1), F.col("t") - F.col("need") + 1)), 1)
-    pairs = probes.where((F.col("w") == first) & (shared >= F.col("need")))
-    told = F.size(F.array_except("telling", "_known")) == 0
-    lines = pairs.where("_run IS NULL").select(*key, "_block", "template", "label", (shared / F.col("t")).alias("containment"), told.alias("_told"))
+    if not sets.anchors:
+        return spark.createDataFrame([], docs.select(*key).schema.add("labels", "array<string>").add("best", "double"))
+    cut = cuttings(docs, sets.anchors, max(sets.spans.values()) - 1, sets.vocabulary, sets.least, key)
+    pairs = sets.pairs(written(cut, "license-cuttings")).where(F.size(F.array_except("telling", "known")) == 0)
     # the most that a run of the template's length holds, of those with the telling words
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_run") - F.col("span") + 1, F.lit(1))), lambda i: F.array_intersect("body", F.slice("_run", i, F.col("span"))))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("span") + 1, F.lit(1))), lambda i: F.array_intersect("body", F.slice("run", i, F.col("span"))))
     best = F.array_max(F.transform(F.filter(windows, lambda x: F.size(F.array_except("telling", x)) == 0), F.size))
-    runs = pairs.where(F.col("_run").isNotNull() & told).withColumn("_most", best).where(F.col("_most") >= F.col("need"))
-    return lines.unionByName(runs.select(*key, "_block", "template", "label", (F.col("_most") / F.col("t")).alias("containment"), F.lit(True).alias("_told")))
+    found = pairs.withColumn("most", best).where(F.col("most") >= F.col("need"))
+    return found.groupBy(*key).agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max(F.col("most") / F.col("t")).alias("best"))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, table: Mapping[str, str] = PHRASES) -> DataFrame:
@@ -218,17 +238,19 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     labels: of phrases and templates; score: 1 if a phrase stands in the text, else the largest containment that meets
     the threshold, else 0.
     """
-    made = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}
-    kept = [c for c in docs.columns if c not in made]
-    docs = docs.select(*kept)
+    held = Carried(docs, ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"))
     # a text is known by its id and hash, so rows repeated with both are one key
-    key = ["_id", "_hash"]
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    per = matches(keyed, templates, threshold, key).where("_told").groupBy(*key).agg(F.array_sort(F.collect_set("label")).alias("_more"), F.max("containment").alias("_best"))
-    out = phrases(keyed, table).join(per, key, "left")
-    more = F.coalesce("_more", F.array().cast("array<string>"))
-    return out.select(
-        *kept, "n_words", "n_base", "first_word", "last_word",
-        F.array_join("_base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("_base", more)), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"),
+    key = ["id", "hash"]
+    keyed = held.df.withColumn("id", F.coalesce(F.col(held["doc_id"]).cast("string"), F.lit(""))).withColumn("hash", F.xxhash64(F.coalesce(held["text"], F.lit(""))))
+    texts = keyed.select(*key, F.col(held["text"]).alias("text"))
+    sets = Templates(templates, threshold)
+    per = written(figures(texts, table, sets.vocabulary, sets.least, key).dropDuplicates(key), "license-figures")
+    sets.order(per.select(F.explode("blocks").alias("x")).select("x.known"))
+    found = if_small(written(statements(texts, sets, key), "license-statements"), FEW)
+    out = keyed.join(per.drop("blocks"), key).join(found, key, "left")
+    none = F.array().cast("array<string>")
+    return held.back(
+        out, "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base", F.coalesce("labels", none))), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
