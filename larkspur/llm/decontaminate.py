@@ -62,19 +62,21 @@ def simhash(s: Column) -> Column:
     """Bit b is set where most of the hashes have it set. 32 sums, each of 2 counters of 32 bits, as many as any array
     has places."""
 
-    def lane(g: int) -> Column:
-        return F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, g).bitwiseAND(F.lit(LANES)))
+    def shifted(x: Column, by: Column) -> Column:
+        return F.call_function("shiftrightunsigned", x, by)
 
-    lanes = F.array(*[lane(g) for g in range(32)])
+    def lane(g: Column) -> Column:
+        return F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc + shifted(x, g).bitwiseAND(F.lit(LANES)))
 
-    def bits(all_: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for b in range(64):
-            counted = F.shiftrightunsigned(F.get(all_, F.lit(b % 32)), 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
-            out = out.bitwiseOR(F.when(counted * 2 > F.size(s), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-        return out
+    def bits(lanes: Column) -> Column:
+        def bit(b: Column) -> Column:
+            often = shifted(F.get(lanes, b % 32), F.floor(b / 32).cast("int") * 32).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.size(s)
+            return F.when(often, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
-    return F.element_at(F.transform(F.array(lanes), bits), 1)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda out, b: out.bitwiseOR(bit(b)))
+
+    # the lanes are a lambda's variable, so they are summed up once
+    return F.element_at(F.transform(F.array(F.transform(F.sequence(F.lit(0), F.lit(31)), lane)), bits), 1)
 
 
 def similarity(x: Column, y: Column) -> Column:
