@@ -6,17 +6,26 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from larkspur.llm.common import table, written
+from larkspur.llm.common import Carried, table, written
 from larkspur.llm.queries import WEIGHTS
 
 
+def unnamed(docs: DataFrame, needed: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage over ``docs`` with the names of the needed columns only, so that none clashes with what the stage adds."""
+    held = Carried(docs)
+    out = stage(held.df.withColumnsRenamed({held[n]: n for n in needed}))
+    return held.back(out.withColumnsRenamed({n: held[n] for n in needed}))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts as toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return unnamed(docs, ("text",), lambda df: toxicity.score(df, model).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +40,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their source's target weight, in a global shuffle."""
-    return mixing.mix(docs, WEIGHTS, seed=17).select(*docs.columns)
+    return unnamed(docs, ("doc_id", "text", "source"), lambda df: mixing.mix(df, WEIGHTS, seed=17))
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
