@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from larkspur.llm import common, decontaminate, mixing, sharding, topk
+from larkspur.llm import common, decontaminate, licenses, line_templates, mixing, ngram_join, sharding, substrings, textops, topk, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -169,3 +171,100 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_folder(Session)
+
+
+# 5
+
+
+def test_words_strewn_over_a_long_line_are_no_statement(spark):
+    far = " and so on with many more words of any kind " * 3
+    texts = [f"all {far} rights {far} reserved", f"released {far} under {far} the mit {far} license", "x " * 500 + "All rights reserved. " + "y " * 500, "Copyright. All rights reserved by us"]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("all-rights-reserved", 1.0), 3: ("all-rights-reserved", 1.0)}
+
+
+# 7
+
+
+def test_templates_at_the_bound_and_in_long_texts(spark, monkeypatch):
+    footer = "read more on the site"
+    docs = [(None, f"text {chr(97 + i)} says\n{footer}") for i in range(7)] + [(None, f"text a says\n{footer}")] * 3
+    assert {r.n_dropped for r in line_templates.dedup(spark.createDataFrame(docs, DOCS)).collect()} == {0}
+    docs += [(5, "\n".join(f"own line number {i} {chr(97 + i % 26)}x" for i in range(3000)) + f"\n{footer}")]
+    for few in (50_000, 0):
+        monkeypatch.setattr(line_templates, "FEW_TEXTS", few)
+        got = line_templates.dedup(spark.createDataFrame(docs, DOCS)).collect()
+        assert len(got) == 11 and all(r.n_dropped >= 1 and footer not in r.kept_text for r in got)
+
+
+# 3
+
+
+def test_rows_of_one_doc_id_and_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    df = spark.createDataFrame([(5, a), (5, b), (2, a), (3, b), (9, c), (9, c), (9, c + " more"), (7, c + " other"), (None, a)], DOCS)
+    assert rows(ngram_join.join(df), "doc_id", "component_id") == sorted([(5, 2), (5, 2), (2, 2), (3, 2), (9, 7), (9, 7), (9, 7), (7, 7), (None, None)], key=repr)
+    assert rows(ngram_join.one_of_each(df), "doc_id", "text") == sorted([(2, a), (7, c + " other"), (None, a)], key=repr)
+    own = spark.createDataFrame([(1, a), (1, b), (1, a), (4, c)], DOCS)
+    assert rows(ngram_join.one_of_each(own), "doc_id", "text") == sorted([(1, a), (1, b), (4, c)], key=repr)
+
+
+# 9
+
+
+def test_sketches_never_count_too_little(spark):
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(80)) for i in range(40)]
+    data, offsets = textops.buffers(textops.binary(pa.array(texts)))
+    row, _, anchor = substrings.anchors(textops.words(data, offsets), 50, 16)
+    bits = substrings.repeated_anchors(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3), 20, 50, 16)
+    n = Counter(a for _, a in {(r, int(a)) for r, a in zip(row, anchor)})
+    repeated = np.array([a for a, k in n.items() if k > 1], np.uint64)
+    single = np.array([a for a, k in n.items() if k == 1], np.uint64)
+    assert len(repeated) and substrings._repeated(bits, repeated, 20).all() and not substrings._repeated(bits, single, 20).any()
+
+
+# 10
+
+
+def test_margins_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(10)
+    fm = toxicity.FactorizationMachine(np.arange(50, dtype=np.int32), 0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    texts = [np.sort(rng.choice(50, n, replace=False)) for n in (0, 1, 2, 9, 30)]
+    got = fm.margins(5, np.repeat(np.arange(5), [len(t) for t in texts]), np.concatenate(texts))
+    for z, t in zip(got, texts):
+        want = fm.bias + sum(fm.w[i] for i in t) + sum(float(fm.v[i] @ fm.v[j]) for n, i in enumerate(t) for j in t[:n])
+        assert abs(z - want) < 1e-9
+
+
+def test_pairs_that_no_linear_weights_separate(spark):
+    rng, docs, labels = random.Random(11), [], []
+    for i in range(1600):
+        kind = rng.randrange(4)
+        w = [f"w{rng.randrange(60)}" for _ in range(4)] + {0: ["calm"], 1: ["insult"], 2: ["group"], 3: ["insult", "group"]}[kind]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(kind in (0, 3))))
+    df, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    # without "calm" the two words alone say nothing: both and neither are 1, one of them is 0
+    df = df.withColumn("text", F.replace("text", F.lit("calm"), F.lit("")))
+    model = toxicity.fit(df, lab, epochs=20, min_chi2=0.0, min_support=300)
+    got = toxicity.score(df, model).join(lab, "doc_id").where(toxicity.held_out()).toPandas()
+    assert (got["predicted"] == got["toxic"]).mean() > 0.95
+    linear = toxicity.FactorizationMachine(model.known, model.bias, model.w, model.v * 0)
+    got = toxicity.score(df, linear).join(lab, "doc_id").where(toxicity.held_out()).toPandas()
+    assert (got["predicted"] == got["toxic"]).mean() < 0.8
+
+
+def test_toxicity_of_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"  # the smaller folders hold too few labels to learn from
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs.withColumn("predicted", F.lit("old")), toxicity.fit(docs, labels)).join(labels, "doc_id").where(toxicity.held_out()).toPandas()
+    yes, no = (got[got["toxic"] == x]["score"].to_numpy() for x in (1, 0))
+    auc = (yes[:, None] > no[None, :]).mean() + 0.5 * (yes[:, None] == no[None, :]).mean()
+    assert len(yes) >= 50 and auc >= 0.95
+
+
+def test_toxicity_of_repeated_and_missing_ids(spark):
+    df = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(200)] + [(None, "bad word"), (1, "bad word")], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score(df, toxicity.fit(df, labels)).collect()
+    assert len(got) == 202 and all(r.predicted == int("bad" in r.text) for r in got)
