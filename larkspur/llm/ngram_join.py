@@ -273,7 +273,7 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
     early = (F.col("x_rank") <= F.col("x_live") - least + 1) & (F.col("y_rank") <= F.col("y_live") - least + 1)
     met = x.join(y, "token").where((F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & can_link("x_", "y_") & early)
     met = met.groupBy(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).agg(F.min(least).alias("least"))
-    tokens = every.groupBy("doc_id").agg(F.collect_set("token").alias("tokens"))  # a document's prefix
+    tokens = written(every.groupBy("doc_id").agg(F.collect_set("token").alias("tokens")), "join-tokens")  # a document's prefix
     met = met.join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
     pairs = met.where(F.size(F.array_intersect("ta", "tb")) >= F.col("least")).select("a", "b")
     pairs = written(pairs, "join-pairs")
