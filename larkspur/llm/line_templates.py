@@ -29,9 +29,6 @@ from larkspur.llm.common import Carried, if_small, written
 VARIABLE = "<*>"
 #: Leaves, constants and templates up to which they are broadcast, of 8 to 24 bytes each.
 MANY = 300_000
-#: Texts with lines to drop, and such lines, up to which they are broadcast.
-FEW_TEXTS, FEW_LINES = 50_000, 1_000_000
-
 
 #: White space within a line, and a token with a digit: it begins where a token begins, and nothing is tried twice.
 GAP = r"[ \t\r\x0b\f]"
@@ -95,10 +92,8 @@ def dedup(docs: DataFrame, min_docs: int = 8, depth: int = 3) -> DataFrame:
     """``docs`` (text, ...) with n_lines, n_dropped and kept_text."""
     held = Carried(docs, ("n_lines", "n_dropped", "kept_text"))
     found = recurring(docs.select("text"), min_docs, depth)
-    size = found.agg(F.count("*").alias("texts"), F.sum(F.size("lines")).alias("lines")).first()
-    few = size.texts <= FEW_TEXTS and (size.lines or 0) <= FEW_LINES
     text = F.col(held["text"])
-    joined = held.df.select("*", *text_hashes(held["text"])).join(F.broadcast(found) if few else found, ["h1", "h2"], "left")
+    joined = held.df.select("*", *text_hashes(held["text"])).join(found, ["h1", "h2"], "left")
     every = _lines(text)
     # the lines are a lambda's variable, so the text is split once
     left = F.transform(F.array(every), lambda e: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(e) - 1), "lines"), lambda i: F.get(e, i)), "\n"))
