@@ -22,7 +22,8 @@ cannot match, so every match is found. Templates are a parameter; their words an
 broadcast (``MAX_WORDS`` is checked).
 
 A first pass takes each text apart once, for its phrases and for the words of its lines, and writes a row of figures a
-text; the second reads texts that hold a word of a prefix as a substring, and takes only those apart again.
+text. Whole texts are joined with the templates by the same filters; only those that hold enough of one are read and
+taken apart again, for their blocks.
 
 Defined cases: a null or empty text has no words, no label and score 0; very long texts and lines are scanned to the
 end; rows are judged one by one, so repeated rows give repeated results; an empty table gives an empty result; other
@@ -112,8 +113,9 @@ def starts(all_words: Column, phrase: str) -> Column:
 
 
 def figures(docs: DataFrame, table: Mapping[str, str], vocabulary: list[str], least: int, key: list[str]) -> DataFrame:
-    """(key, n_words, n_base, first_word, last_word, base, blocks): of each text, its words, its phrases, and of its lines
-    that hold ``least`` words of the vocabulary (block, size, known): number, distinct words, and those of the vocabulary.
+    """(key, n_words, n_base, first_word, last_word, base, known, blocks): of each text, its words, its phrases, its words
+    of the vocabulary if they are ``least`` or more, and of its lines that hold so many of them (block, size, known):
+    number, distinct words, and those of the vocabulary.
 
     Places of words are made only in texts that hold a phrase's words in a row.
     """
@@ -132,13 +134,16 @@ def figures(docs: DataFrame, table: Mapping[str, str], vocabulary: list[str], le
     places = F.element_at(F.transform(F.array(F.split(plain, " ")), lambda w: F.flatten(F.array(*[starts(w, p) for p in table]).cast("array<array<int>>"))), 1)
     labels = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(label)) for p, label in table.items()]))
     words = F.transform("lines", lambda x: F.split(x, " "))
-    sets = F.transform(words, lambda w, i: F.struct(i.alias("block"), F.size(F.array_distinct(w)).alias("size"), F.array_intersect(w, known).alias("known")))
+    sets = F.transform(words, lambda w, i: F.struct(i.alias("block"), w.alias("words"), F.array_intersect(w, known).alias("known")))
+    df = df.select("*", F.explode(F.array(F.filter(sets, lambda x: F.size(x["known"]) > 0))).alias("sets"))
+    every = F.array_distinct(F.flatten("sets.known"))
+    blocks = F.transform(F.filter("sets", lambda x: F.size(x["known"]) >= least), lambda x: F.struct(x["block"].alias("block"), F.size(F.array_distinct(x["words"])).alias("size"), x["known"].alias("known")))
     df = df.select(
         *key, n_words.cast("long").alias("n_words"), F.when(hit, places).otherwise(F.array().cast("array<int>")).alias("places"),
         F.when(hit, F.array_sort(F.array_distinct(labels.cast("array<string>")))).otherwise(F.array().cast("array<string>")).alias("base"),
-        F.filter(sets, lambda x: F.size(x["known"]) >= least).alias("blocks"),
+        F.get(F.filter(F.array(every), lambda x: F.size(x) >= least), F.lit(0)).alias("known"), blocks.alias("blocks"),
     )
-    return df.select(*key, "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base", "blocks")
+    return df.select(*key, "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base", "known", "blocks")
 
 
 class Templates:
@@ -187,15 +192,7 @@ def cuttings(docs: DataFrame, anchors: list[str], reach: int, vocabulary: list[s
     """(key, run, size, known): the words up to ``reach`` around each anchor word."""
     known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
 
-    def holds(text: Column, around: str) -> Column:
-        out = F.lit(False)
-        for word in anchors:
-            out = out | F.contains(text, F.lit(f"{around}{word}{around}"))
-        return out
-
-    # a text without an anchor word as a substring is not taken apart
-    texts = docs.select(*key, "text", F.explode(F.array(F.lower("text"))).alias("low")).where(holds(F.col("low"), ""))
-    texts = texts.select(*key, F.explode(F.array(spaced(F.col("text")))).alias("plain")).where(holds(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), " "))
+    texts = docs.select(*key, F.explode(F.array(spaced(F.col("text")))).alias("plain"))
 
     def around(w: Column) -> Column:
         at = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(anchors), i)))
@@ -218,13 +215,19 @@ def matches(docs: DataFrame, templates: Mapping[str, str], threshold: float, key
     return sets.pairs(lines).select(*key, "block", "template", "label", (F.col("shared") / F.col("t")).alias("containment"), told.alias("told"))
 
 
-def statements(docs: DataFrame, sets: Templates, key: list[str]) -> DataFrame:
-    """(key, labels, best): the labels of the templates that a text's blocks match, and the largest containment."""
+def statements(docs: DataFrame, per: DataFrame, sets: Templates, key: list[str]) -> DataFrame:
+    """(key, labels, best): the labels of the templates that a text's blocks match, and the largest containment.
+
+    per: the figures of the texts.
+    """
     spark = docs.sparkSession
     if not sets.anchors:
         return spark.createDataFrame([], docs.select(*key).schema.add("labels", "array<string>").add("best", "double"))
+    told = F.size(F.array_except("telling", "known")) == 0
+    wide = sets.pairs(per.where(F.col("known").isNotNull()).select(*key, "known", F.size("known").alias("size"))).where(told).select(*key).distinct()
+    docs = docs.join(if_small(written(wide, "license-texts"), FEW), key, "left_semi")
     cut = cuttings(docs, sets.anchors, max(sets.spans.values()) - 1, sets.vocabulary, sets.least, key)
-    pairs = sets.pairs(written(cut, "license-cuttings")).where(F.size(F.array_except("telling", "known")) == 0)
+    pairs = sets.pairs(written(cut, "license-cuttings")).where(told)
     # the most that a run of the template's length holds, of those with the telling words
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("span") + 1, F.lit(1))), lambda i: F.array_intersect("body", F.slice("run", i, F.col("span"))))
     best = F.array_max(F.transform(F.filter(windows, lambda x: F.size(F.array_except("telling", x)) == 0), F.size))
@@ -246,8 +249,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     sets = Templates(templates, threshold)
     per = written(figures(texts, table, sets.vocabulary, sets.least, key).dropDuplicates(key), "license-figures")
     sets.order(per.select(F.explode("blocks").alias("x")).select("x.known"))
-    found = if_small(written(statements(texts, sets, key), "license-statements"), FEW)
-    out = keyed.join(per.drop("blocks"), key).join(found, key, "left")
+    found = if_small(written(statements(texts, per, sets, key), "license-statements"), FEW)
+    out = keyed.join(per.drop("blocks", "known"), key).join(found, key, "left")
     none = F.array().cast("array<string>")
     return held.back(
         out, "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
