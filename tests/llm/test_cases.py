@@ -191,8 +191,8 @@ def test_templates_at_the_bound_and_in_long_texts(spark, monkeypatch):
     docs = [(None, f"text {chr(97 + i)} says\n{footer}") for i in range(7)] + [(None, f"text a says\n{footer}")] * 3
     assert {r.n_dropped for r in line_templates.dedup(spark.createDataFrame(docs, DOCS)).collect()} == {0}
     docs += [(5, "\n".join(f"own line number {i} {chr(97 + i % 26)}x" for i in range(3000)) + f"\n{footer}")]
-    for few in (50_000, 0):
-        monkeypatch.setattr(line_templates, "FEW_TEXTS", few)
+    for many in (300_000, 0):
+        monkeypatch.setattr(line_templates, "MANY", many)
         got = line_templates.dedup(spark.createDataFrame(docs, DOCS)).collect()
         assert len(got) == 11 and all(r.n_dropped >= 1 and footer not in r.kept_text for r in got)
 
