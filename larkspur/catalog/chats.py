@@ -23,16 +23,12 @@ _CHATS = """chats AS (SELECT user_id AS id, max(ts) AS updated_at,
 
 @query("conv_list_recent", f"""
 WITH {_CHATS}, t AS (SELECT id, CASE WHEN title IS NULL OR title = '' THEN 'Chat ' || id ELSE title END AS title, updated_at FROM chats WHERE updated_at > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)
-SELECT id, CASE WHEN length(title) > 30 THEN substr(title, 1, 30) || '...' ELSE title END AS title, CAST(row_number() OVER (ORDER BY updated_at DESC, id) AS INTEGER) AS rn
-FROM t ORDER BY updated_at DESC, id LIMIT 100
+SELECT id, CASE WHEN length(title) > 30 THEN substr(title, 1, 30) || '...' ELSE title END AS title, updated_at
+FROM t ORDER BY updated_at DESC, id
 """)
 def conv_list_recent(spark, d):
-    from pyspark.sql import Window
-
     found = conv.recent(_chats(spark, d), "updated_at", F.expr(AS_OF))
-    top = found.orderBy(F.desc("updated_at"), "id").limit(100)
-    rn = F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")).cast("int")
-    return top.select("id", truncate(chat_title(F.col("title"), F.col("id"))).alias("title"), rn.alias("rn"))
+    return found.orderBy(F.desc("updated_at"), "id").select("id", truncate(chat_title(F.col("title"), F.col("id"))).alias("title"), "updated_at")
 
 
 @query("conv_most_recent", f"WITH {_CHATS} SELECT id, updated_at FROM chats ORDER BY updated_at DESC, id LIMIT 1")
@@ -126,6 +122,20 @@ def conv_rename(spark, d):
     return conv.patched(chats, patch, "id", ["title"])
 
 
+@query("conv_rename_updated", f"WITH {_CHATS} SELECT id, CASE WHEN id % 10 = 0 THEN 'Renamed' ELSE title END AS title, CASE WHEN id % 5 = 0 THEN TIMESTAMP '2024-02-01' ELSE updated_at END AS updated_at FROM chats")
+def conv_rename_updated(spark, d):
+    chats = _chats(spark, d).select("id", "title", "updated_at")
+    patch = chats.where("id % 5 = 0").select("id", F.when(F.col("id") % 10 == 0, "Renamed").alias("title")).unionByName(spark.createDataFrame([(-5, "Nobody")], "id long, title string"))
+    return conv.renamed(chats, patch, "id", F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
+
+
+@query("conv_add_current", "SELECT 'list' AS what, r_name AS id, CAST(r_regionkey + 1 AS INTEGER) AS pos FROM region UNION ALL VALUES ('list', 'new', 0), ('current', 'new', 0)")
+def conv_add_current(spark, d):
+    have = table(spark, d, "region").select(F.col("r_name").alias("id"), F.col("r_regionkey").alias("pos"))
+    every, current = conv.added(have, spark.createDataFrame([("new",)], "id string"), "pos")
+    return every.select(F.lit("list").alias("what"), "id", "pos").unionByName(current.select(F.lit("current").alias("what"), F.col("current").alias("id"), F.lit(0).alias("pos")))
+
+
 @query("role_avatar", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'U' ELSE 'AI' END AS avatar FROM conversations")
 def role_avatar(spark, d):
     return _messages(spark, d).select("conv_id", "turn", F.when(F.col("role") == "user", "U").otherwise("AI").alias("avatar"))
@@ -147,6 +157,14 @@ def job_latest_state(spark, d):
     return jobs.latest(updates, "job_id", ["ts", "event_id"], updates.where("job_id % 4 <> 0")).select("job_id", "status", "ts")
 
 
+@query("job_lookup", f"SELECT 'found' AS lookup, user_id AS job_id, arg_max({_STATUS_SQL}, (ts, event_id)) AS status FROM events WHERE user_id = (SELECT min(user_id) FROM events) GROUP BY user_id")
+def job_lookup(spark, d):
+    known = jobs.latest(_updates(spark, d), "job_id", ["ts", "event_id"]).select("job_id", "status")
+    first = known.agg(F.min("job_id")).first()[0]
+    # the worker's own lookup of a job that is gone finds nothing and does not fail
+    return conv.get(known, "job_id", first).select(F.lit("found").alias("lookup"), "*").unionByName(conv.find(known, "job_id", -1).select(F.lit("gone").alias("lookup"), "*"))
+
+
 @query("job_placeholder_state", f"""
 WITH j AS (SELECT user_id AS job_id, arg_max({_STATUS_SQL}, (ts, event_id)) AS status FROM events WHERE user_id % 4 <> 0 GROUP BY user_id)
 SELECT job_id, CASE WHEN status IS NULL THEN 'loading' WHEN status = 'completed' AND job_id % 2 = 0 THEN 'blocks' WHEN status = 'failed' THEN 'error' ELSE 'progress' END AS display
@@ -172,6 +190,11 @@ def job_progress_steps(spark, d):
     return jobs.progress_steps(spark)
 
 
+@query("job_client_steps", f"SELECT * FROM (VALUES {values([(0, 'started', 10), *[(i, 'progress', 20 * i) for i in range(1, 5)], (5, 'completed', 100)])}) AS t(seq, status, progress)")
+def job_client_steps(spark, d):
+    return jobs.client_steps(spark)
+
+
 @query("series_generator", "SELECT format('2024-01-{:02d}', i) AS date, true AS in_range FROM range(1, 61) AS t(i)")
 def series_generator(spark, d):
     return jobs.create(spark, "chart", days=60).select("date", F.col("value").between(10, 100).alias("in_range"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.catalog.registry import literal, query, table, values
 from larkspur.functions import scalars
-from larkspur.operators import conversations as conv, documents as docs
+from larkspur.operators import blocks, conversations as conv, documents as docs
 
 _KINDS = ["click", "error", "login", "purchase", "view"]
 
@@ -165,7 +165,7 @@ _BLOCKS = '[{"type": "code", "data": {"code": "x"}}, {"type": "collapsible", "da
 
 @query("block_dispatch", f"""SELECT 1 AS id, * FROM (VALUES {values([("0", 0, "code", "text"), ("1", 0, "collapsible", "More"), ("1.0", 1, "query", "spl"), ("1.1", 1, "odd", '{"data":1,"type":"odd"}'), ("2", 0, "alert", "info")])}) AS t(pos, depth, type, shown)""")
 def block_dispatch(spark, d):
-    return docs.rendered_blocks(spark.createDataFrame([(1, _BLOCKS)], "id int, blocks string"), "id", "blocks")
+    return blocks.rendered_blocks(spark.createDataFrame([(1, _BLOCKS)], "id int, blocks string"), "id", "blocks")
 
 
 @query("event_icons", f"""

@@ -53,6 +53,38 @@ def intent_multi_label(spark, d):
     return _frame(spark, PROMPTS, "prompt").select("prompt", F.array_join(rules.block_labels(F.col("prompt")), ",").alias("labels"))
 
 
+# The rules written out by hand, so that a wrong rule in the tables shows.
+@query("intent_by_hand", f"""
+SELECT prompt, array_to_string([x FOR x IN [
+    CASE WHEN regexp_matches(p, 'show.*sql|sql query|select.*from|create table|insert into') THEN 'sql,sql-table' END,
+    CASE WHEN regexp_matches(p, 'splunk|spl query|index=.*[|]|stats count|timechart') THEN 'spl' END,
+    CASE WHEN contains(p, 'chart') OR contains(p, 'graph') OR contains(p, 'visualization') OR contains(p, 'plot') OR regexp_matches(p, 'visualize.*data') THEN 'chart' END,
+    CASE WHEN regexp_matches(p, 'show.*code|code example|python code|javascript code|example.*code') THEN 'code' END,
+    CASE WHEN regexp_matches(p, 'show.*table|(display|list|table).*data') THEN 'table' END,
+    CASE WHEN contains(p, 'json') OR regexp_matches(p, 'explore.*data') THEN 'json' END,
+    CASE WHEN contains(p, 'timeline') OR contains(p, 'events') OR regexp_matches(p, 'log.*view|event.*history') THEN 'timeline' END,
+    CASE WHEN contains(p, 'search') OR contains(p, 'filter') OR contains(p, 'lookup') OR regexp_matches(p, 'find.*data') THEN 'search' END,
+    CASE WHEN contains(p, 'alert') OR contains(p, 'warning') OR contains(p, 'error') OR contains(p, 'notification') OR contains(p, 'important') THEN 'alert' END,
+    CASE WHEN contains(p, 'change request') OR contains(p, 'servicenow') OR contains(p, 'ticket') OR contains(p, 'form') OR regexp_matches(p, 'cr[0-9]|inc[0-9]') THEN 'form' END,
+    CASE WHEN regexp_matches(p, '(upload|download|share|attach).*file|file.*(upload|download)') THEN 'file' END,
+    CASE WHEN contains(p, 'checklist') OR regexp_matches(p, 'task.*list|todo.*list|action.*items|steps.*to.*complete') THEN 'checklist' END,
+    CASE WHEN contains(p, 'diagram') OR contains(p, 'architecture') OR contains(p, 'workflow') OR contains(p, 'flowchart') OR regexp_matches(p, 'system.*design') THEN 'diagram' END
+  ] IF x IS NOT NULL], ',') AS blocks,
+  CASE WHEN contains(p, 'bar') THEN 'bar' WHEN contains(p, 'pie') THEN 'pie' WHEN contains(p, 'area') THEN 'area' WHEN contains(p, 'time') THEN 'timechart' ELSE 'line' END AS chart,
+  CASE WHEN contains(p, 'error') THEN 'error' WHEN contains(p, 'warning') THEN 'warning' WHEN contains(p, 'success') THEN 'success' ELSE 'info' END AS alert,
+  CASE WHEN contains(p, 'change') OR contains(p, 'cr') THEN 'change_request' ELSE 'incident' END AS form,
+  CASE WHEN contains(p, 'aws') THEN 'aws' WHEN contains(p, 'workflow') OR contains(p, 'flowchart') THEN 'flowchart' WHEN contains(p, 'sequence') THEN 'sequence'
+    WHEN contains(p, 'architecture') THEN 'architecture' ELSE 'mermaid' END AS diagram
+FROM {_PROMPTS}
+""")
+def intent_by_hand(spark, d):
+    p = F.col("prompt")
+    return _frame(spark, PROMPTS, "prompt").select(
+        "prompt", F.array_join(rules.emitted_blocks(F.concat(F.lit("  "), p, F.lit(" "))), ",").alias("blocks"),
+        rules.chart_kind(p).alias("chart"), rules.alert_kind(p).alias("alert"), rules.form_kind(p).alias("form"), rules.diagram_kind(p).alias("diagram"),
+    )
+
+
 @query("intent_reply_class", f"SELECT prompt, {_patterns('p', rules.CLIENT_REPLY, 'default')} AS reply FROM {_PROMPTS}")
 def intent_reply_class(spark, d):
     return _frame(spark, PROMPTS, "prompt").select("prompt", rules.client_reply(F.col("prompt")).alias("reply"))

@@ -27,3 +27,13 @@ def stream_job_state(spark, d):
 @query("stream_routed", "SELECT event_id, user_id FROM events WHERE event_type = 'error'")
 def stream_routed(spark, d):
     return flows.drained(flows.routed(flows.events(spark, d), "error").select("event_id", "user_id"), "append")
+
+
+@query("stream_job_merge", """
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) FILTER (event_type <> 'error' AND value IS NOT NULL) AS value
+FROM events WHERE user_id % 4 <> 0 GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'error'
+""")
+def stream_job_merge(spark, d):
+    updates = flows.events(spark, d).withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
+    created = spark.read.parquet(f"{d}/events.parquet").where("user_id % 4 <> 0")
+    return flows.drained(flows.job_merges(updates, "user_id", ["ts", "event_id"], ["event_type", "value"], created, F.col("event_type") == "error"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from larkspur.catalog.registry import query, table, values
 from larkspur.engine import Engine
+from larkspur.functions.scalars import single_value
 from larkspur.operators import profiling, search, tables
 from larkspur.operators.conversations import get
 from larkspur.sources.indexes import Indexes
@@ -26,12 +27,14 @@ def spl_stats_count_total(spark, d):
 
 @query("spl_stats_sum_avg_by", "SELECT event_type, round(sum(value), 4) AS sum_value, round(avg(value), 4) AS avg_value FROM events GROUP BY event_type")
 def spl_stats_sum_avg_by(spark, d):
-    return Engine(spark, d).execute("index=events | stats sum(value), avg(value) by event_type", "spl").rows
+    found = Engine(spark, d).execute("index=events | stats sum(value), avg(value) by event_type", "spl").rows
+    return found.select("event_type", *[F.round(c, 4).alias(c) for c in ("sum_value", "avg_value")])
 
 
 @query("spl_timechart_hour", "SELECT date_trunc('hour', ts) AS _time, count(*) AS count, round(avg(value), 4) AS avg_value FROM events GROUP BY 1")
 def spl_timechart_hour(spark, d):
-    return Engine(spark, d).execute("index=events | timechart count, avg(value)", "spl").rows
+    found = Engine(spark, d).execute("index=events | timechart count, avg(value)", "spl").rows
+    return found.withColumn("avg_value", F.round("avg_value", 4))
 
 
 @query("spl_timechart_by_type", "SELECT date_trunc('hour', ts) AS _time, event_type, count(*) AS count FROM events GROUP BY 1, 2")
@@ -58,7 +61,12 @@ def gauge_error_percent(spark, d):
 
 @query("single_value_formatted", "SELECT format('{:,}', count(*)) AS shown FROM lineitem")
 def single_value_formatted(spark, d):
-    return table(spark, d, "lineitem").agg(F.format_number(F.count("*"), 0).alias("shown"))
+    return table(spark, d, "lineitem").agg(single_value(F.count("*")).alias("shown"))
+
+
+@query("single_value_unit", "SELECT regexp_replace(format('{:,.3f}', round(sum(o_totalprice) / 1000, 3)), '\\.?0+$', '') || ' k' AS shown FROM orders")
+def single_value_unit(spark, d):
+    return table(spark, d, "orders").agg(single_value(F.sum("o_totalprice") / 1000, " k").alias("shown"))
 
 
 @query("index_names", "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
@@ -167,6 +175,15 @@ def catalog_featured(spark, d):
     return first.select("pos", F.lit("featured").alias("list")).unionByName(other.select("pos", F.lit("other").alias("list")))
 
 
+@query("catalog_featured_shown", f"SELECT 'all' AS asked, pos FROM {_CATALOG} WHERE featured")
+def catalog_featured_shown(spark, d):
+    asked = [("all", "", "All"), ("query", "s", "All"), ("category", "", "Search")]
+    first, *rest = (search.featured_shown(_catalog(spark), q, c).select(F.lit(name).alias("asked"), "pos") for name, q, c in asked)
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
 @query("catalog_categories", f"SELECT 'All' AS category, CAST(-1 AS BIGINT) AS pos UNION ALL SELECT category, CAST(min(pos) AS BIGINT) FROM {_CATALOG} GROUP BY category")
 def catalog_categories(spark, d):
     return search.categories(_catalog(spark), "pos")
@@ -208,9 +225,9 @@ def field_descriptions(spark, d):
     return names.select("name", profiling.describe(F.col("name")).alias("description"))
 
 
-@query("relation_parent_child", "SELECT event_type AS value, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS children FROM events GROUP BY event_type")
+@query("relation_parent_child", "SELECT DISTINCT event_type AS value, CAST(user_id AS VARCHAR) AS child FROM events")
 def relation_parent_child(spark, d):
-    return profiling.children(table(spark, d, "events"), "event_type", "user_id").select("value", F.array_join("children", ",").alias("children"))
+    return profiling.children(table(spark, d, "events"), "event_type", "user_id")
 
 
 @query("relation_cardinality", """

@@ -6,9 +6,9 @@ import time
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.operators.classify import visualization
+from larkspur.operators.classify import visualization_of
 from larkspur.plans import spl
 from larkspur.sources.indexes import Indexes
 
@@ -32,21 +32,21 @@ class QueryResult:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.indexes = spark, Indexes(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, times: Mapping[str, str] | None = None):
+        """times: the time column of an index, where it is not ``ts``."""
+        self.spark, self.indexes, self.times = spark, Indexes(spark, folder), times or {}
 
     def execute(self, text: str, language: str = "sql") -> QueryResult:
         """Run SQL or pipe text. ``visualization`` is what the text suggests, ``suggested`` what the result's shape does."""
         begun = time.monotonic()
         if language == "spl":
             query = spl.parse(text)
-            rows = spl.compiled(query, self.indexes.table)
+            rows = spl.compiled(query, self.indexes.table, self.times.get(query.index, "ts"))
             suggested = spl.classify_result(rows, query)
         elif language == "sql":
-            self.indexes.register()
+            self.indexes.register(text)
             rows = self.spark.sql(text)
             suggested = {"visualization": "table", "columns": rows.columns}
         else:
             raise ValueError(f"unknown language: {language}")
-        kind = self.spark.range(1).select(visualization(F.lit(text)).alias("v")).first().v
-        return QueryResult(rows, rows.columns, kind, suggested, time.monotonic() - begun)
+        return QueryResult(rows, rows.columns, visualization_of(text), suggested, time.monotonic() - begun)

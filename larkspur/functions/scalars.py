@@ -97,6 +97,16 @@ def grouped(c: Column, decimals: int = 0) -> Column:
     return F.format_number(c, decimals)
 
 
+def locale_number(c: Column) -> Column:
+    """Grouped thousands and up to three decimals, without trailing zeros."""
+    return F.regexp_replace(F.format_number(F.round(c.cast("double"), 3), 3), r"\.?0+$", "")
+
+
+def single_value(c: Column, unit: str | None = None) -> Column:
+    """A number as shown, with its unit."""
+    return F.concat(locale_number(c), F.lit(unit or ""))
+
+
 def leading_number(c: Column) -> Column:
     """The number that a text starts with, as browsers parse it; null without one."""
     text = F.regexp_extract(c, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+from larkspur.functions.scalars import trim_all
+
 # The words and patterns of each rule, in the order in which rules apply.
 SERVER_REPLY = [
     ("greeting", ["hello", "hi", "hey"]),
@@ -78,16 +82,21 @@ def all_labels(c: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p in rules]))
 
 
+def emitted_blocks(c: Column) -> Column:
+    """The blocks that a text asks for: one a rule that matches, and two, a code and a table, for SQL."""
+    return F.flatten(F.transform(block_labels(c), lambda x: F.when(x == "sql", F.array(F.lit("sql"), F.lit("sql-table"))).otherwise(F.array(x))))
+
+
 def server_reply(c: Column) -> Column:
     return first_match(c, SERVER_REPLY, "echo")
 
 
 def client_reply(c: Column) -> Column:
-    return first_pattern(c, CLIENT_REPLY, "default")
+    return first_pattern(trim_all(c), CLIENT_REPLY, "default")
 
 
 def block_labels(c: Column) -> Column:
-    return all_labels(c, BLOCKS)
+    return all_labels(trim_all(c), BLOCKS)
 
 
 def chart_kind(c: Column) -> Column:
@@ -124,6 +133,21 @@ def visualization(query: Column) -> Column:
     )
 
 
+def visualization_of(query: str) -> str:
+    """The same for a text that is at hand, without a query of its own."""
+    q = query.lower()
+    share = "gauge" in q or "percent" in q
+    if "timechart" in q:
+        return "timechart"
+    if any(w in q for w in ("stats count", "stats sum", "stats avg")) and not share:
+        return "single-value"
+    if share:
+        return "gauge"
+    if "by" in q and ("pie" in q or re.search("stats.*count.*by", q)):
+        return "pie"
+    return "bar" if "bar" in q or "stats" in q else "table"
+
+
 def job_display(status: Column, has_blocks: Column) -> Column:
     """What a placeholder shows: a missing job is loading, a completed one without blocks still shows progress."""
     return F.when(status.isNull(), "loading").when((status == "completed") & has_blocks, "blocks").when(status == "failed", "error").otherwise("progress")

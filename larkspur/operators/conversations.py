@@ -11,10 +11,10 @@ NEW_TITLE = "New Chat"
 
 def get(df: DataFrame, key: str, value) -> DataFrame:
     """Point lookup; none found is an error."""
-    found = df.where(F.col(key) == F.lit(value)).limit(1)
-    if found.isEmpty():
+    found = df.where(F.col(key) == F.lit(value)).limit(1).collect()
+    if not found:
         raise LookupError(f"no row with {key} = {value}")
-    return found
+    return df.sparkSession.createDataFrame(found, df.schema)
 
 
 def find(df: DataFrame, key: str, value) -> DataFrame:
@@ -85,6 +85,19 @@ def patched(df: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> Da
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def renamed(df: DataFrame, patch: DataFrame, key: str, now: Column, updated: str = "updated_at") -> DataFrame:
+    """Titles take the patch's values where it has them, and the rows it names are updated now; unknown keys change nothing."""
+    new = patch.select(key, F.col("title").alias("_title"), F.lit(True).alias("_named"))
+    joined = df.join(new, key, "left").withColumn("title", F.coalesce("_title", "title"))
+    return joined.withColumn(updated, F.when(F.col("_named"), now).otherwise(F.col(updated))).select(*df.columns)
+
+
+def added(df: DataFrame, row: DataFrame, position: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """``row`` before all rows, and the current key, which is that of the row."""
+    first = row.withColumn(position, F.lit(0))
+    return first.unionByName(df.withColumn(position, (F.col(position) + 1).cast("int"))), row.select(F.col(key).alias("current"))
+
+
 def replace_partition(df: DataFrame, key: str, value, rows: DataFrame) -> DataFrame:
     return df.where(~F.col(key).eqNullSafe(F.lit(value))).unionByName(rows)
 

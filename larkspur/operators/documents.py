@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larkspur.functions.scalars import round_half_up, trim_all
+from larkspur.functions.scalars import locale_number, round_half_up, trim_all
 
-# The palette, badge and event colours.
+# The palette (without its transparency), badge, event, alert and priority icons and colours.
 PALETTE = ["25,195,125", "0,136,254", "0,196,159", "255,187,40", "255,128,66", "136,132,216"]
 EVENT_ICONS = {"success": "✓", "warning": "⚠", "error": "✗"}
+ALERT_ICONS = {"info": "ℹ️", "success": "✓", "warning": "⚠️", "error": "✗"}
 EVENT_COLORS = {"success": "#19c37d", "warning": "#FFBB28", "error": "#ef4444"}
 PRIORITY_COLORS = {"critical": "#dc2626", "high": "#ea580c", "medium": "#f59e0b", "low": "#10b981"}
 
@@ -46,14 +47,16 @@ def checklist_totals(items: DataFrame, key: str = "id", parent: str = "parent_id
 
     A list's progress is round(100 * sum(checked + progress of the sub-list / 100 * its length) / length), rounded at
     every level; so levels are folded from the deepest up, a join a level. A checked parent counts beside its children,
-    so it can exceed 100.
+    so it can exceed 100. A tree deeper than ``max_depth`` is an error, as is a circle of parents below a root.
     """
     spark = items.sparkSession
     nodes = items.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.coalesce("checked", F.lit(False)).alias("checked"))
     if nodes.isEmpty():
         return spark.createDataFrame([(0, 0, 0)], "total long, checked long, progress long")
     levels, front = [], nodes.where("up IS NULL").withColumn("depth", F.lit(0))
-    while not front.isEmpty() and len(levels) < max_depth:
+    while not front.isEmpty():
+        if len(levels) == max_depth:
+            raise ValueError(f"the tree is deeper than {max_depth}")
         levels.append(front)
         front = nodes.join(front.select(F.col("id").alias("up"), "depth"), "up").select("id", "up", "checked", (F.col("depth") + 1).alias("depth"))
     below = spark.createDataFrame([], "id string, part double")
@@ -66,21 +69,15 @@ def checklist_totals(items: DataFrame, key: str = "id", parent: str = "parent_id
     return nodes.agg(F.count("*").alias("total"), F.count_if("checked").alias("checked")).join(F.broadcast(top))  # one row
 
 
-JSON_TREE = """
-WITH RECURSIVE tree (path, depth, value) AS (
-  SELECT '$', 0, parse_json({source}) FROM {view}
-  UNION ALL
-  SELECT concat(t.path, '.', coalesce(e.key, cast(e.pos AS string))), t.depth + 1, e.value
-  FROM tree AS t, LATERAL variant_explode(t.value) AS e WHERE t.depth < {depth}
-)
-SELECT path, depth, value FROM tree
-"""
-
-
 def json_tree(df: DataFrame, column: str, max_depth: int = 3) -> DataFrame:
     """(path, depth, kind, children): the nodes of JSON texts down to a depth; 0 stands for the default of 3."""
-    df.createOrReplaceTempView("json_tree_source")
-    tree = df.sparkSession.sql(JSON_TREE.format(source=column, view="json_tree_source", depth=max_depth or 3))
+    explode = df.sparkSession.tvf.variant_explode
+    level = df.select(F.lit("$").alias("path"), F.lit(0).alias("depth"), F.parse_json(column).alias("value"))
+    tree = level
+    for depth in range(1, (max_depth or 3) + 1):
+        below = level.withColumnRenamed("value", "held").lateralJoin(explode(F.col("held").outer()).toDF("n", "name", "value"))
+        level = below.select(F.concat("path", F.lit("."), F.coalesce("name", F.col("n").cast("string"))).alias("path"), F.lit(depth).alias("depth"), "value")
+        tree = tree.unionByName(level)
     schema = F.schema_of_variant("value")
     kind = (
         F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string")
@@ -96,7 +93,7 @@ def form_value(kind: Column, value: Column, link: Column) -> Column:
     return (
         F.when(kind == "link", F.concat(F.coalesce(value, F.lit("")), F.when(link.isNotNull() & (link != ""), " ↗").otherwise(" ")))
         .when(kind == "boolean", F.when(value.isNull() | value.isin("", "false", "0"), "✗ No").otherwise("✓ Yes"))
-        .when(kind == "number", F.format_number(value.try_cast("double"), 0))
+        .when(kind == "number", locale_number(value.try_cast("double")))
         .when(kind == "date", F.date_format(value.try_cast("timestamp"), "M/d/yyyy, h:mm:ss a"))
         .when(kind.isin("badge", "multiline", "json"), value)
         .otherwise(F.when(value.isNull() | value.isin("", "0", "false"), "-").otherwise(value))
@@ -130,23 +127,12 @@ def css_variables(df: DataFrame, text: str) -> DataFrame:
     return lines.where(F.col("line").rlike(pattern)).select(F.concat(F.lit("--"), F.regexp_extract("line", pattern, 1)).alias("name"), trim_all(F.regexp_extract("line", pattern, 2)).alias("value"))
 
 
-#: Defaults of a block's payload by its tag; an unknown tag shows its raw JSON.
-BLOCK_DEFAULTS = {"code": ("$.language", "text"), "query": ("$.language", "sql"), "alert": ("$.type", "info"), "splunk-chart": ("$.type", "line"), "markdown": ("$.content", "")}
-
-
-def rendered_blocks(df: DataFrame, key: str, blocks: str) -> DataFrame:
-    """(key, pos, depth, type, shown): blocks of a JSON array and those nested in collapsible ones, with defaults."""
-    df.select(key, blocks).createOrReplaceTempView("rendered_blocks_source")
-    tree = df.sparkSession.sql(f"""
-      WITH RECURSIVE b (k, pos, depth, value) AS (
-        SELECT s.{key}, cast(e.pos AS string), 0, e.value FROM rendered_blocks_source AS s, LATERAL variant_explode(parse_json(s.{blocks})) AS e
-        UNION ALL
-        SELECT b.k, concat(b.pos, '.', e.pos), b.depth + 1, e.value FROM b, LATERAL variant_explode(try_variant_get(b.value, '$.data.children', 'variant')) AS e
-      ) SELECT k AS {key}, pos, depth, value FROM b""")
-    kind = F.try_variant_get("value", "$.type", "string")
-    shown = None
-    for tag, (path, default) in BLOCK_DEFAULTS.items():
-        value = F.coalesce(F.try_variant_get("value", path.replace("$", "$.data", 1), "string"), F.lit(default))
-        shown = F.when(kind == tag, value) if shown is None else shown.when(kind == tag, value)
-    shown = shown.when(kind == "collapsible", F.coalesce(F.try_variant_get("value", "$.data.title", "string"), F.lit("")))
-    return tree.select(key, "pos", "depth", kind.alias("type"), shown.otherwise(F.to_json("value")).alias("shown"))
+def css_text(df: DataFrame, position: str) -> DataFrame:
+    """(css): (name, value) lines in their order, as css_variables reads them."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.concat(F.lit("  "), "name", F.lit(": "), "value", F.lit(";")).alias("line"))))
+    return df.agg(F.concat(F.lit(":root {\n"), F.array_join(lines["line"], "\n"), F.lit("\n}")).alias("css"))
+
+
+def section_fields(sections: Column) -> Column:
+    """The fields of all sections in one list."""
+    return F.flatten(F.transform(sections, lambda s: s["fields"]))

@@ -46,6 +46,18 @@ def placeholders(wanted: DataFrame, jobs: DataFrame, key: str = "job_id") -> Dat
     return wanted.join(jobs, key, "left").withColumn("display", job_display(F.col("status"), F.coalesce(F.col("has_blocks"), F.lit(False))))
 
 
+def client_steps(spark: SparkSession) -> DataFrame:
+    """(seq, status, progress) of a run without a server: started at 10, then steps of 20 to the end."""
+    n, percent = F.col("id"), F.when(F.col("id") == 0, 10).otherwise(F.col("id") * 20).cast("int")
+    status = F.when(n == 0, "started").when(n == 5, "completed").otherwise("progress")
+    return spark.range(6).select(n.cast("int").alias("seq"), status.alias("status"), percent.alias("progress"))
+
+
+def with_ids(df: DataFrame, order: str | None = None) -> DataFrame:
+    """Random ids, or with ``order`` an id that grows with it (with gaps, so that no task numbers all rows)."""
+    return df.withColumn("id", F.uuid()) if order is None else df.orderBy(order).withColumn("id", F.monotonically_increasing_id())
+
+
 def progress_steps(spark: SparkSession, steps: int = 10) -> DataFrame:
     """(seq, status, progress) of a run: queued, started, steps, completed."""
     n = F.col("id")

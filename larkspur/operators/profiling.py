@@ -59,9 +59,9 @@ def samples(df: DataFrame, column: str, shown: int = 3) -> DataFrame:
 
 
 def children(df: DataFrame, parent: str, child: str) -> DataFrame:
-    """(value, children): the sorted distinct child values of each parent value."""
-    pairs = df.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(F.col(parent).cast("string").alias("value"), F.col(child).cast("string").alias("child")).distinct()
-    return pairs.groupBy("value").agg(F.array_sort(F.collect_list("child")).alias("children"))
+    """(value, child): the distinct child values of each parent value, a row each, so a parent may have any number."""
+    full = df.where(F.col(parent).isNotNull() & F.col(child).isNotNull())
+    return full.select(F.col(parent).cast("string").alias("value"), F.col(child).cast("string").alias("child")).distinct()
 
 
 def cardinality(df: DataFrame, parent: str, child: str) -> DataFrame:

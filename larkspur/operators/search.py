@@ -66,6 +66,11 @@ def featured(df: DataFrame, query: str = "", category: str = "All") -> tuple[Dat
     return df.where(is_featured), catalog_search(df, query, category).where(~is_featured)
 
 
+def featured_shown(df: DataFrame, query: str = "", category: str = "All") -> DataFrame:
+    """Featured rows as a page shows them: only while nothing is asked for."""
+    return featured(df)[0] if not query and category == "All" else df.limit(0)
+
+
 def categories(df: DataFrame, position: str) -> DataFrame:
     """Distinct categories in order of their first row, with All before them."""
     seen = df.groupBy("category").agg(F.min(position).cast("long").alias("pos"))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from larkspur.functions.scalars import leading_number
 
 PAGE, MAX_ROWS = 50, 100
 
 
+def numeric_keys(column: Column, position: Column, descending: bool = False) -> list[Column]:
+    """The same order for a column of numbers, without reading them as text."""
+    number = F.when(~F.isnan(column.cast("double")), column)
+    name = F.when(number.isNull(), F.when(column.isNull(), "null").otherwise("nan"))
+    flip = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+    return [number.isNull().asc(), flip(number), flip(name), position.asc()]
+
+
 def sort_keys(column: Column, position: Column, descending: bool = False) -> list[Column]:
     """Numbers first by value, then texts by their lower case; ties stay in input order.
 
@@ -28,7 +36,8 @@ def sorted_page(df: DataFrame, column: str, position: str, descending: bool = Fa
 
     The cap goes first through a bounded top-k, so only ``max_rows`` rows reach the window that numbers them.
     """
-    keys = sort_keys(F.col(column), F.col(position), descending)
+    numeric = isinstance(df.schema[column].dataType, T.NumericType)
+    keys = (numeric_keys if numeric else sort_keys)(F.col(column), F.col(position), descending)
     top = df.orderBy(*keys).limit(max_rows)
     numbered = top.withColumn("rn", F.row_number().over(Window.orderBy(*keys)).cast("int"))
     return numbered.where((F.col("rn") > (page - 1) * page_size) & (F.col("rn") <= page * page_size))

@@ -26,6 +26,16 @@ def job_view(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("params", decoded_object(F.col("params"))).withColumn("result", F.try_parse_json(F.nullif("result", F.lit(""))))
 
 
+def job_created_view(jobs: DataFrame) -> DataFrame:
+    """What the creation of a job answers: the job view without its error."""
+    return job_view(jobs).drop("error")
+
+
+def appended_uploads(files: DataFrame, more: DataFrame, valid: Column, now: Column) -> DataFrame:
+    """The valid ones of ``more`` behind ``files``, uploaded now."""
+    return files.unionByName(more.where(valid).withColumn("uploaded_at", now).select(*files.columns))
+
+
 def without_handlers(actions: Column) -> Column:
     """Form actions without what cannot be stored."""
     return F.transform(actions, lambda a: a.dropFields("onClick"))

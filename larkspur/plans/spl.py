@@ -29,11 +29,11 @@ class Aggregate:
     def alias(self) -> str:
         return self.name if self.column is None else f"{self.name}_{self.column}"
 
-    def compiled(self, digits: int) -> Column:
+    def compiled(self) -> Column:
         if self.name == "count":
             return F.count(F.lit(1) if self.column is None else F.col(self.column)).alias(self.alias)
         call = {"sum": F.sum, "avg": F.avg}[self.name]
-        return F.round(call(self.column), digits).alias(self.alias)
+        return call(self.column).alias(self.alias)
 
 
 @dataclass(frozen=True)
@@ -107,15 +107,15 @@ def parse(text: str) -> Query:
     return Query(m[1], [_command(p) for p in rest])
 
 
-def compiled(query: Query, source: Callable[[str], DataFrame], time: str = "ts", digits: int = 4) -> DataFrame:
+def compiled(query: Query, source: Callable[[str], DataFrame], time: str = "ts") -> DataFrame:
     df, grouped = source(query.index), False
     for c in query.commands:
         grouped = grouped or isinstance(c, Stats)
         if isinstance(c, Timechart):
             keys = [F.window(time, c.span)["start"].alias("_time"), *c.by]
-            df = df.groupBy(*keys).agg(*[a.compiled(digits) for a in c.aggregates])
+            df = df.groupBy(*keys).agg(*[a.compiled() for a in c.aggregates])
         elif isinstance(c, Stats):
-            df = df.groupBy(*c.by).agg(*[a.compiled(digits) for a in c.aggregates])
+            df = df.groupBy(*c.by).agg(*[a.compiled() for a in c.aggregates])
         else:
             # ties are settled by the remaining columns, so results are stable
             keys = [F.desc(k) if down else F.asc(k) for k, down in c.keys]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SAMPLE = 1000
+#: Views that come from here, by what they hold; they may be replaced when another folder is asked.
+REGISTERED: dict[str, int] = {}
 
 
 class Indexes:
@@ -33,6 +37,11 @@ class Indexes:
             n = SAMPLE
         return df.orderBy(order or df.columns[0]).limit(n if n > 0 else SAMPLE)
 
-    def register(self) -> None:
-        for name in self.names():
+    def register(self, text: str) -> None:
+        """The indexes that a text names as views for SQL; a table or view of the user's by the same name stays as it is."""
+        words = set(re.findall(r"\w+", text))
+        for name in words.intersection(self.names()):
+            if self.spark.catalog.tableExists(name) and self.spark.table(name).semanticHash() != REGISTERED.get(name):
+                continue
             self.table(name).createOrReplaceTempView(name)
+            REGISTERED[name] = self.spark.table(name).semanticHash()

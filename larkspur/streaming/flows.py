@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+LOG = logging.getLogger(__name__)
+#: Created keys up to which they are broadcast.
+MOST_CREATED = 10_000
 
 
 def events(spark: SparkSession, folder: str, name: str = "events", time: str = "ts") -> DataFrame:
-    """A table's file as a stream, with its time as a timestamp that watermarks accept."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1)
-    return reader.parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
+    """A table's file or folder of files as a stream, a file a batch, with its time as a timestamp that watermarks accept."""
+    table = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", 1)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    found = reader.parquet(table) if whole else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return found.withColumn(time, F.col(time).cast("timestamp"))
 
 
 def first_of_keys(stream: DataFrame, keys: list[str], time: str | None = None, late: str = "1 day") -> DataFrame:
@@ -32,22 +40,32 @@ def job_states(stream: DataFrame, key: str, order: list[str], state: list[str])
     return stream.groupBy(key).agg(F.max_by(F.struct(*state), F.struct(*order)).alias("_s")).select(key, "_s.*")
 
 
+def job_merges(stream: DataFrame, key: str, order: list[str], state: list[str], created: DataFrame, gone: Column) -> DataFrame:
+    """Of each created key the last value that an update set in each column; keys whose last update removes them are left
+    out. Updates of unknown keys are dropped before they reach the state, which so is bounded by the created keys."""
+    at = F.struct(*order)
+    known = stream.join(F.broadcast(created.select(key).distinct()) if len(created.take(MOST_CREATED + 1)) <= MOST_CREATED else created.select(key).distinct(), key)
+    merged = known.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in state], F.max_by(gone, at).alias("_gone"))
+    return merged.where(~F.col("_gone")).drop("_gone")
+
+
 def routed(stream: DataFrame, kind: str, column: str = "event_type") -> DataFrame:
     return stream.where(F.col(column) == kind)
 
 
 def relay(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
-    """Every batch to every sink; a sink that fails is reported after the others have had the batch."""
+    """Every batch to every sink; a sink that fails is logged and dropped after the others have had the batch."""
+    live = list(sinks)
 
     def send(batch: DataFrame, number: int) -> None:
         failed = []
-        for sink in sinks:
+        for sink in live:
             try:
                 sink(batch, number)
-            except Exception as error:  # noqa: BLE001  the others still get the batch
-                failed.append(error)
-        if failed:
-            raise ExceptionGroup("sinks failed", failed)
+            except Exception:  # the others still get the batch
+                LOG.exception("a sink failed and is dropped")
+                failed.append(sink)
+        live[:] = [s for s in live if s not in failed]
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
 

@@ -131,3 +131,62 @@ def test_types_of_fields(spark):
     rows = [("true", "1.5", "2024-01-15T10:30:00Z", "10.0.0.1", "https://a.b/c", "x"), (None, "-2", "2024-01-15", "1.2.3.4", "http://x", "1")]
     df = spark.createDataFrame(rows, "b string, n string, t string, i string, u string, s string")
     assert one(profiling.profile(df).select("type")) == ["boolean", "number", "timestamp", "ip", "url", "string"]
+
+
+def test_visualization_at_hand_equals_the_column(spark):
+    from larkspur.catalog.rules import QUERY_TEXTS
+
+    texts = [*QUERY_TEXTS, "stats count by x, percent", "by pie", "a by stats of count by b", ""]
+    assert one(column(spark, texts).orderBy("pos").select(classify.visualization(F.col("c")))) == [classify.visualization_of(t) for t in texts]
+
+
+def test_indexes_leave_views_of_the_user_alone(spark, sf_dir):
+    spark.createDataFrame([(7,)], "n int").createOrReplaceTempView("supplier")
+    assert Engine(spark, sf_dir).execute("SELECT * FROM supplier").single_value() == 7
+    spark.catalog.dropTempView("supplier")
+    assert Engine(spark, sf_dir).execute("SELECT * FROM supplier").rows.count() > 1
+
+
+def test_numbers_are_sorted_as_numbers(spark):
+    df = column(spark, [3.0, None, -1.0, float("nan"), 10.0], "double")
+    for down in (False, True):
+        as_text = df.withColumn("c", F.col("c").cast("string"))
+        want = one(tables.sorted_page(as_text, "c", "pos", down).orderBy("rn").select("pos"))
+        assert one(tables.sorted_page(df, "c", "pos", down).orderBy("rn").select("pos")) == want
+
+
+def test_deep_trees_are_refused_and_circles_too(spark):
+    schema = "id string, parent_id string, checked boolean"
+    deep = [(str(i), str(i - 1) if i else None, True) for i in range(5)]
+    with pytest.raises(ValueError):
+        documents.checklist_totals(spark.createDataFrame(deep, schema), max_depth=4)
+    assert documents.checklist_totals(spark.createDataFrame(deep, schema), max_depth=5).first().total == 5
+
+
+def test_relay_drops_a_sink_that_fails(spark, tmp_path):
+    from larkspur.streaming import flows
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 5).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    seen, tried = [], []
+
+    def good(batch, number):
+        seen.extend(r.id for r in batch.collect())
+
+    def bad(batch, number):
+        tried.append(number)
+        raise OSError("gone")
+
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    flows.relay(stream, [bad, good], str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == [*range(5), *range(10, 15), *range(20, 25)] and len(tried) == 1
+
+
+def test_streams_read_folders_of_files_batch_by_batch(spark, sf_dir, tmp_path):
+    from larkspur.streaming import flows
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = flows.drained(flows.job_states(flows.events(spark, str(tmp_path)), "user_id", ["ts", "event_id"], ["event_type"]))
+    want = flows.drained(flows.job_states(flows.events(spark, sf_dir), "user_id", ["ts", "event_id"], ["event_type"]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
