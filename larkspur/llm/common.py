@@ -67,8 +67,12 @@ class Carried:
         return self.columns[[n.lower() for n in self.names].index(name.lower())]
 
     def back(self, df: DataFrame, *made) -> DataFrame:
-        """The table's columns under their own names, and then the operator's."""
-        return df.select(*[F.col(c).alias(n) for c, n in zip(self.columns, self.names)], *made)
+        """The table's columns under their own names, and then the operator's.
+
+        All are made under the inner names first: in one selection a new name could stand for an inner one.
+        """
+        out = df.select(*self.columns, *made)
+        return out.toDF(*self.names, *out.columns[len(self.columns) :])
 
 
 def remove(df_or_path: DataFrame | str, spark: SparkSession) -> None:
