@@ -268,3 +268,22 @@ def test_toxicity_of_repeated_and_missing_ids(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.score(df, toxicity.fit(df, labels)).collect()
     assert len(got) == 202 and all(r.predicted == int("bad" in r.text) for r in got)
+
+
+CLASHING = ["c0", "c1", "id", "hash", "row", "n", "size", "key", "range", "to", "middle", "at", "source", "rate", "draws", "cdf", "run", "order", "h1", "h2", "line", "lines", "leaf", "body", "doc", "tag", "cell", "starts", "sizes", "plain", "blocks", "base", "known", "best", "_source", "_hash", "_id", "_mine"]
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "shard", "scan", "mix", "lines", "dedup", "score", "one_of_each"])
+def test_columns_of_any_name_are_carried(spark, name):
+    df = spark.createDataFrame([(i, f"mit license of {i} words", "a") for i in range(20)] + [(20, None, None)], DOCS + ", source string")
+    df = df.withColumns({c: F.lit(f"kept {c}") for c in CLASHING if c != "source"})
+    bench = spark.createDataFrame([(1, "nothing like it at all here")], "item_id long, text string")
+    fm = toxicity.FactorizationMachine(np.full(1 << toxicity.BITS, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, 2)))
+    got = {
+        "decontaminate": lambda: decontaminate.decontaminate(df, bench), "shard": lambda: sharding.shard(df, 3, sharding.text_size("text"), sharding.text_key("text", "doc_id")),
+        "scan": lambda: licenses.scan(df), "mix": lambda: mixing.mix(df, {"a": 1.0}), "lines": lambda: line_templates.dedup(df), "dedup": lambda: substrings.dedup(df),
+        "score": lambda: toxicity.score(df, fm), "one_of_each": lambda: ngram_join.one_of_each(df),
+    }[name]()
+    assert got.columns[: len(df.columns)] == df.columns
+    found = got.collect()
+    assert found and all(r[c] == f"kept {c}" for r in found for c in CLASHING if c != "source")
