@@ -10,17 +10,21 @@ response and the others are revisits without a body; the rest are responses. Eac
 bundle is full, into the shared folder under a name of its own; the index, written as a table, names the bundles of
 the attempts that succeeded. So a repeated or lost attempt leaves at most a file that nothing refers to.
 
-Memory: a task holds one frame and one record.
+Memory: a task holds a frame, a record, and the Arrow batch of rows it is reading, which the session's settings of
+batches bound. Reading holds a frame and its records.
 
 Defined cases: a null payload is empty; rows with a null id are written too, never as the response where an equal
-payload has an id, and come back with a null id; rows repeated with the id of the response are responses too; very long payloads make a frame
-of their own; an empty table makes no bundle; other columns are not written.
+payload has an id, and come back with a null id; rows repeated with the id of the response are responses too; rows of
+one id, and those without, share a record id; a url that is null, empty or holds white space is written without it, or
+as about:blank, and comes back as it was from a header of its own; very long payloads make a frame of their own; an
+empty table makes no bundle; other columns are not written.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -61,15 +65,18 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
 def record(page_id, url: str | None, payload: bytes, digest: str, size: int, kind: str, refers_to) -> bytes:
     """A WARC/1.1 record; the payload's own length and digest are headers, as revisits have no body."""
     name = "none" if page_id is None else page_id
+    target = "".join((url or "").split()) or "about:blank"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{name}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
-        f"WARC-Target-URI: {''.join((url or 'about:blank').split())}",
+        f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {size}",
     ]
+    if target != url:
+        head.append(f"X-Page-URL: {json.dumps(url)}")
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
@@ -233,7 +240,8 @@ def records(data: bytes, with_payload: bool) -> pa.RecordBatch:
         if not revisit and (hashlib.sha1(body).hexdigest() != digest or len(body) != int(head["X-Payload-Length"])):
             raise ValueError(f"record {head['WARC-Record-ID']}: the payload has another digest")
         refers = _id(head["WARC-Refers-To"]) if revisit else None
-        rows.append((_id(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], refers, int(head["X-Payload-Length"]), digest, body if with_payload and not revisit else None))
+        url = json.loads(head["X-Page-URL"]) if "X-Page-URL" in head else head["WARC-Target-URI"]
+        rows.append((_id(head["WARC-Record-ID"]), url, head["WARC-Type"], refers, int(head["X-Payload-Length"]), digest, body if with_payload and not revisit else None))
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in READ.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names)

@@ -128,12 +128,13 @@ def test_multi_index_meets_everything_within_the_radius():
 
 def test_warc_round_trip(spark):
     long = "é" * 700
-    pages = [(1, "http://a", long), (2, "http://b", long), (3, None, long), (4, "http://c", "short"), (5, "http://d", "short"), (6, "x", None), (7, "x", ""), (8, "big", "z" * 300_000), (None, "n", long)]
+    pages = [(1, "http://a", long), (2, "http://b", long), (3, None, long), (4, "http://c", "short"), (5, "http://d", "short"), (6, "", None), (7, "http://a b\r\n\r\nX: é", ""), (8, "big", "z" * 300_000), (None, "n", long)]
     df = frame(spark, pages, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     folder, index = warc.write_archive(df.repartition(3), frame_bytes=2000, bundle_bytes=500)
     back = {r.page_id: r for r in warc.read_archive(folder, index).collect()}
-    for i, _, html in pages:
+    for i, url, html in pages:
         raw = (html or "").encode()
+        assert back[i].url == url
         assert back[i].payload_bytes == len(raw) and back[i].payload_digest == hashlib.sha1(raw).hexdigest()
         revisit = i in (1, 2, None)
         assert (back[i].record_type, back[i].refers_to) == (("revisit", 3) if revisit else ("response", None))
