@@ -195,17 +195,21 @@ OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL
 ), split AS (
-  SELECT doc_id, md5(text) AS h, line, string_split(trim(regexp_replace(regexp_replace(body, '[^ \t\r\x0b\f]*[0-9][^ \t\r\x0b\f]*', '<*>', 'g'), '[ \t\r\x0b\f]+', ' ', 'g')), ' ') AS t FROM lines
+  SELECT doc_id, md5(text) AS h, line, string_split(trim(regexp_replace(body, '[ \t\r\x0b\f]+', ' ', 'g')), ' ') AS raw,
+    string_split(trim(regexp_replace(regexp_replace(body, '[^ \t\r\x0b\f]*[0-9][^ \t\r\x0b\f]*', '<*>', 'g'), '[ \t\r\x0b\f]+', ' ', 'g')), ' ') AS t FROM lines
 ), leaves AS (
   SELECT *, [CAST(len(t) AS VARCHAR), t[1], t[2], t[3]] AS leaf FROM split WHERE t[1] <> ''
 ), frequent AS (
   SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT h) >= 8
 ), single AS (
-  SELECT doc_id, h, line, leaf, len(t) AS size, unnest(t) AS token, unnest(range(len(t))) AS p FROM leaves SEMI JOIN frequent USING (leaf)
+  SELECT doc_id, h, line, leaf, len(raw) AS size, unnest(raw) AS token, unnest(range(len(raw))) AS p FROM leaves SEMI JOIN frequent USING (leaf)
 ), constant AS (
-  SELECT leaf, p, token FROM single WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT h) >= 8
+  SELECT leaf, p, token, NOT regexp_matches(token, '[0-9]') AND token <> '<*>' AS plain FROM single GROUP BY ALL HAVING count(DISTINCT h) >= 8
+), both_ways AS (
+  SELECT doc_id, h, line, leaf, size, count(*) FILTER (plain) AS n, list({'p': p, 'token': token} ORDER BY p) FILTER (plain) AS of_plain, list({'p': p, 'token': token} ORDER BY p) AS of_all
+  FROM single JOIN constant USING (leaf, p, token) GROUP BY ALL HAVING 2 * count(*) >= size
 ), fixed AS (
-  SELECT doc_id, h, line, leaf, size, list({'p': p, 'token': token} ORDER BY p) AS template FROM single JOIN constant USING (leaf, p, token) GROUP BY ALL HAVING 2 * count(*) >= size
+  SELECT doc_id, h, line, leaf, CASE WHEN 2 * n >= size THEN of_plain ELSE of_all END AS template FROM both_ways
 ), again AS (
   SELECT leaf, template FROM fixed GROUP BY ALL HAVING count(DISTINCT h) >= 8
 ), dropped AS (

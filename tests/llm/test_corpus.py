@@ -355,6 +355,25 @@ def test_mixing_counts_are_poisson_and_salted_joins_agree(spark, monkeypatch):
 # 7
 
 
+def test_line_templates_of_numbers_equal_sql(spark, tmp_path):
+    rng = random.Random(5)
+    shared = ["Tel. 555-0100 555-0101", "2024-01-01", "call 1 or 2", "<*> 7 <*>", "page 3 of the guide"]
+    docs = []
+    for i in range(60):
+        lines = [line for line in shared if rng.random() < 0.3]
+        lines += [f"page {rng.randrange(4)} of the guide", f"{rng.randrange(12)} {rng.randrange(3)}", f"Tel. {rng.randrange(99)} 555-0101", f"text {i}x", ""]
+        rng.shuffle(lines)
+        docs.append((i, "\n".join(lines)))
+    docs += [(60, None), (61, ""), (62, docs[0][1])]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    got = rows(QUERIES["op7_line_templates"](spark, str(tmp_path)), *columns)
+    assert got == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL['op7_line_templates']})").fetchall(), key=repr)
+    assert sum(r[2] for r in got) > 100
+
+
 def test_line_templates(spark):
     docs = [(i, f"Visited page {i} at {i}:00 today\nunique words of text number {chr(97 + i)} only\n\nshared footer line of the site") for i in range(12)]
     docs += [(20, None), (21, ""), (22, "shared footer line of the site"), (23, "plain"), (23, "plain")]
