@@ -42,8 +42,9 @@ def text_crc32(text: str) -> Column:
 
 
 def text_key(text: str, doc_id: str) -> Column:
-    """40 bits of the text's hash, then 24 of the id's."""
-    return F.shiftleft(F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 24), 24).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 40))
+    """36 bits of the text's MD5, then 24 of the id's."""
+    hashed = [F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) for c in (text, doc_id)]
+    return F.conv(F.concat(F.substring(hashed[0], 1, 9), F.substring(hashed[1], 1, 6)), 16, 10).cast("long")
 
 
 def _range_of(splitters: np.ndarray, spark):
