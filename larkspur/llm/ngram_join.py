@@ -252,19 +252,22 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
         order = F.struct((F.col("most") / F.col("n")).alias("a"), F.xxhash64("doc_id").alias("b")) if not step else F.struct(F.xxhash64("doc_id", "token").alias("b"))
         drawn = large.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "most", "component"), order).alias("r"))
         drawn = drawn.select("token", *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("doc_id", "n", "most", "component")))
-        drawn = if_small(written(drawn, "join-drawn"), FEW)
+        drawn = written(drawn, "join-drawn")
         few = large.groupBy("doc_id").agg(*(F.min_by("token", F.xxhash64("token", F.lit(4 * step + i))).alias(f"t{i}") for i in range(4)))
         mine = large.join(few, "doc_id").where("token IN (t0, t1, t2, t3)")
-        stars = mine.join(drawn, "token").where((F.col("component") != F.col("r_component")) & can_link("", "r_"))
+        stars = mine.join(if_small(drawn, FEW), "token").where((F.col("component") != F.col("r_component")) & can_link("", "r_"))
         stars = written(stars.select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")).distinct(), "join-stars")
         found = verified(docs, stars, k, sim, size.n)
+        remove(drawn, spark)
+        remove(stars, spark)
         links = links.unionByName(found)
         known = written(components(links), "join-known")
 
     # all buckets: the pairs of different components that share enough prefix tokens
     every = written(labelled(shared, known).drop("k"), "join-labelled")
     mixed = every.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = written(every.join(if_small(written(mixed, "join-mixed"), FEW), "token", "left_semi"), "join-open")
+    mixed = written(mixed, "join-mixed")
+    open_ = written(every.join(if_small(mixed, FEW), "token", "left_semi"), "join-open")
     x, y = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "l", "most", "live", "rank", "component"))) for s in "xy")
     # shared tokens not met in the prefixes lie beyond the end of one of them, where a set has need - l + 1 tokens left
     beyond = F.greatest(sim.need(F.col("x_n")) - F.col("x_l"), sim.need(F.col("y_n")) - F.col("y_l")) + 1
@@ -278,6 +281,9 @@ def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width
     pairs = met.where(F.size(F.array_intersect("ta", "tb")) >= F.col("least")).select("a", "b")
     pairs = written(pairs, "join-pairs")
     more = verified(docs, pairs, k, sim, size.n)
+    for done in (buckets, shared, every, mixed, open_, tokens, pairs):
+        remove(done, spark)
+    release(spark)
     found = components(links.unionByName(more)).withColumnRenamed("node", "rep")
 
     out = sets.join(classes, ["s1", "s2", "n"], "left").join(found, "rep", "left")
