@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.llm.common import Carried, if_small, written
+from larkspur.llm.common import Carried, if_small, release, remove, written
 
 VARIABLE = "<*>"
 #: Leaves, constants and templates up to which they are broadcast, of 8 to 24 bytes each.
@@ -60,6 +60,7 @@ def text_hashes(text: str) -> list[Column]:
 
 def recurring(texts: DataFrame, min_docs: int, depth: int) -> DataFrame:
     """(h1, h2, lines) as a written table: of each text of the column ``text``, the numbers of the lines to drop, from 0."""
+    spark = texts.sparkSession
     texts = texts.where(F.col("text").isNotNull()).select(*text_hashes("text"), "text")
     # tokens are a lambda's variable when the leaf uses them, so they are made once a line
     taken_apart = F.transform(_lines(F.col("text")), lambda body: F.struct(body.alias("body"), tokens(body).alias("t")))
@@ -70,6 +71,8 @@ def recurring(texts: DataFrame, min_docs: int, depth: int) -> DataFrame:
     # the lines of frequent leaves, of each text once
     taken = placed.join(if_small(frequent, MANY), "leaf", "left_semi").dropDuplicates(["h1", "h2", "line"])
     taken = written(taken.select("h1", "h2", "line", "leaf", raw_tokens(F.col("body")).alias("raw")), "lines-taken")
+    remove(placed, spark)
+    release(spark)
     single = taken.select("h1", "h2", "line", "leaf", F.size("raw").alias("size"), F.posexplode("raw").alias("p", "token"))
     constant = single.groupBy("leaf", "p", "token").agg(F.count_distinct("h1").alias("n")).where(F.col("n") >= min_docs)
     # tokens with a digit are in a template only where it has too few constants without them
@@ -84,8 +87,13 @@ def recurring(texts: DataFrame, min_docs: int, depth: int) -> DataFrame:
     )
     fixed = written(fixed, "lines-templates")
     again = fixed.groupBy("leaf", "template", "constants").agg(F.count_distinct("h1").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    dropped = fixed.join(if_small(written(again, "lines-again"), MANY), ["leaf", "template", "constants"])
-    return written(dropped.groupBy("h1", "h2").agg(F.collect_list("line").alias("lines")), "lines-dropped")
+    again = written(again, "lines-again")
+    dropped = fixed.join(if_small(again, MANY), ["leaf", "template", "constants"])
+    out = written(dropped.groupBy("h1", "h2").agg(F.collect_list("line").alias("lines")), "lines-dropped")
+    for done in (frequent, taken, constant, fixed, again):
+        remove(done, spark)
+    release(spark)
+    return out
 
 
 def dedup(docs: DataFrame, min_docs: int = 8, depth: int = 3) -> DataFrame:
