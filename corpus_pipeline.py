@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from larkspur.llm.common import Carried, table, written
+from larkspur.llm.common import Carried, remove, table, written
 from larkspur.llm.queries import WEIGHTS
 
 
@@ -61,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # a stage's table goes once the next one is written
+        if before is not None:
+            remove(before, spark)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
