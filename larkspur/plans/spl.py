@@ -15,7 +15,9 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from larkspur.operators.numbering import numbered
 
 SPANS = {"s": "second", "m": "minute", "h": "hour", "d": "day"}
 
@@ -121,9 +123,9 @@ def compiled(query: Query, source: Callable[[str], DataFrame], time: str = "ts")
             keys = [F.desc(k) if down else F.asc(k) for k, down in c.keys]
             keys += [F.asc(k) for k in df.columns if k not in dict(c.keys)]
             if grouped:
-                df = df.withColumn("rn", F.row_number().over(Window.orderBy(*keys)).cast("int"))
+                df = numbered(df, *keys).withColumn("rn", F.col("rn").cast("int"))
             else:
-                # raw rows are sorted by ranges on all executors; numbering them would take one task
+                # raw rows keep their shape
                 df = df.orderBy(*keys)
     return df
 
