@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import decontaminate, licenses, line_templates, mixing, ngram_join, sharding, substrings, topk, toxicity, warc
+from larkspur.llm import decontaminate, licenses, line_templates, merkle, mixing, ngram_join, piece_tokens, sharding, substrings, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
@@ -277,5 +278,70 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op7_line_templates": op7_line_templates, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op4_sharding": OP4_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op7_line_templates": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL}
+def op12_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = piece_tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    found = piece_tokens.decode(ids, model)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digests = [F.sha2(c.cast("binary"), 256).alias(n) for c, n in ((decimal, "ids_sha256"), (F.col("decoded"), "decoded_sha256"))]
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    around = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    digest = merkle.record_digest(*around, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", digest.alias("digest"), F.when(tampered, merkle.record_digest(*around, lowered)).otherwise(digest).alias("seen"))
+    return merkle.proofs(merkle.build(leaves, "source", ["doc_id"]), "seen", ["doc_id"])
+
+
+# levels as recursions; DuckDB has no CRC-32, so it is taken over the digits of the id, four bits at a time
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text, list_reduce(list_prepend(4294967295::BIGINT, flatten([[b & 15, b >> 4] FOR b IN [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..')]])),
+    lambda c, half: xor(c >> 4, {_REMAINDERS}[(xor(c, half) & 15) + 1])) AS crc FROM documents
+), fields AS (
+  SELECT doc_id, source, crc, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM d
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295::BIGINT) % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+      ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS seen
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves
+), own AS (
+  SELECT 0 AS level, tree, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT level + 1, tree, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM own WHERE n > 1 GROUP BY level, tree, i // 16
+), subroots AS (
+  SELECT tree, h AS subroot, level AS depth FROM own WHERE n = 1
+), top AS (
+  SELECT 0 AS level, tree AS i, count(*) OVER () AS n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 16
+), root AS (
+  SELECT h AS root FROM top WHERE n = 1
+), runs AS (
+  SELECT tree, level, i // 16 AS run, list(h ORDER BY i) AS hs FROM own WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT -1, level, i // 16, list(h ORDER BY i) FROM top WHERE n > 1 GROUP BY ALL
+), folds AS (
+  SELECT tree, i AS leaf_i, 0 AS step, CASE WHEN depth = 0 THEN -1 ELSE tree END AS home, 0 AS level, CASE WHEN depth = 0 THEN tree ELSE i END AS i, depth, seen AS h, '' AS proof
+  FROM placed JOIN subroots USING (tree)
+  UNION ALL
+  SELECT f.tree, leaf_i, step + 1, CASE WHEN step + 1 = depth THEN -1 ELSE home END, CASE WHEN step + 1 = depth THEN 0 ELSE f.level + 1 END, CASE WHEN step + 1 = depth THEN f.tree ELSE f.i // 16 END, depth,
+    sha256(array_to_string(hs[1:f.i % 16], '') || h || array_to_string(hs[f.i % 16 + 2:], '')), proof || array_to_string(hs[1:f.i % 16], '') || array_to_string(hs[f.i % 16 + 2:], '')
+  FROM folds AS f JOIN runs ON runs.tree = f.home AND runs.level = f.level AND runs.run = f.i // 16
+), ends AS (
+  SELECT tree, leaf_i, arg_max(h, step) AS folded_root, sha256(arg_max(proof, step)) AS proof_sha256 FROM folds GROUP BY ALL
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (tree) JOIN ends ON ends.tree = placed.tree AND ends.leaf_i = placed.i, root
+"""
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op7_line_templates": op7_line_templates, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity, "op12_piece_tokens": op12_piece_tokens, "op13_merkle": op13_merkle}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op4_sharding": OP4_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op7_line_templates": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL, "op13_merkle": OP13_SQL}
