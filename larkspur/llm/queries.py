@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import decontaminate, licenses, line_templates, merkle, mixing, ngram_join, piece_tokens, sharding, substrings, topk, toxicity, warc
+from larkspur.llm import decontaminate, lexical, licenses, line_templates, merkle, mixing, ngram_join, piece_tokens, sharding, substrings, topk, toxicity, warc
 from larkspur.llm.common import table
 
 
@@ -278,6 +278,32 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), totals AS (
+  SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), tf AS (
+  SELECT doc_id, len(w)::BIGINT AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY ALL
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), totals
+), impacts AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))) AS impact FROM tf JOIN weights USING (t), totals
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN impacts USING (t) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def op12_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     ids = piece_tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
@@ -343,5 +369,5 @@ FROM placed JOIN subroots USING (tree) JOIN ends ON ends.tree = placed.tree AND
 """
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op7_line_templates": op7_line_templates, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity, "op12_piece_tokens": op12_piece_tokens, "op13_merkle": op13_merkle}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op4_sharding": OP4_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op7_line_templates": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL, "op13_merkle": OP13_SQL}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_warc": op2_warc, "op3_ngram_join": op3_ngram_join, "op4_sharding": op4_sharding, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op7_line_templates": op7_line_templates, "op8_exact_topk": op8_exact_topk, "op9_substrings": op9_substrings, "op10_toxicity": op10_toxicity, "op11_lexical": op11_lexical, "op12_piece_tokens": op12_piece_tokens, "op13_merkle": op13_merkle}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_warc": OP2_SQL, "op3_ngram_join": OP3_SQL, "op4_sharding": OP4_SQL, "op5_licenses": OP5_SQL, "op6_mixing": OP6_SQL, "op7_line_templates": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_substrings": OP9_SQL, "op11_lexical": OP11_SQL, "op13_merkle": OP13_SQL}
