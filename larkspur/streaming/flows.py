@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import logging
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-LOG = logging.getLogger(__name__)
+from larkspur.sources.work import if_small, new_path
+from larkspur.streaming.relay import RelayedTable, relay
+
 #: Created keys up to which they are broadcast.
 MOST_CREATED = 10_000
 
@@ -44,7 +42,7 @@ def job_merges(stream: DataFrame, key: str, order: list[str], state: list[str],
     """Of each created key the last value that an update set in each column; keys whose last update removes them are left
     out. Updates of unknown keys are dropped before they reach the state, which so is bounded by the created keys."""
     at = F.struct(*order)
-    known = stream.join(F.broadcast(created.select(key).distinct()) if len(created.take(MOST_CREATED + 1)) <= MOST_CREATED else created.select(key).distinct(), key)
+    known = stream.join(if_small(created.select(key).distinct(), MOST_CREATED), key)
     merged = known.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in state], F.max_by(gone, at).alias("_gone"))
     return merged.where(~F.col("_gone")).drop("_gone")
 
@@ -53,26 +51,13 @@ def routed(stream: DataFrame, kind: str, column: str = "event_type") -> DataFram
     return stream.where(F.col(column) == kind)
 
 
-def relay(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
-    """Every batch to every sink; a sink that fails is logged and dropped after the others have had the batch."""
-    live = list(sinks)
-
-    def send(batch: DataFrame, number: int) -> None:
-        failed = []
-        for sink in live:
-            try:
-                sink(batch, number)
-            except Exception:  # the others still get the batch
-                LOG.exception("a sink failed and is dropped")
-                failed.append(sink)
-        live[:] = [s for s in live if s not in failed]
-
-    return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
-
-
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote; for tests and bounded inputs."""
-    spark, name = stream.sparkSession, f"flow_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Run a stream over all that is there into a table, and return its rows: those of all batches, or in complete mode
+    of the last one, which has all groups."""
+    spark = stream.sparkSession
+    table = RelayedTable(spark, new_path(spark, "flow"))
+    relay(stream, {"table": table}, new_path(spark, "flow-checkpoint"), mode).start().awaitTermination()
+    rows = table.read(stream.schema)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == max(table.committed(), default=0))
+    return rows.drop("batch")

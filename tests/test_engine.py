@@ -164,7 +164,7 @@ def test_deep_trees_are_refused_and_circles_too(spark):
 
 
 def test_relay_drops_a_sink_that_fails(spark, tmp_path):
-    from larkspur.streaming import flows
+    from larkspur.streaming.relay import relay
 
     for i in range(3):
         spark.range(i * 10, i * 10 + 5).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
@@ -178,7 +178,7 @@ def test_relay_drops_a_sink_that_fails(spark, tmp_path):
         raise OSError("gone")
 
     stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    flows.relay(stream, [bad, good], str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    relay(stream, {"bad": bad, "good": good}, str(tmp_path / "checkpoint")).start().awaitTermination()
     assert sorted(seen) == [*range(5), *range(10, 15), *range(20, 25)] and len(tried) == 1
 
 
