@@ -9,6 +9,7 @@ from larkspur.engine import Engine
 from larkspur.functions.scalars import single_value
 from larkspur.operators import profiling, search, tables
 from larkspur.operators.conversations import get
+from larkspur.plans import spl
 from larkspur.sources.indexes import Indexes
 
 
@@ -31,7 +32,10 @@ def spl_stats_sum_avg_by(spark, d):
     return found.select("event_type", *[F.round(c, 4).alias(c) for c in ("sum_value", "avg_value")])
 
 
-@query("spl_timechart_hour", "SELECT date_trunc('hour', ts) AS _time, count(*) AS count, round(avg(value), 4) AS avg_value FROM events GROUP BY 1")
+@query("spl_timechart_hour", """
+SELECT _time, coalesce(count, 0) AS count, avg_value FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS _time FROM events)
+LEFT JOIN (SELECT date_trunc('hour', ts) AS _time, count(*) AS count, round(avg(value), 4) AS avg_value FROM events GROUP BY 1) USING (_time)
+""")
 def spl_timechart_hour(spark, d):
     found = Engine(spark, d).execute("index=events | timechart count, avg(value)", "spl").rows
     return found.withColumn("avg_value", F.round("avg_value", 4))
@@ -39,7 +43,35 @@ def spl_timechart_hour(spark, d):
 
 @query("spl_timechart_by_type", "SELECT date_trunc('hour', ts) AS _time, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def spl_timechart_by_type(spark, d):
-    return Engine(spark, d).execute("index=events | timechart span=1h count by event_type", "spl").rows
+    return Engine(spark, d).execute("index=events | timechart span=1h limit=0 count by event_type", "spl").rows
+
+
+@query("spl_timechart_top", """
+WITH sized AS (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) AS nth FROM events GROUP BY event_type
+), b AS (SELECT time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS _time, least(nth, 3) AS nth FROM events JOIN sized USING (event_type)
+), spine AS (SELECT unnest(generate_series(min(_time), max(_time), INTERVAL 3 HOUR)) AS _time FROM b)
+SELECT _time, count(*) FILTER (nth = 1) AS first, count(*) FILTER (nth = 2) AS second, count(*) FILTER (nth = 3) AS other FROM spine LEFT JOIN b USING (_time) GROUP BY _time
+""")
+def spl_timechart_top(spark, d):
+    """The columns are named by the data; here by their place."""
+    return Engine(spark, d).execute("index=events | timechart span=3h limit=2 count by event_type", "spl").rows.toDF("_time", "first", "second", "other")
+
+
+@query("spl_timechart_sparse", """
+WITH e AS (SELECT ts, value, CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id % 50 END AS who FROM events WHERE value > 100
+), sized AS (SELECT coalesce(CAST(who AS VARCHAR), 'NULL') AS who, row_number() OVER (ORDER BY round(sum(value), 6) DESC, coalesce(CAST(who AS VARCHAR), 'NULL')) AS nth FROM e GROUP BY 1
+), b AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS _time, least(nth, 3) AS nth, value FROM e JOIN sized ON sized.who = coalesce(CAST(e.who AS VARCHAR), 'NULL')
+), spine AS (SELECT unnest(generate_series(min(_time), max(_time), INTERVAL 15 MINUTE)) AS _time FROM b)
+SELECT _time, round(sum(value) FILTER (nth = 1), 4) AS first_sum, round(avg(value) FILTER (nth = 1), 4) AS first_avg, round(sum(value) FILTER (nth = 2), 4) AS second_sum, round(avg(value) FILTER (nth = 2), 4) AS second_avg,
+  round(sum(value) FILTER (nth = 3), 4) AS other_sum, round(avg(value) FILTER (nth = 3), 4) AS other_avg
+FROM spine LEFT JOIN b USING (_time) GROUP BY _time
+""")
+def spl_timechart_sparse(spark, d):
+    """Spans without rows, series of nulls, and two aggregates a series."""
+    rows = table(spark, d, "events").where("value > 100").withColumn("who", F.when(F.col("event_id") % 7 != 0, F.col("user_id") % 50))
+    chart = spl.compiled(spl.parse("index=events | timechart span=15m limit=2 sum(value), avg(value) by who"), lambda _: rows)
+    names = ["first_sum", "first_avg", "second_sum", "second_avg", "other_sum", "other_avg"]
+    return chart.toDF("_time", *names).select("_time", *[F.round(n, 4).alias(n) for n in names])
 
 
 _CUSTOMERS = """

@@ -3,7 +3,9 @@
 Grammar: ``index=NAME`` and then any of
 
 * ``stats AGG[(field)] {, AGG(field)} [by field {, field}]`` with AGG one of count, sum, avg;
-* ``timechart [span=1h] AGG[(field)] {, AGG(field)} [by field]``, giving ``_time`` and a column an aggregate;
+* ``timechart [span=1h] [limit=10] AGG[(field)] {, AGG(field)} [by field]``, giving a row for every span from the first to
+  the last, without a gap: ``_time`` and a column an aggregate; with ``by`` a column for each of the ``limit`` largest
+  series and one for all OTHER (with ``limit=0`` a row for each span and series that there is);
 * ``sort [+|-]field {, [+|-]field}``; groups also get ``rn``, the row's number.
 
 ``span`` and several fields after ``by`` go beyond the texts this language is modelled on.
@@ -47,6 +49,7 @@ class Stats:
 @dataclass(frozen=True)
 class Timechart(Stats):
     span: str = "1 hour"
+    limit: int = 10
 
 
 @dataclass(frozen=True)
@@ -89,11 +92,18 @@ def _command(text: str) -> Stats | Timechart | Sort:
         body, *by = re.split(r"\s+by\s+", rest)
         return Stats(_aggregates(body), _names(by[0]) if by else [])
     if word == "timechart":
-        span = "1 hour"
-        if m := re.match(r"span=(\d+)([smhd])\s+", rest):
-            span, rest = f"{m[1]} {SPANS[m[2]]}", rest[m.end() :]
+        span, limit = "1 hour", 10
+        while m := re.match(r"(?:span=(\d+)([smhd])|limit=(\d+))\s+", rest):
+            if m[1]:
+                span = f"{m[1]} {SPANS[m[2]]}"
+            else:
+                limit = int(m[3])
+            rest = rest[m.end() :]
         body, *by = re.split(r"\s+by\s+", rest)
-        return Timechart(_aggregates(body), _names(by[0]) if by else [], span)
+        names = _names(by[0]) if by else []
+        if limit and len(names) > 1:
+            raise SplError("a time chart has one field after by, or limit=0")
+        return Timechart(_aggregates(body), names, span, limit)
     if word == "sort":
         keys = [(k.strip().lstrip("+-"), k.strip().startswith("-")) for k in rest.split(",")]
         _names(",".join(k for k, _ in keys))
@@ -109,13 +119,42 @@ def parse(text: str) -> Query:
     return Query(m[1], [_command(p) for p in rest])
 
 
+OTHER, NULL = "OTHER", "NULL"
+
+
+def timechart(df: DataFrame, c: Timechart, time: str) -> DataFrame:
+    """Spans without a gap and series as columns; those are chosen in a pass of their own, in which a series counts by the
+    first aggregate over all of its rows. A span without rows has counts of 0 and otherwise nulls."""
+    at = F.window(time, c.span)["start"].alias("_time")
+    if c.by and not c.limit:
+        return df.groupBy(at, *c.by).agg(*[a.compiled() for a in c.aggregates])
+    if c.by:
+        name = F.coalesce(F.col(c.by[0]).cast("string"), F.lit(NULL))
+        sizes = df.where(name != OTHER).groupBy(name.alias("name")).agg(c.aggregates[0].compiled().alias("size"))
+        # limit rows
+        largest = [r.name for r in sizes.orderBy(F.desc_nulls_last("size"), "name").limit(c.limit).collect()]
+        series = F.when(name.isin(largest), name).otherwise(OTHER)
+        rest = [OTHER] if df.where(~name.isin(largest)).limit(1).count() else []
+        wide = df.withColumn("_series", series).groupBy(at).pivot("_series", [*largest, *rest]).agg(*[a.compiled() for a in c.aggregates])
+        columns = [f"{a.alias}: {s}" if len(c.aggregates) > 1 else s for s in [*largest, *rest] for a in c.aggregates]
+        counts = [a.name == "count" for _ in [*largest, *rest] for a in c.aggregates]
+    else:
+        wide = df.groupBy(at).agg(*[a.compiled() for a in c.aggregates])
+        columns, counts = [a.alias for a in c.aggregates], [a.name == "count" for a in c.aggregates]
+    inner = [f"s{i}" for i in range(len(columns))]
+    wide = wide.toDF("_time", *inner)
+    ends = wide.agg(F.min("_time").alias("lo"), F.max("_time").alias("hi")).where("lo IS NOT NULL")
+    spine = ends.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {c.span}"))).alias("_time"))
+    shown = [F.coalesce(i, F.lit(0)).alias(i) if n else F.col(i) for i, n in zip(inner, counts)]
+    return spine.join(wide, "_time", "left").select("_time", *shown).toDF("_time", *columns)
+
+
 def compiled(query: Query, source: Callable[[str], DataFrame], time: str = "ts") -> DataFrame:
     df, grouped = source(query.index), False
     for c in query.commands:
         grouped = grouped or isinstance(c, Stats)
         if isinstance(c, Timechart):
-            keys = [F.window(time, c.span)["start"].alias("_time"), *c.by]
-            df = df.groupBy(*keys).agg(*[a.compiled() for a in c.aggregates])
+            df = timechart(df, c, time)
         elif isinstance(c, Stats):
             df = df.groupBy(*c.by).agg(*[a.compiled() for a in c.aggregates])
         else:
@@ -134,7 +173,7 @@ def classify_result(df: DataFrame, query: Query) -> Mapping[str, object]:
     """The visualization that the result's own shape suggests."""
     last = next((c for c in reversed(query.commands) if isinstance(c, Stats)), None)
     if isinstance(last, Timechart):
-        return {"visualization": "timechart", "x": "_time", "series": [a.alias for a in last.aggregates]}
+        return {"visualization": "timechart", "x": "_time", "series": [c for c in df.columns if c not in ("_time", "rn", *last.by)]}
     if last and not last.by:
         return {"visualization": "single-value", "field": last.aggregates[0].alias}
     if last:
