@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from larkspur.catalog.registry import query, table, values
 from larkspur.engine import Engine
 from larkspur.functions.scalars import single_value
-from larkspur.operators import profiling, search, tables
+from larkspur.operators import profiling, search, tables, text_index
 from larkspur.operators.conversations import get
 from larkspur.plans import spl
 from larkspur.sources.indexes import Indexes
@@ -166,6 +166,16 @@ def search_falsy_cells(spark, d):
     return search.search(table(spark, d, "lineitem"), "0", ["l_tax"]).agg(F.count("*").alias("n"))
 
 
+@query("search_indexed", """
+SELECT item_id, doc_id FROM (SELECT item_id, substring(text, 1, 40) AS needle FROM benchmark) AS b JOIN documents AS d ON contains(lower(d.text), lower(needle)) WHERE needle <> ''
+""")
+def search_indexed(spark, d):
+    """The documents that hold the beginning of each benchmark item, by a substring index."""
+    index = text_index.build(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
+    needles = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("needle"))
+    return index.search(needles).select("needle", "doc_id").join(needles, "needle").select("item_id", "doc_id")
+
+
 @query("search_counts", "SELECT count(*) FILTER (contains(lower(text), 'data')) AS shown, count(*) AS total FROM documents")
 def search_counts(spark, d):
     return search.shown_of(table(spark, d, "documents"), F.contains(F.lower("text"), F.lit("data")))
