@@ -284,3 +284,52 @@ def relation_cardinality(spark, d):
 @query("active_users", "SELECT count(DISTINCT user_id) AS active_connections FROM events")
 def active_users(spark, d):
     return table(spark, d, "events").agg(F.count_distinct("user_id").alias("active_connections"))
+
+
+#: Columns of the given tables; those of numbers with a fraction are left out, as engines print them differently.
+PLAIN = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_mktsegment", "supplier": "s_suppkey s_name s_nationkey",
+    "part": "p_partkey p_name p_brand p_type p_size", "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority", "lineitem": "l_orderkey l_partkey l_linenumber l_returnflag l_linestatus",
+    "events": "event_id ts user_id event_type props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id label", "pages": "page_id url html",
+    "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+_KIND = " ".join(f"WHEN n > nulls AND n_{k} = n - nulls THEN '{k}'" for k, _ in profiling.PROBES)
+_KNOWN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in profiling.CATEGORIES.items())
+_DESCRIBED = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in profiling.DESCRIPTIONS.items())
+_PROFILE = " UNION ALL ".join(f"""
+SELECT '{t}' AS tab, '{c}' AS field, count(*) AS n, count(*) FILTER (v IS NULL) AS nulls, {", ".join(f"count(*) FILTER (regexp_matches(v, '{p.replace(chr(39), chr(39) * 2)}')) AS n_{k}" for k, p in profiling.PROBES)},
+  list_sort(list(DISTINCT CASE WHEN length(v) <= 200 THEN v ELSE left(v, 200) || '…' || md5(v) END) FILTER (v IS NOT NULL)) AS vs FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {t})
+""" for t, cs in PLAIN.items() for c in cs.split())
+
+
+@query("profile_every_table", f"""
+WITH p AS ({_PROFILE}), k AS (SELECT *, CASE {_KIND} ELSE 'string' END AS type FROM p)
+SELECT tab, field, n, nulls, type, coalesce(CASE field {_DESCRIBED} END, 'Field ' || field || ' contains data related to the event') AS description,
+  coalesce(CASE lower(field) {_KNOWN} END, CASE type WHEN 'timestamp' THEN 'Time' WHEN 'ip' THEN 'Network' END) AS category,
+  coalesce(array_to_string(vs[1:3], ','), '') AS samples, CAST(greatest(coalesce(len(vs), 0) - 3, 0) AS BIGINT) AS more
+FROM k
+""")
+def profile_every_table(spark, d):
+    """Types, three samples and how many more of all columns, a scan a table."""
+    out = None
+    for name, columns in PLAIN.items():
+        found = profiling.full_profile(table(spark, d, name), columns.split()).select(F.lit(name).alias("tab"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_RELATED = {"events": ("event_id", "user_id", "event_type", "props"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size")}
+
+
+_PAIRS = " UNION ALL ".join(f"""
+SELECT '{t}' AS tab, '{a}' AS parent, '{b}' AS child, (SELECT max(n) FROM (SELECT count(DISTINCT {b}) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a})) AS children_per_parent,
+  (SELECT max(n) FROM (SELECT count(DISTINCT {a}) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {b})) AS parents_per_child
+""" for t, cs in _RELATED.items() for i, a in enumerate(cs) for b in cs[i + 1 :])
+
+
+@query("relations_of_all_pairs", f"""
+SELECT *, CASE WHEN children_per_parent > 1 AND parents_per_child > 1 THEN 'many-to-many' WHEN children_per_parent > 1 THEN 'one-to-many' WHEN parents_per_child > 1 THEN 'many-to-one' ELSE 'one-to-one' END AS cardinality FROM ({_PAIRS})
+""")
+def relations_of_all_pairs(spark, d):
+    first, *rest = (profiling.pair_relations(table(spark, d, t), list(cs)).select(F.lit(t).alias("tab"), "*") for t, cs in _RELATED.items())
+    return first.unionByName(rest[0])
