@@ -120,6 +120,16 @@ def row_ids(spark, d):
     return jobs.with_ids(named, "n_name").agg(F.count("*").alias("n"), F.count_distinct("uuid").alias("uuids"), F.count_distinct("id").alias("numbers"))
 
 
+@query("sequential_ids", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS id FROM customer")
+def sequential_ids(spark, d):
+    return jobs.with_ids(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+
+
+@query("pretty_props", "SELECT event_id, '{' || chr(10) || '  \"k\": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || chr(10) || '}' AS shown FROM events")
+def pretty_props(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.pretty_json("props").alias("shown"))
+
+
 @query("job_created_view", "SELECT 'a' AS job_id, 'queued' AS status, 7 AS days, true AS no_result")
 def job_created_view(spark, d):
     made = views.job_created_view(spark.createDataFrame([("a", "queued", '{"range": 7}', "", None)], "job_id string, status string, params string, result string, error string"))

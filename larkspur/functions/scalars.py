@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: All Unicode space at both ends, as browsers trim.
 EDGES = r"(?U)^\s+|\s+$"
@@ -112,3 +115,31 @@ def leading_number(c: Column) -> Column:
     text = F.regexp_extract(c, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
     infinite = F.regexp_extract(c, r"^\s*([+-]?)Infinity", 0)
     return F.when(infinite != "", F.when(F.contains(infinite, F.lit("-")), float("-inf")).otherwise(float("inf"))).otherwise(text.try_cast("double"))
+
+
+def given(df: DataFrame, column: str) -> Column:
+    """A cell as text, null where it counts as missing: empty text, the number 0 or NaN, false."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.StringType):
+        return F.nullif(c, F.lit(""))
+    if isinstance(kind, T.BooleanType):
+        return F.when(c, c.cast("string"))
+    if isinstance(kind, T.NumericType):
+        return F.when((c != 0) & ~F.isnan(c.cast("double")), c.cast("string"))
+    return c.cast("string")
+
+
+@F.pandas_udf(T.StringType())
+def pretty_json(text: pd.Series) -> pd.Series:
+    """JSON text laid out by two spaces a level; text that is no JSON is null."""
+
+    def whole(x: float) -> float | int:
+        return int(x) if x.is_integer() and abs(x) < 1e21 else x
+
+    def laid_out(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(json.loads(x, parse_float=lambda f: whole(float(f))), indent=2, ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return text.map(laid_out)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from larkspur.functions.scalars import given
+
 # The kinds of blocks, and of each its fields with what an empty, zero or false value falls back to.
 FIELDS = {
     "markdown": {"content": ""},
@@ -36,6 +38,8 @@ SWITCHES = {
     "checklist": ["showProgress", "showPriority", "showDueDate"],
     "diagram": ["interactive", "showControls"],
 }
+#: A field that takes another one's value where it is missing itself.
+FALLS_BACK = {"allowChartTypeSwitch": "isTimeSeries"}
 # Sample series.
 SLICES = [("Success", 1250), ("Warning", 150), ("Error", 75), ("Info", 200)]
 WEEK = [("Mon", 1200), ("Tue", 1350), ("Wed", 1100), ("Thu", 1450), ("Fri", 1300), ("Sat", 980), ("Sun", 1050)]
@@ -74,11 +78,24 @@ def nested_blocks(df: DataFrame, key: str, blocks: str, jobs: DataFrame | None =
     return out.withColumnRenamed("k", key)
 
 
+def _given(name: str) -> Column:
+    """A field's text, null where it counts as missing: absent, null, empty text, the number 0, false."""
+    value = F.try_variant_get("value", f"$.data.{name}", "variant")
+    kind, text = F.schema_of_variant(value), F.try_variant_get("value", f"$.data.{name}", "string")
+    empty = (kind == "VOID") | ((kind == "STRING") & (text == "")) | ((kind == "BOOLEAN") & (text == "false"))
+    zero = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get("value", f"$.data.{name}", "double") == 0)
+    return F.when(value.isNotNull() & ~empty & ~zero, text)
+
+
 def _field(name: str, default: str | None) -> Column:
-    value = F.try_variant_get("value", f"$.data.{name}", "string")
+    """A field or what it falls back to; without a default a switch, which only false turns off."""
     if default is None:
-        return F.when(value == "false", "false").otherwise("true")
-    return F.when(value.isNull() | value.isin("", "0", "false"), default).otherwise(value)
+        value = F.try_variant_get("value", f"$.data.{name}", "variant")
+        off = (F.schema_of_variant(value) == "BOOLEAN") & (F.try_variant_get("value", f"$.data.{name}", "string") == "false")
+        return F.when(off, "false").otherwise("true")
+    # a chart over time can always be switched
+    also = [_given(FALLS_BACK[name])] if name in FALLS_BACK else []
+    return F.coalesce(_given(name), *also, F.lit(default))
 
 
 def rendered_blocks(df: DataFrame, key: str, blocks: str, jobs: DataFrame | None = None) -> DataFrame:
@@ -120,7 +137,7 @@ def sample_series(spark: SparkSession, kind: str, seed: int = 1) -> DataFrame:
 
 def pie_slices(df: DataFrame, x: str, y: str = "value") -> DataFrame:
     """(label, value): the label falls back to ``name`` and then to the number itself, a missing number to 0."""
-    labels = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in (x, "name") if c in df.columns]
+    labels = [given(df, c) for c in (x, "name") if c in df.columns]
     return df.select(F.coalesce(*labels, F.col(y).cast("string")).alias("label"), F.coalesce(F.nanvl(F.col(y).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 

@@ -11,10 +11,10 @@ NEW_TITLE = "New Chat"
 
 def get(df: DataFrame, key: str, value) -> DataFrame:
     """Point lookup; none found is an error."""
-    found = df.where(F.col(key) == F.lit(value)).limit(1).collect()
-    if not found:
+    found = find(df, key, value)
+    if found.isEmpty():
         raise LookupError(f"no row with {key} = {value}")
-    return df.sparkSession.createDataFrame(found, df.schema)
+    return found
 
 
 def find(df: DataFrame, key: str, value) -> DataFrame:
@@ -112,8 +112,20 @@ def current_after_delete(df: DataFrame, deleted, current, key: str = "id", posit
     return first if current == deleted else df.sparkSession.createDataFrame([(current,)], first.schema)
 
 
-def toggled(df: DataFrame, item: str, checked: bool, key: str = "id") -> DataFrame:
-    return df.withColumn("checked", F.when(F.col(key) == item, F.lit(checked)).otherwise(F.col("checked")))
+_INSIDE = """
+WITH RECURSIVE above(start, at) AS (
+  SELECT parent, parent FROM {nodes} WHERE id = :item AND parent IS NOT NULL
+  UNION ALL SELECT start, n.parent FROM above JOIN {nodes} AS n ON n.id = above.at WHERE n.parent IS NOT NULL AND above.at <> :item
+) SELECT DISTINCT start FROM above WHERE at = :item
+"""
+
+
+def toggled(df: DataFrame, item: str, checked: bool, key: str = "id", parent: str = "parent_id") -> DataFrame:
+    """The item is checked or not, wherever it is; what lies below a match stays as it is, even by the same id."""
+    nodes = df.select(F.col(key).alias("id"), F.col(parent).alias("parent"))
+    inside = df.sparkSession.sql(_INSIDE, args={"item": item}, nodes=nodes).select(F.col("start").alias(parent), F.lit(True).alias("_inside"))
+    marked = df.join(inside, parent, "left").select(*df.columns, "_inside")
+    return marked.withColumn("checked", F.when((F.col(key) == item) & F.col("_inside").isNull(), F.lit(checked)).otherwise(F.col("checked"))).drop("_inside")
 
 
 def symmetric_toggle(ids: Column, item: str) -> Column:

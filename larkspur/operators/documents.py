@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larkspur.functions.scalars import locale_number, round_half_up, trim_all
+from larkspur.functions.scalars import given, locale_number, round_half_up, trim_all
 
 # The palette (without its transparency), badge, event, alert and priority icons and colours.
 PALETTE = ["25,195,125", "0,136,254", "0,196,159", "255,187,40", "255,128,66", "136,132,216"]
@@ -31,9 +31,9 @@ def slice_color(index: Column) -> Column:
 def chart_series(df: DataFrame, x: str, series: list[str] | None = None, exclude: tuple[str, ...] = ("time", "name")) -> DataFrame:
     """The label and one number a series; missing labels fall back to ``name``, missing numbers to 0."""
     series = series or [c for c in df.columns if c not in (x, *exclude)]
-    label = F.nullif(F.col(x).cast("string"), F.lit(""))
+    label = given(df, x)
     if "name" in df.columns:
-        label = F.coalesce(label, F.nullif(F.col("name").cast("string"), F.lit("")))
+        label = F.coalesce(label, given(df, "name"))
     return df.select(F.coalesce(label, F.lit("")).alias("label"), *[F.coalesce(F.nanvl(F.col(s).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(s) for s in series])
 
 

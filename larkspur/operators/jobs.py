@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.operators.classify import job_display
+from larkspur.operators.numbering import numbered
 
 STATUSES = ("queued", "started", "progress", "completed", "failed")
 
@@ -54,8 +55,8 @@ def client_steps(spark: SparkSession) -> DataFrame:
 
 
 def with_ids(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Random ids, or with ``order`` an id that grows with it (with gaps, so that no task numbers all rows)."""
-    return df.withColumn("id", F.uuid()) if order is None else df.orderBy(order).withColumn("id", F.monotonically_increasing_id())
+    """Random ids, or with ``order`` ids from 1 on without gaps, given by ranges and their offsets."""
+    return df.withColumn("id", F.uuid()) if order is None else numbered(df, F.col(order), name="id")
 
 
 def progress_steps(spark: SparkSession, steps: int = 10) -> DataFrame:
