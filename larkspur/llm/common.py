@@ -50,6 +50,14 @@ def if_small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows at most in this session, if it has none set smaller: rows that hold texts or sets are
+    large, and a batch stands several times in the memory of an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Carried:
     """The columns of a table under numbered names while an operator adds its own, so that no two names clash.
 

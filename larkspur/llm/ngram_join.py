@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.llm import textops as tx
-from larkspur.llm.common import Carried, bit, bits_of, if_small, release, remove, written
+from larkspur.llm.common import Carried, bit, bits_of, if_small, release, remove, small_batches, written
 from larkspur.llm.components import components
 from larkspur.llm.sketch import merged_levels
 
@@ -217,6 +217,7 @@ def labelled(shared: DataFrame, known: DataFrame | None) -> DataFrame:
 def join(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), max_width: int = 28) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     sim = Similarity(*share)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("n")).first()

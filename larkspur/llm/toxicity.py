@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from larkspur.llm import textops as tx
-from larkspur.llm.common import Carried
+from larkspur.llm.common import Carried, small_batches
 
 BITS = 20
 HEADS = (6, 8)
@@ -114,6 +114,7 @@ def fit(
     seed: int = 7,
 ) -> FactorizationMachine:
     """Learn ``label`` from the labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id", F.lit(seed))
     rows = (
         labels.where(F.col(label).isNotNull() & ~held_out())
@@ -176,6 +177,7 @@ def fit(
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 at least)."""
+    small_batches(docs.sparkSession)
     held = Carried(docs, ("score", "predicted"))
     at, shared = held.columns.index(held["text"]), docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*held.df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
