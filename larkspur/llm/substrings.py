@@ -40,8 +40,6 @@ WINDOW, GRAM = 50, 16
 DEPTH = 2
 #: Blocks or windows that are in several documents, up to which they are broadcast, of 24 bytes each.
 FEW = 200_000
-#: Bits of a place that hold the window's first word; those above tell texts with the same doc_id apart.
-START_BITS = 40
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -100,7 +98,7 @@ def _changes(row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 
 
 def _emitted(docs: DataFrame, bits: np.ndarray, window: int, gram: int, width: int, whole: bool) -> DataFrame:
-    """(h1, h2, doc_id, place, anchor, size): blocks of anchors that the sketch ``bits`` estimates repeated, or single
+    """(h1, h2, doc_id, tag, start, anchor, size): blocks of anchors that the sketch ``bits`` estimates repeated, or single
     windows of anchors whose one bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -119,25 +117,25 @@ def _emitted(docs: DataFrame, bits: np.ndarray, window: int, gram: int, width: i
                     at = np.flatnonzero(bit(shared.value, _cells(anchor, 1 << width)))
                     size = np.ones(len(at), np.int64)
                 first = w.first[row[at]] + start[at]
-                columns = [*tx.spans(w.hash, first, window - 1 + size), ids[a + row[at]], tags[a + row[at]].astype(np.int64) << START_BITS | start[at], anchor[at].view(np.int64), size.astype(np.int32)]
+                columns = [*tx.spans(w.hash, first, window - 1 + size), ids[a + row[at]], tags[a + row[at]], start[at].astype(np.int32), anchor[at].view(np.int64), size.astype(np.int32)]
                 for i in range(0, len(at), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["h1", "h2", "doc_id", "place", "anchor", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["h1", "h2", "doc_id", "tag", "start", "anchor", "size"])
 
-    return docs.mapInArrow(emit, "h1 long, h2 long, doc_id long, place long, anchor long, size int")
+    return docs.mapInArrow(emit, "h1 long, h2 long, doc_id long, tag long, start int, anchor long, size int")
 
 
 def marks(docs: DataFrame, window: int, gram: int, max_cells: int) -> DataFrame:
-    """(doc_id, _tag, _starts, _sizes): runs of windows that start in a document with a smaller doc_id too."""
+    """(doc_id, tag, _starts, _sizes): runs of windows that start in a document with a smaller doc_id too."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     # about one anchor in 100 bytes, and 25 cells an anchor where the bound allows it
     width = min(max_cells.bit_length() - 1, max(16, (int(size) // 4).bit_length()))
-    tagged = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _tag("text").alias("_tag"), "text")
+    tagged = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _tag("text").alias("tag"), "text")
     blocks = written(_emitted(tagged, repeated_anchors(docs, width, window, gram), window, gram, width, True), "substring-blocks")
     kinds = written(blocks.groupBy("h1", "h2", "anchor").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")), "substring-kinds")
     release(spark)
     repeated = kinds.where("_first < _last").select("h1", "h2", "_first")
-    runs = blocks.join(if_small(repeated, FEW), ["h1", "h2"]).where("doc_id > _first").select("doc_id", "place", "size")
+    runs = blocks.join(if_small(repeated, FEW), ["h1", "h2"]).where("doc_id > _first").select("doc_id", "tag", "start", "size")
     runs = written(runs, "substring-runs")
 
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("_first").alias("lo"), F.max("_last").alias("hi")).where("n > 1 AND lo < hi")
@@ -147,18 +145,18 @@ def marks(docs: DataFrame, window: int, gram: int, max_cells: int) -> DataFrame:
     windows = written(_emitted(tagged, open_, window, gram, width, False).drop("anchor", "size"), "substring-windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
     first = written(first, "substring-firsts")
-    single = windows.join(if_small(first, FEW), ["h1", "h2"]).where("doc_id > _first").select("doc_id", "place", F.lit(1).alias("size"))
-    found = runs.unionByName(single).groupBy("doc_id", F.shiftright("place", START_BITS).cast("int").alias("_tag"))
-    start = F.col("place").bitwiseAND((1 << START_BITS) - 1).cast("int")
-    out = written(found.agg(F.collect_list(F.struct(start.alias("start"), "size")).alias("_runs")), "substring-marks")
+    single = windows.join(if_small(first, FEW), ["h1", "h2"]).where("doc_id > _first").select("doc_id", "tag", "start", F.lit(1).alias("size"))
+    found = runs.unionByName(single).groupBy("doc_id", "tag")
+    out = written(found.agg(F.collect_list(F.struct("start", "size")).alias("_runs")), "substring-marks")
     for done in (blocks, kinds, windows, first, runs):
         remove(done, spark)
     release(spark)
-    return out.select("doc_id", "_tag", F.col("_runs.start").alias("_starts"), F.col("_runs.size").alias("_sizes"))
+    return out.select("doc_id", "tag", F.col("_runs.start").alias("_starts"), F.col("_runs.size").alias("_sizes"))
 
 
 def _tag(text: str):
-    return F.hash(text).bitwiseAND((1 << 23) - 1)
+    """Tells texts with the same doc_id apart."""
+    return F.xxhash64(text)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_cells: int = 1 << 28) -> DataFrame:
