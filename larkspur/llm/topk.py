@@ -1,6 +1,8 @@
 """Exact top-k inner-product search with a vector-approximation file.
 
-1. Bounds. The least and largest component of each dimension, over all vectors, cut it into ``CELLS`` cells of equal
+1. Bounds. Each dimension is cut into ``CELLS`` cells at quantiles of a sample, denser towards its ends (``SAMPLE`` components at most,
+   of the first vectors by hash); the outer cells reach to the least and the largest component over all vectors, so every
+   vector has a cell, and a few far ones widen the outer cells only. Of a length that the sample lacks, cells are of equal
    width.
 2. Approximation file. One byte a dimension, written once as a table (vec_id, h1, h2, dims, cells); h1 and h2 are 128
    bits of the exact vector. Rows repeated with id and vector are one; of equal vectors only the k + 1 smallest ids are
@@ -42,6 +44,8 @@ CELLS = 256
 ROWS, QUERIES = 4096, 512
 #: Candidates of a block up to which they are broadcast to the exact vectors, of 40 bytes each.
 FEW = 200_000
+#: Components that the cells are cut by (of 16384 vectors at most), and candidates that a task holds before it sends them.
+SAMPLE, HELD = 1 << 22, 1_000_000
 RESULT = "query_id long, rank int, vec_id long, score long"
 FOUND = "query_id long, q1 long, q2 long, vec_id long, h1 long, h2 long, lower double, upper double"
 
@@ -78,27 +82,39 @@ def _dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 class Cells:
-    """The cells of a dimension each: cell c holds the integers from low + c * width to low + (c + 1) * width - 1."""
-
-    def __init__(self, low: np.ndarray, high: np.ndarray):
-        self.low = low.astype(np.int64)
-        # differences of 64-bit integers fit unsigned ones, and wrap rightly
-        self.width = (high.astype(np.int64).view(np.uint64) - self.low.view(np.uint64)) // np.uint64(CELLS) + np.uint64(1)
+    """The cells of a dimension each: cell c holds the integers from its cut to below the next cell's."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, sample: np.ndarray | None = None):
+        if sample is None:
+            steps = np.arange(1, CELLS) / CELLS
+            inner = low.astype(np.float64)[:, None] * (1 - steps) + high.astype(np.float64)[:, None] * steps
+            # doubles near the ends of 64 bits round to beyond them
+            cuts = np.clip(inner, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+        else:
+            # quantiles, and towards both ends ever fewer vectors a cell, so that few share one with far ones
+            ordered, n = np.sort(sample, axis=0), len(sample)
+            tail = np.minimum(np.r_[0, 2 ** np.arange(max(1, (n // CELLS).bit_length()))], n - 1)
+            inner = CELLS - 2 - 2 * len(tail)
+            places = np.r_[tail, np.arange(1, inner + 1) * n // (inner + 1), n - 1 - tail[::-1]]
+            cuts = np.concatenate([ordered[places], np.minimum(ordered[-1:], 2**63 - 2) + 1]).T
+            cuts = np.sort(cuts, axis=1)
+        self.cuts = np.clip(cuts, low[:, None], high[:, None])
+        # as doubles, what they are off by being part of the bounds' slack; an empty cell's upper end is below its lower one
+        lower, upper = (np.concatenate(x, axis=1, dtype=np.float64) for x in ((low[:, None], self.cuts), (self.cuts, high[:, None])))
+        upper[:, :-1] -= 1
+        self.middle, self.half = (lower + upper) / 2, np.maximum((upper - lower) / 2, 0)
 
     def of(self, v: np.ndarray) -> np.ndarray:
-        return ((v.view(np.uint64) - self.low.view(np.uint64)) // self.width).astype(np.uint8)
-
-    def middles(self, cells: np.ndarray) -> np.ndarray:
-        width = self.width.astype(np.float64)
-        return self.low.astype(np.float64) + cells * width + (width - 1) / 2
+        return np.stack([np.searchsorted(cuts, own, "right") for cuts, own in zip(self.cuts, v.T)], axis=1).astype(np.uint8)
 
-    @property
-    def half(self) -> np.ndarray:
-        return (self.width.astype(np.float64) - 1) / 2
+    def around(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The middle of each component's cell, and half its width."""
+        d = np.arange(cells.shape[1])
+        return self.middle[d, cells], self.half[d, cells]
 
 
 def cell_bounds(vectors: DataFrame) -> dict[int, Cells]:
-    """Cells by the number of components: a row a task and length is merged, a row a length comes back."""
+    """Cells by the number of components: a row a task and length is merged, a row a length comes back, and the sample."""
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[np.ndarray]] = {}
@@ -118,10 +134,13 @@ def cell_bounds(vectors: DataFrame) -> dict[int, Cells]:
 
     per = vectors.mapInArrow(ends, "dims int, low array<long>, high array<long>").mapInArrow(flat, "dims int, d int, low long, high long")
     rows = per.groupBy("dims", "d").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow().sort_by([("dims", "ascending"), ("d", "ascending")])
+    most = max(16, min(16_384, SAMPLE // max(pc.max(rows["dims"]).as_py() or 1, 1)))
+    drawn = vectors.orderBy(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).limit(most).toArrow()
     out = {}
     for dims in pc.unique(rows["dims"]).to_pylist():
-        own = rows.filter(pc.equal(rows["dims"], dims))
-        out[dims] = Cells(own["low"].to_numpy(), own["high"].to_numpy())
+        own, some = rows.filter(pc.equal(rows["dims"], dims)), drawn.filter(pc.equal(drawn["dims"], dims))
+        sample = _matrix(some["v"].combine_chunks(), dims) if some.num_rows else None
+        out[dims] = Cells(own["low"].to_numpy(), own["high"].to_numpy(), sample)
     return out
 
 
@@ -157,31 +176,33 @@ class Scan:
     def __init__(self, ids: np.ndarray, q: np.ndarray, cells: Cells, k: int):
         self.ids, self.q, self.cells, self.k = ids, q.astype(np.float64), cells, k
         self.size = np.abs(self.q)
-        self.slack = self.size @ cells.half
         self.best = np.full((len(ids), k), -np.inf)  # the k largest lower bounds so far
         self.parts: list[tuple[np.ndarray, ...]] = []
 
     def add(self, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray, cells: np.ndarray) -> None:
-        middle = self.cells.middles(cells)
+        middle, half = self.cells.around(cells)
         largest = np.abs(middle).max(0)
         for i in range(0, len(self.ids), QUERIES):
             some = slice(i, i + QUERIES)
             score = self.q[some] @ middle.T
             # the bound of the cells, and what sums of doubles may be off by
-            slack = self.slack[some] + 1e-10 * (1 + self.size[some] @ largest)
+            slack = self.size[some] @ half.T + 1e-10 * (1 + self.size[some] @ largest)[:, None]
             score[self.ids[some, None] == ids[None, :]] = -np.inf
-            lower = score - slack[:, None]
+            lower = score - slack
             top = lower if lower.shape[1] <= self.k else np.partition(lower, -self.k, axis=1)[:, -self.k :]
             self.best[some] = np.partition(np.concatenate([self.best[some], top], axis=1), -self.k, axis=1)[:, -self.k :]
-            row, col = np.nonzero((score + slack[:, None] >= self.best[some].min(1)[:, None]) & (score > -np.inf))
-            self.parts.append((row + i, ids[col], h1[col], h2[col], lower[row, col], score[row, col] + slack[row]))
-        if sum(len(p[0]) for p in self.parts) > 1_000_000:
-            self.parts = [self.found()]
+            row, col = np.nonzero((score + slack >= self.best[some].min(1)[:, None]) & (score > -np.inf))
+            self.parts.append((row + i, ids[col], h1[col], h2[col], lower[row, col], score[row, col] + slack[row, col]))
 
-    def found(self) -> tuple[np.ndarray, ...]:
+    def taken(self, most: int) -> tuple[np.ndarray, ...] | None:
+        """What is held, by the bounds so far, if it is more than ``most``; it is then no longer held."""
+        if sum(len(p[0]) for p in self.parts) <= most:
+            return None
         out = [np.concatenate(x) for x in zip(*self.parts)]
         good = out[5] >= self.best.min(1)[out[0]]
-        return tuple(x[good] for x in out)
+        out = tuple(x[good] for x in out)
+        self.parts = [out] if len(out[0]) <= most // 2 and most else []
+        return None if self.parts else out
 
 
 def candidates(cells: DataFrame, bounds: dict[int, Cells], block: pa.Table, k: int) -> DataFrame:
@@ -192,6 +213,10 @@ def candidates(cells: DataFrame, bounds: dict[int, Cells], block: pa.Table, k: i
         held[dims] = (*(own[c].to_numpy() for c in ("vec_id", "h1", "h2")), _matrix(own["v"].combine_chunks(), dims))
     shared = cells.sparkSession.sparkContext.broadcast((held, bounds))
 
+    def rows(queries: tuple, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        row, *rest = found
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*(c[row] for c in queries[:3]), *rest)], [x.split()[0] for x in FOUND.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, of = shared.value
         scans = {dims: Scan(ids, q, of[dims], k) for dims, (ids, _, _, q) in queries.items()}
@@ -201,10 +226,12 @@ def candidates(cells: DataFrame, bounds: dict[int, Cells], block: pa.Table, k: i
                     some = own.slice(i, ROWS)
                     raw = np.frombuffer(b"".join(some.column("cells").to_pylist()), np.uint8).reshape(-1, dims)
                     scans[dims].add(*(some.column(c).to_numpy() for c in ("vec_id", "h1", "h2")), raw)
+                    # what is sent early is held against the bounds of all tasks below
+                    if (found := scans[dims].taken(HELD)) is not None:
+                        yield rows(queries[dims], found)
         for dims, scan in scans.items():
-            if scan.parts:
-                row, *rest = scan.found()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(c[row] for c in queries[dims][:3]), *rest)], [x.split()[0] for x in FOUND.split(", ")])
+            if (found := scan.taken(0)) is not None:
+                yield rows(queries[dims], found)
 
     found = cells.mapInArrow(run, FOUND)
     # the k-th largest lower bound of a query is reached by k vectors, so what stays below it cannot count

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import common, decontaminate, licenses, line_templates, mixing, ngram_join, sharding, substrings, textops, topk, toxicity
 
+from test_corpus import brute_substrings
+
 DOCS = "doc_id long, text string"
 
 
@@ -153,6 +155,28 @@ def test_cells_spare_exact_vectors_and_lose_none(spark, monkeypatch):
     assert sum(wanted) < 0.1 * len(v)
 
 
+@pytest.mark.parametrize("far", [1, 5])
+def test_far_vectors_do_not_open_the_cells(spark, monkeypatch, far):
+    rng = np.random.default_rng(8)
+    v = np.floor(256 * rng.normal(size=(4000, 16))).astype(np.int64)
+    v[-far:] = 10**9
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<long>").repartition(3)
+    found, candidates = [], topk.candidates
+
+    def counted(*args):
+        out = candidates(*args)
+        found.append(out.where("query_id < 3990").count())
+        return out
+
+    monkeypatch.setattr(topk, "candidates", counted)
+    monkeypatch.setattr(topk, "HELD", 1000)
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()
+    for q in range(0, 4000, 500):
+        best = sorted((-int(v[q] @ v[i]), i) for i in range(4000) if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in best]
+    assert sum(found) < 0.02 * 80 * len(v)
+
+
 # all
 
 
@@ -223,6 +247,29 @@ def test_sketches_never_count_too_little(spark):
     assert len(repeated) and substrings._repeated(bits, repeated, 20).all() and not substrings._repeated(bits, single, 20).any()
 
 
+@pytest.mark.parametrize("longer", [False, True])
+def test_texts_of_one_id_are_told_apart_by_all_of_their_hash(spark, longer):
+    """Two texts of one doc_id whose hashes share 23 bits: only the words of the one that is covered go."""
+    rng = random.Random(1)
+    size = {0: 60, 1: 95 if longer else 60}
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(size[i % 2])) for i in range(12_000)]
+    low = spark.createDataFrame(list(enumerate(texts)), DOCS).select("doc_id", F.hash("text").bitwiseAND((1 << 23) - 1).alias("low"), F.xxhash64("text").bitwiseAND((1 << 23) - 1).alias("low64"))
+    held: dict = {}
+    met = []
+    for r in low.collect():
+        for kind in ("low", "low64"):
+            other = held.setdefault((kind, r[kind]), r.doc_id)
+            if other != r.doc_id and other % 2 != r.doc_id % 2:
+                met.append((other, r.doc_id))
+    assert met
+    docs = []
+    for n, (a, b) in enumerate(met):
+        short, other = (a, b) if a % 2 == 0 else (b, a)
+        docs += [(10 * n, texts[short]), (10 * n + 7, texts[short]), (10 * n + 7, texts[other]), (10 * n + 7, texts[other])]
+    got = substrings.dedup(spark.createDataFrame(docs, DOCS)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_substrings(docs, 50)
+
+
 # 10
 
 
