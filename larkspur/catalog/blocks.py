@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.catalog.registry import query, table, values
 from larkspur.functions import scalars
-from larkspur.operators import blocks, conversations as conv, documents as docs, jobs, views
+from larkspur.operators import blocks, documents as docs, jobs, views
 
 _EVERY = """[{"type": "table", "data": {"columns": ["a"], "sortable": false}}, {"type": "json-explorer", "data": {"maxDepth": 0}}, {"type": "timeline"},
  {"type": "diagram", "data": {"type": "aws", "showControls": true}}, {"type": "file-upload-download", "data": {"mode": "upload", "multiple": false}},
@@ -26,16 +26,6 @@ def block_fields(spark, d):
     return blocks.block_fields(spark.createDataFrame([(1, _EVERY)], "id int, blocks string"), "id", "blocks")
 
 
-_WAITING = '[{"type": "collapsible", "data": {"title": "Jobs", "children": [{"type": "async-placeholder", "data": {"jobId": "a"}}, {"type": "async-placeholder", "data": {"jobId": "b"}}]}}]'
-_JOBS = [("a", "completed", '{"blocks": [{"type": "code", "data": {"language": "sql"}}, {"type": "collapsible", "data": {"children": [{"type": "alert"}]}}]}'), ("b", "failed", '{"blocks": [{"type": "alert"}]}')]
-
-
-@query("block_job_results", f"""SELECT 1 AS id, * FROM (VALUES {values([("0", 0, "collapsible"), ("0.0", 1, "async-placeholder"), ("0.1", 1, "async-placeholder"), ("0.0.0", 2, "code"), ("0.0.1", 2, "collapsible"), ("0.0.1.0", 3, "alert")])}) AS t(pos, depth, type)""")
-def block_job_results(spark, d):
-    known = spark.createDataFrame(_JOBS, "job_id string, status string, result string")
-    return blocks.nested_blocks(spark.createDataFrame([(1, _WAITING)], "id int, blocks string"), "id", "blocks", known).drop("value")
-
-
 @query("sample_series", f"SELECT kind, name, value FROM (VALUES {values([('pie', 'Success', 1250), ('pie', 'Warning', 150), ('pie', 'Error', 75), ('pie', 'Info', 200), ('bar', 'Mon', 1200), ('bar', 'Tue', 1350), ('bar', 'Wed', 1100), ('bar', 'Thu', 1450), ('bar', 'Fri', 1300), ('bar', 'Sat', 980), ('bar', 'Sun', 1050)])}) AS t(kind, name, value)")
 def sample_series(spark, d):
     pie, bar = (blocks.sample_series(spark, k).select(F.lit(k).alias("kind"), "name", "value") for k in ("pie", "bar"))
@@ -51,26 +41,12 @@ def hour_series(spark, d):
     )
 
 
-@query("chart_pie_labels", "SELECT * FROM (VALUES ('a', 1.5::DOUBLE), ('Tue', 0.0), ('3.0', 3.0)) AS t(label, value)")
-def chart_pie_labels(spark, d):
-    points = [("a", "Mon", 1.5), ("", "Tue", float("nan")), (None, "", 3.0)]
-    return blocks.pie_slices(spark.createDataFrame(points, "time string, name string, value double"), "time")
-
-
 @query("chart_legacy_values", "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS label, count(*) AS value FROM events GROUP BY 1")
 def chart_legacy_values(spark, d):
     days = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("value"))
     return days.select(F.col("date").alias("label"), "value")
 
 
-@query("timeline_order", "SELECT 1 AS id, * FROM (VALUES (0, 'error', 'late', '✗', '#ef4444'), (1, 'info', 'early', '●', '#0088FE'), (2, 'success', 'middle', '✓', '#19c37d')) AS t(pos, type, title, icon, color)")
-def timeline_order(spark, d):
-    text = '[{"type": "error", "title": "late", "timestamp": "2024-03-01"}, {"type": "info", "title": "early", "timestamp": "2024-01-01"}, {"type": "success", "title": "middle", "timestamp": "2024-02-01"}]'
-    kind = F.col("type")
-    shown = blocks.timeline(spark.createDataFrame([(1, text)], "id int, events string"), "id", "events")
-    return shown.withColumn("icon", docs.lookup(kind, docs.EVENT_ICONS, "●")).withColumn("color", docs.lookup(kind, docs.EVENT_COLORS, "#0088FE"))
-
-
 @query("priority_colors", """
 SELECT o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN '#dc2626' WHEN '2-HIGH' THEN '#ea580c' WHEN '3-MEDIUM' THEN '#f59e0b' WHEN '5-LOW' THEN '#10b981' ELSE 'transparent' END AS color, count(*) AS n
 FROM orders GROUP BY o_orderpriority
@@ -81,12 +57,6 @@ def priority_colors(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority", docs.lookup(kind, docs.PRIORITY_COLORS, "transparent").alias("color")).agg(F.count("*").alias("n"))
 
 
-@query("alert_icons", "SELECT * FROM (VALUES ('info', 'ℹ️'), ('success', '✓'), ('warning', '⚠️'), ('error', '✗'), ('other', '')) AS t(type, icon)")
-def alert_icons(spark, d):
-    kinds = spark.createDataFrame([(k,) for k in ("info", "success", "warning", "error", "other")], "type string")
-    return kinds.select("type", docs.lookup(F.col("type"), docs.ALERT_ICONS, "").alias("icon"))
-
-
 @query("uploads_appended", "SELECT r_name AS name, r_regionkey::BIGINT AS size, TIMESTAMP '2024-01-01' AS uploaded_at FROM region UNION ALL VALUES ('b.log', 5::BIGINT, TIMESTAMP '2024-02-01')")
 def uploads_appended(spark, d):
     have = table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("size"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("uploaded_at"))
@@ -94,18 +64,6 @@ def uploads_appended(spark, d):
     return views.appended_uploads(have, more, F.col("size") <= 10_485_760, F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
 
 
-_RECORDS = [("status", "old", False, "web", "a"), ("path", None, True, None, None)]
-
-
-@query("field_patch", "SELECT * FROM (VALUES ('status', 'HTTP status code returned by the server (e.g., 200 for success, 404 for not found)', true, 'web', 'a,b'), ('path', NULL, true, NULL, NULL)) AS t(name, description, required, category, tags)")
-def field_patch(spark, d):
-    schema = "name string, description string, required boolean, category string, tags string"
-    from larkspur.operators.profiling import describe
-
-    patch = spark.createDataFrame([("status", None, True, None, "a,b"), ("gone", "x", True, "y", "z")], schema).withColumn("description", describe(F.col("name")))
-    return conv.patched(spark.createDataFrame(_RECORDS, schema), patch, "name", ["description", "required", "category", "tags"])
-
-
 _VARIABLES = [(0, "--bg-primary", "#fff"), (1, "--shadow-sm", "0 1px 2px rgba(0, 0, 0, 0.05)"), (2, "--a", "b")]
 
 
@@ -130,19 +88,6 @@ def pretty_props(spark, d):
     return table(spark, d, "events").select("event_id", scalars.pretty_json("props").alias("shown"))
 
 
-@query("job_created_view", "SELECT 'a' AS job_id, 'queued' AS status, 7 AS days, true AS no_result")
-def job_created_view(spark, d):
-    made = views.job_created_view(spark.createDataFrame([("a", "queued", '{"range": 7}', "", None)], "job_id string, status string, params string, result string, error string"))
-    assert "error" not in made.columns
-    return made.select("job_id", "status", F.try_variant_get("params", "$.range", "int").alias("days"), F.col("result").isNull().alias("no_result"))
-
-
 @query("locale_numbers", r"SELECT l_orderkey, l_linenumber, regexp_replace(format('{:,.3f}', round(l_extendedprice / 7, 3)), '\.?0+$', '') AS shown FROM lineitem")
 def locale_numbers(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.locale_number(F.col("l_extendedprice") / 7).alias("shown"))
-
-
-@query("section_fields", "SELECT 'a,b,c' AS fields")
-def section_fields(spark, d):
-    df = spark.sql("SELECT array(named_struct('fields', array('a', 'b')), named_struct('fields', array('c'))) AS sections")
-    return df.select(F.array_join(docs.section_fields(F.col("sections")), ",").alias("fields"))

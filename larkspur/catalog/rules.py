@@ -18,11 +18,13 @@ QUERY_TEXTS = [
     "index=web_logs | stats count by status | sort -count", "index=web_logs | timechart count", "select * from users", "index=a | stats sum(x)",
     "show gauge of load", "percent of errors", "pie by status", "stats max(x)", "bar of values", "SELECT id FROM t WHERE a = 1", "index=a | stats count | gauge",
 ]
-_PROMPTS = f"(SELECT prompt, lower(prompt) AS p FROM (VALUES {values([(p,) for p in PROMPTS])}) AS t(prompt))"
+_PROMPTS = f"(SELECT prompt, lower(prompt) AS p FROM (SELECT prompt FROM (VALUES {values([(p,) for p in PROMPTS])}) AS t(prompt) UNION SELECT text FROM conversations))"
 
 
-def _frame(spark, texts, name):
-    return spark.createDataFrame([(t,) for t in texts], f"{name} string")
+def _frame(spark, d, texts, name):
+    """All texts of the conversations, and texts that hit every rule."""
+    said = table(spark, d, "conversations").select(F.col("text").alias(name))
+    return said.unionByName(spark.createDataFrame([(t,) for t in texts], f"{name} string")).distinct()
 
 
 def _words(column: str, table: list, default: str) -> str:
@@ -37,7 +39,7 @@ def _patterns(column: str, table: list, default: str) -> str:
 
 @query("intent_first_match", f"SELECT prompt, {_words('p', rules.SERVER_REPLY, 'echo')} AS intent FROM {_PROMPTS}")
 def intent_first_match(spark, d):
-    return _frame(spark, PROMPTS, "prompt").select("prompt", rules.server_reply(F.col("prompt")).alias("intent"))
+    return _frame(spark, d, PROMPTS, "prompt").select("prompt", rules.server_reply(F.col("prompt")).alias("intent"))
 
 
 @query("intent_conversations", f"SELECT intent, count(*) AS n FROM (SELECT {_words('lower(text)', rules.SERVER_REPLY, 'echo')} AS intent FROM conversations) GROUP BY intent")
@@ -50,7 +52,7 @@ _LABELS = ", ".join(f"CASE WHEN regexp_matches(p, {literal(p)}) THEN '{n}' END"
 
 @query("intent_multi_label", f"SELECT prompt, array_to_string([x FOR x IN [{_LABELS}] IF x IS NOT NULL], ',') AS labels FROM {_PROMPTS}")
 def intent_multi_label(spark, d):
-    return _frame(spark, PROMPTS, "prompt").select("prompt", F.array_join(rules.block_labels(F.col("prompt")), ",").alias("labels"))
+    return _frame(spark, d, PROMPTS, "prompt").select("prompt", F.array_join(rules.block_labels(F.col("prompt")), ",").alias("labels"))
 
 
 # The rules written out by hand, so that a wrong rule in the tables shows.
@@ -79,7 +81,7 @@ FROM {_PROMPTS}
 """)
 def intent_by_hand(spark, d):
     p = F.col("prompt")
-    return _frame(spark, PROMPTS, "prompt").select(
+    return _frame(spark, d, PROMPTS, "prompt").select(
         "prompt", F.array_join(rules.emitted_blocks(F.concat(F.lit("  "), p, F.lit(" "))), ",").alias("blocks"),
         rules.chart_kind(p).alias("chart"), rules.alert_kind(p).alias("alert"), rules.form_kind(p).alias("form"), rules.diagram_kind(p).alias("diagram"),
     )
@@ -87,7 +89,7 @@ def intent_by_hand(spark, d):
 
 @query("intent_reply_class", f"SELECT prompt, {_patterns('p', rules.CLIENT_REPLY, 'default')} AS reply FROM {_PROMPTS}")
 def intent_reply_class(spark, d):
-    return _frame(spark, PROMPTS, "prompt").select("prompt", rules.client_reply(F.col("prompt")).alias("reply"))
+    return _frame(spark, d, PROMPTS, "prompt").select("prompt", rules.client_reply(F.col("prompt")).alias("reply"))
 
 
 @query("subtype_classify", f"""
@@ -96,7 +98,7 @@ SELECT prompt, {_words('p', rules.CHART_KINDS, 'line')} AS chart, {_words('p', r
 """)
 def subtype_classify(spark, d):
     p = F.col("prompt")
-    return _frame(spark, PROMPTS, "prompt").select(
+    return _frame(spark, d, PROMPTS, "prompt").select(
         "prompt", rules.chart_kind(p).alias("chart"), rules.alert_kind(p).alias("alert"), rules.form_kind(p).alias("form"), rules.diagram_kind(p).alias("diagram")
     )
 
@@ -107,7 +109,7 @@ SELECT q, CASE WHEN contains(p, 'timechart') THEN 'timechart'
   WHEN contains(p, 'gauge') OR contains(p, 'percent') THEN 'gauge'
   WHEN contains(p, 'by') AND (contains(p, 'pie') OR regexp_matches(p, 'stats.*count.*by')) THEN 'pie'
   WHEN contains(p, 'bar') OR contains(p, 'stats') THEN 'bar' ELSE 'table' END AS visualization
-FROM (SELECT q, lower(q) AS p FROM (VALUES {values([(q,) for q in QUERY_TEXTS])}) AS t(q))
+FROM (SELECT q, lower(q) AS p FROM (SELECT q FROM (VALUES {values([(q,) for q in QUERY_TEXTS])}) AS t(q) UNION SELECT text FROM conversations))
 """)
 def viz_classify(spark, d):
-    return _frame(spark, QUERY_TEXTS, "q").select("q", rules.visualization(F.col("q")).alias("visualization"))
+    return _frame(spark, d, QUERY_TEXTS, "q").select("q", rules.visualization(F.col("q")).alias("visualization"))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from larkspur.streaming import flows, keyed
+from larkspur.streaming import keyed
 from larkspur.streaming.relay import RelayedTable, caught_up, relay
 
 SCHEMA = "job_id long, action string, at long, status string, progress int, ts timestamp"
