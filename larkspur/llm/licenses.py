@@ -7,7 +7,8 @@ Phrases: every place where the words of a phrase stand consecutively counts and
 Set-similarity join: a text block matches a template if it holds at least ``threshold`` of the template's distinct
 words. Blocks are runs of ceil(n / threshold) consecutive words, n being the template's number of words, so neither line
 ends nor the length of a line matter, and words strewn over a long line are no statement. A block must also hold those
-of the template's words that tell its label apart (``TELLING``). ``matches`` holds whole lines against the templates.
+of the template's words that tell its label apart (``TELLING``), and none that make it a relative's (``FOREIGN``).
+``matches`` holds whole lines against the templates.
 Template words are ordered by the number of lines of the whole corpus that hold them, rarest first. With t distinct
 words and o = ceil(threshold * t) needed:
 
@@ -54,15 +55,35 @@ TEMPLATES = {
     "Licensed under the Apache License, Version 2.0.": "apache",
     "Released under the MIT License.": "mit",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
     "Licensed under CC BY-NC 4.0.": "cc-by-nc",
     "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "cc-by-nd",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "cc-by-nc-nd",
     "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
     "This Source Code Form is subject to the terms of the Mozilla Public License": "mpl",
     "All rights reserved.": "all-rights-reserved",
 }
 
 #: Words without which a template's other words do not give its label.
-TELLING = {"apache", "gnu", "mit", "mozilla", "nc"}
+TELLING = {"apache", "gnu", "mit", "mozilla", "nc", "affero", "lesser", "sharealike", "noderivatives", "noncommercial"}
+
+#: Words that make a statement one of a label's relatives, and so must not stand in it.
+FOREIGN = {
+    "gpl": {"affero", "lesser", "library"},
+    "agpl": {"lesser"},
+    "lgpl": {"affero"},
+    "cc-by": {"noncommercial", "sharealike", "noderivatives", "nc", "sa", "nd"},
+    "cc-by-nc": {"sharealike", "noderivatives", "sa", "nd"},
+    "cc-by-sa": {"noncommercial", "noderivatives", "nc", "nd"},
+    "cc-by-nd": {"noncommercial", "sharealike", "nc", "sa"},
+    "cc-by-nc-sa": {"noderivatives", "nd"},
+    "cc-by-nc-nd": {"sharealike", "sa"},
+}
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_WORDS = 20_000
@@ -168,10 +189,10 @@ class Templates:
         prefix, bodies = [], []
         for i, (s, label) in self.sets.items():
             ordered = sorted(s, key=rank.__getitem__)
-            bodies.append((i, label, ordered, len(ordered), self.need[i], self.spans[i], sorted(s & TELLING)))
+            bodies.append((i, label, ordered, len(ordered), self.need[i], self.spans[i], sorted(s & TELLING), sorted(FOREIGN.get(label, set()) - s)))
             prefix += [(w, i, p) for p, w in enumerate(ordered[: len(ordered) - self.need[i] + 1])]
         self.prefix = spark.createDataFrame(prefix, "w string, template int, p int")
-        self.bodies = spark.createDataFrame(bodies, "template int, label string, body array<string>, t int, need int, span int, telling array<string>")
+        self.bodies = spark.createDataFrame(bodies, "template int, label string, body array<string>, t int, need int, span int, telling array<string>, strange array<string>")
         self.anchors = sorted({w for w, _, _ in prefix})
 
     def pairs(self, blocks: DataFrame) -> DataFrame:
@@ -228,8 +249,10 @@ def statements(docs: DataFrame, per: DataFrame, sets: Templates, key: list[str])
     docs = docs.join(if_small(written(wide, "license-texts"), FEW), key, "left_semi")
     cut = cuttings(docs, sets.anchors, max(sets.spans.values()) - 1, sets.vocabulary, sets.least, key)
     pairs = sets.pairs(written(cut, "license-cuttings")).where(told)
-    # the most that a run of the template's length holds, of those with the telling words
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("span") + 1, F.lit(1))), lambda i: F.array_intersect("body", F.slice("run", i, F.col("span"))))
+    # the most that a run of the template's length holds, of those with the telling words and no strange one
+    places = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("span") + 1, F.lit(1)))
+    plain = F.filter(places, lambda i: ~F.arrays_overlap("strange", F.slice("run", i, F.col("span"))))
+    windows = F.transform(plain, lambda i: F.array_intersect("body", F.slice("run", i, F.col("span"))))
     best = F.array_max(F.transform(F.filter(windows, lambda x: F.size(F.array_except("telling", x)) == 0), F.size))
     found = pairs.withColumn("most", best).where(F.col("most") >= F.col("need"))
     return found.groupBy(*key).agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max(F.col("most") / F.col("t")).alias("best"))

@@ -153,7 +153,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-_TEMPLATE_ROWS = ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}', '{label}')" for t, label in licenses.TEMPLATES.items())
+_TEMPLATE_ROWS = ", ".join(
+    f"('{t.replace(chr(39), chr(39) * 2)}', '{label}', {sorted(licenses.TELLING & set(licenses._words(t)))}, {sorted(licenses.FOREIGN.get(label, set()) - set(licenses._words(t)))}::VARCHAR[])"
+    for t, label in licenses.TEMPLATES.items()
+)
 _PHRASE_ROWS = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP5_SQL = f"""
@@ -167,11 +170,12 @@ WITH w AS (
 ), base AS (
   SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
 ), templates AS (
-  SELECT list_distinct({_SQL_WORDS.format("t")}) AS t, label FROM (VALUES {_TEMPLATE_ROWS}) AS x(t, label)
+  SELECT list_distinct({_SQL_WORDS.format("t")}) AS t, label, told, strange FROM (VALUES {_TEMPLATE_ROWS}) AS x(t, label, told, strange)
 ), lines AS (
   SELECT doc_id, list_distinct({_SQL_WORDS.format("line")}) AS b FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
 ), met AS (
-  SELECT doc_id, label, len(list_intersect(b, t)) AS n, len(t) AS of FROM lines, templates WHERE len(list_intersect(b, t)) >= ceil(0.8 * len(t) - 1e-9)
+  SELECT doc_id, label, len(list_intersect(b, t)) AS n, len(t) AS of FROM lines, templates
+  WHERE len(list_intersect(b, t)) >= ceil(0.8 * len(t) - 1e-9) AND list_has_all(b, told::VARCHAR[]) AND NOT list_has_any(b, strange)
 ), more AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(n / of) AS best FROM met GROUP BY doc_id
 )

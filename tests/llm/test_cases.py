@@ -95,6 +95,47 @@ def test_sharding_cuts_groups_at_the_ends_of_shards_only(spark, sf_dir):
     assert all(r.hi - r.lo == r.n - 1 for r in groups) and sum(r.n > 1 for r in groups) <= 23
 
 
+# 5
+
+
+def brute_statements(text, threshold=0.8):
+    """(labels, the largest containment) by trying every run of every template's length."""
+    w, found = licenses._words(text or ""), {}
+    for template, label in licenses.TEMPLATES.items():
+        own = licenses._words(template)
+        body, span = set(own), -(-len(own) * 10 // 8)
+        need = -(-len(body) * 8 // 10)
+        for i in range(max(1, len(w) - span + 1)):
+            run = set(w[i : i + span])
+            n = len(run & body)
+            if n >= need and body & licenses.TELLING <= run and not (licenses.FOREIGN.get(label, set()) - body) & run:
+                found[label] = max(found.get(label, 0), n / len(body))
+    return sorted(found), max(found.values(), default=0.0)
+
+
+def test_statements_equal_every_run_tried(spark):
+    rng = random.Random(5)
+    texts = [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    ]
+    for i in range(150):
+        template = licenses._words(rng.choice(list(licenses.TEMPLATES)))
+        for _ in range(rng.randrange(4)):
+            template[rng.randrange(len(template))] = rng.choice(["x", "lesser", "nc", "sharealike", "the", "mit"])
+        if rng.random() < 0.3:
+            rng.shuffle(template)
+        around = [[rng.choice(["a", "the", "license", "gnu", "under", "sa", "y"]) for _ in range(rng.randrange(30))] for _ in range(2)]
+        texts.append(rng.choice([" ", "\n", " - "]).join([*around[0], *template, *around[1]]))
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    got = {r.doc_id: r for r in licenses.scan(df, table={}).collect()}
+    assert [got[i].labels for i in range(3)] == ["cc-by-nc-sa", "agpl", "lgpl"]
+    for i, text in enumerate(texts):
+        labels, best = brute_statements(text)
+        assert (got[i].labels, round(got[i].score, 9)) == (",".join(labels), round(best, 9)), text
+
+
 # 6
 
 
