@@ -6,6 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from larkspur.catalog.registry import query, table
+from larkspur.sources import channel
 from larkspur.sources.work import new_path
 from larkspur.streaming import flows, keyed
 from larkspur.streaming.relay import RelayedTable, relay
@@ -115,3 +116,23 @@ def stream_relayed(spark, d):
         except StreamingQueryException:
             more()
     return out.read(rows.schema).drop("batch")
+
+
+@query("stream_channel", """
+SELECT 'all' AS reader, event_id, user_id, value FROM events UNION ALL
+SELECT 'late' AS reader, event_id, user_id, value FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS n FROM events) WHERE n > 500
+""")
+def stream_channel(spark, d):
+    """Events published in two parts and read by two readers: one connected all the time, one from message 500 on."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "value")
+    path, middle = new_path(spark, "channel"), rows.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    schema = "event_id long, user_id long, value double"
+    readers = {name: (RelayedTable(spark, new_path(spark, f"channel-{name}")), new_path(spark, "channel-checkpoint"), start) for name, start in (("all", 0), ("late", 500))}
+    parts = [rows.where(F.col("event_id") <= middle), rows.where(F.col("event_id") > middle)]
+    for part, names in zip(parts, (["all"], ["all", "late"])):
+        channel.publish(part, path, "event_id")
+        for name in names:
+            out, checkpoint, start = readers[name]
+            relay(channel.messages(spark, path, schema, start), {name: out}, checkpoint).start().awaitTermination()
+    every, late = (readers[n][0].read(f"offset long, {schema}").select(F.lit(n).alias("reader"), "event_id", "user_id", "value") for n in ("all", "late"))
+    return every.unionByName(late)
