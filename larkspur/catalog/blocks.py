@@ -64,14 +64,6 @@ def uploads_appended(spark, d):
     return views.appended_uploads(have, more, F.col("size") <= 10_485_760, F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
 
 
-_VARIABLES = [(0, "--bg-primary", "#fff"), (1, "--shadow-sm", "0 1px 2px rgba(0, 0, 0, 0.05)"), (2, "--a", "b")]
-
-
-@query("css_round_trip", f"SELECT name, value FROM (VALUES {values(_VARIABLES)}) AS t(pos, name, value)")
-def css_round_trip(spark, d):
-    return docs.css_variables(docs.css_text(spark.createDataFrame(_VARIABLES, "pos int, name string, value string"), "pos"), "css")
-
-
 @query("row_ids", "SELECT count(*) AS n, count(*) AS uuids, count(*) AS numbers FROM nation")
 def row_ids(spark, d):
     named = jobs.with_ids(table(spark, d, "nation")).withColumnRenamed("id", "uuid")

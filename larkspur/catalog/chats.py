@@ -185,14 +185,22 @@ def job_merged_state(spark, d):
     return jobs.merged(updates, "job_id", ["ts", "event_id"], ["progress", "status"])
 
 
-@query("job_progress_steps", f"SELECT * FROM (VALUES {values([(0, 'queued', 0), (1, 'started', 0), *[(i + 1, 'progress', 10 * i) for i in range(1, 11)], (12, 'completed', 100)])}) AS t(seq, status, progress)")
+_JOBS = "(SELECT DISTINCT user_id AS job_id FROM events)"
+
+
+def _jobs(spark, d):
+    """Each user's job."""
+    return table(spark, d, "events").select(F.col("user_id").alias("job_id")).distinct()
+
+
+@query("job_progress_steps", f"SELECT * FROM {_JOBS}, (VALUES {values([(0, 'queued', 0), (1, 'started', 0), *[(i + 1, 'progress', 10 * i) for i in range(1, 11)], (12, 'completed', 100)])}) AS t(seq, status, progress)")
 def job_progress_steps(spark, d):
-    return jobs.progress_steps(spark)
+    return _jobs(spark, d).join(F.broadcast(jobs.progress_steps(spark)))  # 13 rows
 
 
-@query("job_client_steps", f"SELECT * FROM (VALUES {values([(0, 'started', 10), *[(i, 'progress', 20 * i) for i in range(1, 5)], (5, 'completed', 100)])}) AS t(seq, status, progress)")
+@query("job_client_steps", f"SELECT * FROM {_JOBS}, (VALUES {values([(0, 'started', 10), *[(i, 'progress', 20 * i) for i in range(1, 5)], (5, 'completed', 100)])}) AS t(seq, status, progress)")
 def job_client_steps(spark, d):
-    return jobs.client_steps(spark)
+    return _jobs(spark, d).join(F.broadcast(jobs.client_steps(spark)))  # 6 rows
 
 
 @query("series_generator", "SELECT format('2024-01-{:02d}', i) AS date, true AS in_range FROM range(1, 61) AS t(i)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.catalog.registry import literal, query, table
+from larkspur.catalog.registry import literal, query, table, values
 from larkspur.functions import scalars
 from larkspur.operators import blocks, conversations as conv, documents as docs, profiling, search, views
 
@@ -284,3 +284,42 @@ def job_created_view(spark, d):
     made = views.job_created_view(rows)
     assert "error" not in made.columns
     return made.select("job_id", "status", F.try_variant_get("params", "$.k", "int").alias("days"), F.col("result").isNull().alias("no_result"))
+
+
+_NAME = "'--' || replace(lower(p_name), ' ', '-')"
+
+
+def _variables(spark, d):
+    return table(spark, d, "part").withColumn("name", F.concat(F.lit("--"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-"))))
+
+
+def _css(name, value):
+    return F.concat(F.lit(":root {\n  "), name, F.lit(": "), value, F.lit(" ;\n  color: red;\n  --h1: 2px;\n}"))
+
+
+@query("css_variables", f"""
+SELECT name, coalesce(new, old) AS value FROM (SELECT {_NAME} AS name, min(p_type) AS old FROM part GROUP BY 1)
+LEFT JOIN (SELECT {_NAME} AS name, max(p_brand) || ' solid' AS new FROM part WHERE p_size > 25 AND p_type <> 'PROMO' GROUP BY 1) USING (name)
+""")
+def css_variables(spark, d):
+    """Variables take the values of a text that was edited."""
+    parts = _variables(spark, d)
+    edits = parts.where("p_size > 25 AND p_type <> 'PROMO'").groupBy("name").agg(F.max("p_brand").alias("value"))
+    edited = docs.css_variables(edits.select(_css("name", F.concat("value", F.lit(" solid"))).alias("css")), "css")
+    return conv.patched(parts.groupBy("name").agg(F.min("p_type").alias("value")), edited, "name", ["value"])
+
+
+@query("css_round_trip", "SELECT '--' || lower(p_type) AS name, min(p_brand) || ' ' || count(*) AS value FROM part GROUP BY p_type")
+def css_round_trip(spark, d):
+    kinds = table(spark, d, "part").groupBy("p_type").agg(F.concat(F.min("p_brand"), F.lit(" "), F.count("*")).alias("value"))
+    rows = kinds.select(F.col("p_type").alias("pos"), F.concat(F.lit("--"), F.lower("p_type")).alias("name"), "value")
+    return docs.css_variables(docs.css_text(rows, "pos"), "css")
+
+
+SIZES = [(0, "0 Bytes"), (1, "1 Bytes"), (1023, "1023 Bytes"), (1536, "1.5 KB"), (2048, "2 KB"), (1048576, "1 MB"), (5242880, "5 MB"), (1610612736, "1.5 GB"), (1099511627776, None)]
+
+
+@query("file_size_format", f"SELECT p_partkey, size, shown FROM part JOIN (VALUES {values([(i, *s) for i, s in enumerate(SIZES)])}) AS t(i, size, shown) ON i = p_partkey % {len(SIZES)}")
+def file_size_format(spark, d):
+    size = F.get(F.array(*[F.lit(s).cast("long") for s, _ in SIZES]), (F.col("p_partkey") % len(SIZES)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", size.alias("size"), scalars.file_size(size).alias("shown"))

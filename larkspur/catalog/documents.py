@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.catalog.registry import literal, query, table, values
+from larkspur.catalog.registry import literal, query, table
 from larkspur.functions import scalars
-from larkspur.operators import conversations as conv, documents as docs
+from larkspur.operators import documents as docs
 
 _KINDS = ["click", "error", "login", "purchase", "view"]
 
@@ -45,14 +45,6 @@ def due_labels(spark, d):
     return table(spark, d, "orders").select("o_orderkey", scalars.due_label(F.col("o_orderdate"), as_of).alias("label"), scalars.is_overdue(F.col("o_orderdate"), as_of).alias("overdue"))
 
 
-SIZES = [(0, "0 Bytes"), (1, "1 Bytes"), (1023, "1023 Bytes"), (1536, "1.5 KB"), (2048, "2 KB"), (1048576, "1 MB"), (5242880, "5 MB"), (1610612736, "1.5 GB"), (1099511627776, None)]
-
-
-@query("file_size_format", f"SELECT * FROM (VALUES {values(SIZES)}) AS t(size, shown)")
-def file_size_format(spark, d):
-    return spark.createDataFrame([(s,) for s, _ in SIZES], "size long").select("size", scalars.file_size(F.col("size")).alias("shown"))
-
-
 @query("file_size_documents", """
 WITH s AS (SELECT doc_id, n_chars AS n, CASE WHEN n_chars >= 1024 THEN floor(n_chars / 1024.0::DOUBLE * 100 + 0.5) / 100 ELSE n_chars END AS v FROM documents)
 SELECT doc_id, CASE WHEN n = 0 THEN '0 Bytes' ELSE regexp_replace(printf('%.2f', v::DOUBLE), '\\.?0+$', '') || CASE WHEN n >= 1024 THEN ' KB' ELSE ' Bytes' END END AS shown FROM s
@@ -61,19 +53,6 @@ def file_size_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", scalars.file_size(F.col("n_chars")).alias("shown"))
 
 
-_CSS = ":root {\n  --bg-primary: #ffffff;\n  --shadow-sm: 0 1px 2px rgba(0, 0, 0, 0.05) ;\n  color: red;\n  --h1: 2px;\n}"
-_DEFAULTS = [("--bg-primary", "#000000"), ("--text-primary", "#353740"), ("--shadow-sm", "none")]
-
-
-@query("css_variables", f"""
-SELECT name, coalesce(new, old) AS value FROM (VALUES {values(_DEFAULTS)}) AS t(name, old)
-LEFT JOIN (VALUES ('--bg-primary', '#ffffff'), ('--shadow-sm', '0 1px 2px rgba(0, 0, 0, 0.05)')) AS u(name, new) USING (name)
-""")
-def css_variables(spark, d):
-    edited = docs.css_variables(spark.createDataFrame([(_CSS,)], "css string"), "css")
-    return conv.patched(spark.createDataFrame(_DEFAULTS, "name string, value string"), edited, "name", ["value"])
-
-
 @query("event_icons", f"""
 SELECT event_type, CASE event_type WHEN 'error' THEN '✗' ELSE '●' END AS icon, CASE event_type WHEN 'error' THEN '#ef4444' ELSE '#0088FE' END AS color, count(*) AS n FROM events GROUP BY event_type
 """)
