@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; all but the last return
 the columns of ``documents``.
+
+Defined cases: documents with a null or empty text are scored like any other, link with nothing, hold no benchmark item
+and are copied and placed by their 8 bytes; a null doc_id is carried along, learns no label, and is in no group of copies;
+a null source is a source of weight 1; repeated rows are one document in the n-gram join, which keeps one of them, and of
+different texts under one doc_id each stays if the doc_id does; texts of any length are read whole by every stage; an empty
+table gives an empty result; further columns of any name are carried to the end, unless they are called shard or slot.
 """
 
 from __future__ import annotations

@@ -218,6 +218,21 @@ def test_far_vectors_do_not_open_the_cells(spark, monkeypatch, far):
     assert sum(found) < 0.02 * 80 * len(v)
 
 
+def test_very_long_texts_are_read_to_their_ends(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    data = [(1, long, "a"), (2, long + " more", "a"), (3, "short text of a few words", "b")]
+    docs = spark.createDataFrame(data, DOCS + ", source string").repartition(2)
+    joined = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()}
+    assert joined == {1: (149_996, 1), 2: (149_997, 1), 3: (2, 3)}
+    kept = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert kept == {1: (150_000, 0), 2: (150_001, 150_000), 3: (6, 0)}
+    placed = sharding.shard(docs, 3, sharding.text_size("text"), sharding.text_key("text", "doc_id"))
+    assert sorted(r[0] for r in placed.select(F.length("text")).collect()) == sorted(len(t) for _, t, _ in data)
+    mixed = mixing.mix(docs, {"a": 1.0, "b": 1.0}).where("source = 'a'").select(F.md5("text").alias("h"), "doc_id").distinct().collect()
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.md5("text").alias("h")).collect()}
+    assert all(hashes[r.doc_id] == r.h for r in mixed)
+
+
 # all
 
 
