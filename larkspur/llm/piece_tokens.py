@@ -12,9 +12,10 @@ encoding of a prefix ends in exactly one token that fits behind the encoding of
    a vocabulary has a piece for which that fails, its pairs are merged in full.
 3. Prefixes. An automaton of all pieces finds those that end at each character; the one that fits behind the last token
    of the prefix before it is stored. Ids are recovered backwards from the end. Time is linear in the text.
-4. Characters in no piece are bytes; nothing merges with them. No piece goes on behind its leading spaces with another
-   space (checked when the table is made), so texts are cut before spaces and words are looked up once a task, up to
-   ``KNOWN`` of them at a time.
+4. Characters in no piece are bytes; nothing merges with them. Nothing merges across two characters that no piece has side
+   by side, so texts are cut there, by a table of pairs of bytes: before spaces, as no piece goes on behind its leading
+   spaces with another (checked when the table is made), around line ends and most punctuation. Arrow tells the words of
+   a megabyte of text apart, a task remembers up to ``KNOWN`` of them, and the others are encoded.
 
 Decoding puts the pieces' bytes one after the other and takes the space away that encoding had put in front.
 
@@ -27,21 +28,22 @@ unless they are named like the output, which then replaces them.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
-from larkspur.llm.common import Carried
+from larkspur.llm.common import Carried, small_batches
 
 SPACE = "▁"
-#: Words that a task remembers, and ids in a batch that it sends.
+#: Words that a task remembers, and bytes of text that it takes at a time.
 KNOWN, SENT = 1 << 18, 1 << 20
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 Part = tuple[str, float]
 
 
@@ -60,7 +62,8 @@ def merged(symbols: list[str], scores: dict[str, float]) -> tuple[list[str], tup
 @dataclass
 class Vocabulary:
     """Pieces by text with score and id; ends[piece]: what grows into it at its right and at its left end, from the first
-    character on, with scores; odd: pieces with a part that scores worse than they do."""
+    character on, with scores; odd: pieces with a part that scores worse than they do; beside: for two bytes (256 times
+    the first and the second), whether they may stand in one piece."""
 
     scores: dict[str, float]
     ids: dict[str, int]
@@ -69,6 +72,7 @@ class Vocabulary:
     rights: dict[str, list[Part]]
     lefts: dict[str, list[Part]]
     odd: set[str]
+    beside: np.ndarray
 
     @staticmethod
     def load(model_file: str) -> Vocabulary:
@@ -101,7 +105,12 @@ class Vocabulary:
             rights[piece], lefts[piece] = rights[right] + own, lefts[left] + own
             if any(p in odd or (len(p) > 1 and scores[p] < scores[piece]) for p in last):
                 odd.add(piece)
-        return Vocabulary(scores, ids, byte_ids, texts, rights, lefts, odd)
+        beside = np.zeros((256, 256), np.bool_)
+        beside[:, 0x80:0xC0] = True  # inside a character
+        for piece in scores:
+            data = np.frombuffer(piece.replace(SPACE, " ").encode(), np.uint8)
+            beside[data[:-1], data[1:]] = True
+        return Vocabulary(scores, ids, byte_ids, texts, rights, lefts, odd, beside.ravel())
 
     def fits(self, a: str, b: str) -> bool:
         """Whether greedy merging of the two tokens' text gives the two tokens."""
@@ -137,25 +146,29 @@ class Encoder:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def last_tokens(self, word: str) -> list[str | None]:
         """The last token of each prefix, from one character on; null where that is a character in no piece."""
         last: list[str | None] = [None] * len(word)
+        pairs = self.pairs
         for end, piece in self.automaton.iter(word):
-            if last[end] is not None:
-                continue
-            before = end - len(piece)
-            if before < 0 or last[before] is None or self._fits(last[before], piece):
+            if last[end] is None:
+                before = end - len(piece)
+                if before >= 0 and (left := last[before]) is not None:
+                    fits = pairs.get((left, piece))
+                    if fits is None:
+                        fits = self._fits(left, piece)
+                    if not fits:
+                        continue
                 last[end] = piece
         return last
 
     def _fits(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= KNOWN:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.v.fits(a, b)
+        if len(self.pairs) >= KNOWN:
+            self.pairs.clear()
+        found = self.pairs[a, b] = self.v.fits(a, b)
         return found
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -170,25 +183,55 @@ class Encoder:
                 at -= len(piece)
         return tuple(reversed(ids))
 
+    def known(self, word: str) -> tuple[int, ...]:
+        """The ids of a word with plain spaces. Of the words looked up before, those of late are kept."""
+        found = self.words.get(word)
+        if found is not None:
+            return found
+        found = self.older.pop(word, None) or self.word(word.replace(" ", SPACE))
+        if len(word) <= 64:
+            if len(self.words) >= max(KNOWN // 2, 1):
+                self.words, self.older = {}, self.words
+            self.words[word] = found
+        return found
+
+    def texts(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text. Equal words of them are looked up once."""
+        plain = pc.replace_substring(texts.fill_null(""), SPACE, " ")
+        spaced = pc.if_else(pc.equal(plain, ""), "", pc.binary_join_element_wise(" ", plain, ""))
+        _, offsets, data = spaced.buffers()
+        at = np.frombuffer(offsets, np.int32)[spaced.offset : spaced.offset + len(spaced) + 1]
+        if at[0] == at[-1]:
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
+        held = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        begins = np.zeros(len(held) + 1, np.bool_)
+        begins[1:-1] = ~self.v.beside[held[:-1].astype(np.uint16) << 8 | held[1:]]
+        begins[at] = True
+        starts = np.flatnonzero(begins[:-1])
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(held)).astype(np.int32)), pa.py_buffer(held)).dictionary_encode()
+        found = [self.known(w) for w in words.dictionary.to_pylist()]
+        ends = np.zeros(len(found) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), out=ends[1:])
+        each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(found), np.int32, ends[-1]))).take(words.indices)
+        return pa.ListArray.from_arrays(pa.array(np.asarray(each.offsets)[np.searchsorted(starts, at)]), each.values)
+
     def text(self, text: str) -> list[int]:
-        if not text:
-            return []
-        ids: list[int] = []
-        known = self.words
-        for word in WORD.findall(SPACE + text.replace(" ", SPACE)):
-            found = known.get(word)
-            if found is None:
-                found = self.word(word)
-                if len(known) >= KNOWN:
-                    known.clear()
-                if len(word) <= 64:
-                    known[word] = found
-            ids += found
-        return ids
+        return self.texts(pa.array([text], pa.string()))[0].as_py()
+
+
+def spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, count) of runs of rows that have fewer than ``SENT`` bytes beside their first row."""
+    if not len(sizes):
+        return
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SENT)) + 1
+    for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        yield first, end - first
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of a text, array<int>, without begin and end ids."""
+    small_batches(docs.sparkSession)
     held = Carried(docs, (ids.lower(),), docs["`" + text.replace("`", "``") + "`"].cast("string").alias("_text"))
     # bounded by the vocabulary, whatever the input
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
@@ -197,33 +240,45 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            rows, n, first = [], 0, 0
-            for i, value in enumerate(batch.column(batch.num_columns - 1)):
-                rows.append(encoder.text(value.as_py() or ""))
-                n += len(rows[-1])
-                if n >= SENT or i + 1 == batch.num_rows:
-                    some = batch.slice(first, len(rows)).columns[:-1]
-                    yield pa.RecordBatch.from_arrays([*some, pa.array(rows, pa.list_(pa.int32()))], schema.names)
-                    rows, n, first = [], 0, i + 1
+            for first, n in spans(np.asarray(pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0))):
+                *some, texts = batch.slice(first, n).columns
+                yield pa.RecordBatch.from_arrays([*some, encoder.texts(texts)], schema.names)
 
     return held.back(held.df.mapInArrow(run, schema), "ids").withColumnRenamed("ids", ids)
 
 
+def texts_of(ids: pa.ListArray, texts: pa.BinaryArray) -> pa.StringArray:
+    """The texts of lists of ids; the last of ``texts`` is that of a null id."""
+    parts = texts.take(ids.flatten().fill_null(len(texts) - 1))
+    ends = np.append(0, np.cumsum(np.asarray(pc.list_value_length(ids).fill_null(0))))
+    _, offsets, data = parts.buffers()
+    at = np.frombuffer(offsets, np.int32, len(parts) + 1)[ends]
+    held = np.frombuffer(data or b"", np.uint8)[: at[-1]]
+    led = at[:-1] < at[1:]
+    led[led] = held[at[:-1][led]] == 32
+    held = np.delete(held, at[:-1][led])
+    at[1:] -= np.cumsum(led, dtype=np.int32)
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(held)])
+    try:
+        return found.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are not UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+
+
 def decode(rows: DataFrame, model_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``rows`` with the text of the ids."""
+    small_batches(rows.sparkSession)
     held = Carried(rows, (decoded.lower(),))
     at = held.columns.index(held[ids])
-    shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file).texts)
+    # behind the pieces' bytes those of a null id
+    shared = rows.sparkSession.sparkContext.broadcast([*Vocabulary.load(model_file).texts, b""])
     schema = T.StructType([*held.df.schema.fields, T.StructField("decoded", T.StringType())])
 
-    def text_of(found: list[int | None] | None, texts: list[bytes]) -> str:
-        joined = b"".join([texts[i] for i in found or () if i is not None])
-        return joined[joined[:1] == b" " :].decode("utf-8", "replace")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = shared.value
+        texts = pa.array(shared.value, pa.binary())
         for batch in batches:
-            made = [text_of(row.as_py(), texts) for row in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], schema.names)
+            for first, n in spans(np.asarray(pc.list_value_length(batch.column(at)).fill_null(0)) * 8):
+                some = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*some.columns, texts_of(some.column(at), texts)], schema.names)
 
     return held.back(held.df.mapInArrow(run, schema), "decoded").withColumnRenamed("decoded", decoded)

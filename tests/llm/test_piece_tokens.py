@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -82,3 +84,56 @@ def test_vocabularies_with_ties_and_odd_orders(seed):
         word = "▁" + "".join(rng.choice("abc") for _ in range(rng.randrange(14)))
         assert [back[i] for i in encoder.word(word)] == piece_tokens.merged(list(word), made)[0]
     assert encoder.word("▁añb") == (*encoder.word("▁a"), 1000 + 0xC3, 1000 + 0xB1, *encoder.word("b"))
+
+
+def test_texts_are_cut_where_no_piece_goes_on(library, vocabulary):
+    """Words that stand beside many signs and line ends are encoded once; a text without spaces was one word before."""
+    encoder, calls = piece_tokens.Encoder(vocabulary), []
+    word = encoder.word
+    encoder.word = lambda w: calls.append(w) or word(w)
+    text = "".join(f"erheed{a}\nthnting{b}" for a in ".,!?" for b in ".,!?")
+    assert encoder.text(text) == library.encode(text)
+    assert len(calls) <= 20 and all(len(w) <= 12 for w in calls)
+
+
+def test_texts_side_by_side(library, vocabulary, monkeypatch):
+    """Texts of one batch, some of them null or empty, slices of it, and batches that are taken in several runs."""
+    texts = [*ODD, None, "", "a", " ", "a ", " a", "  ", "", None, "▁", "é▁", "\n", "x\n\n y"]
+    held = pa.array([None, "zz", *texts, "zz"], pa.string()).slice(2, len(texts))
+    want = [library.encode(t or "") for t in texts]
+    encoder = piece_tokens.Encoder(vocabulary)
+    ids = encoder.texts(held)
+    assert ids.to_pylist() == want
+    assert piece_tokens.texts_of(ids, pa.array([*vocabulary.texts, b""], pa.binary())).to_pylist() == [library.decode(w) for w in want]
+    assert encoder.texts(held.slice(3, 5)).to_pylist() == want[3:8]
+    monkeypatch.setattr(piece_tokens, "SENT", 10)
+    sizes = np.array([len((t or "").encode()) for t in texts])
+    runs = list(piece_tokens.spans(sizes))
+    assert len(runs) > 10 and [i for first, n in runs for i in range(first, first + n)] == list(range(len(texts)))
+    assert all(sizes[first + 1 : first + n].sum() < 10 for first, n in runs) and not list(piece_tokens.spans(sizes[:0]))
+
+
+def test_nothing_but_nulls_and_bytes_that_are_no_text(vocabulary):
+    texts = pa.array([*vocabulary.texts, b""], pa.binary())
+    rows = [None, [], [None], [vocabulary.byte_ids[0xFF], vocabulary.ids["▁a"]], [vocabulary.ids["▁a"], None, vocabulary.byte_ids[0xC3]]]
+    held = pa.array(rows, pa.list_(pa.int32()))
+    assert piece_tokens.texts_of(held, texts).to_pylist() == ["", "", "", "� a", "a�"]
+    assert piece_tokens.texts_of(held.slice(0, 3), texts).to_pylist() == ["", "", ""]
+    assert piece_tokens.Encoder(vocabulary).texts(pa.array([None, ""], pa.string())).to_pylist() == [[], []]
+
+
+def test_bigger_table_of_odd_texts(spark, library):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "" if i % 5 == 0 else f"some {i} words\nof {i % 13}.  and") for i in range(5000)], "doc_id long, text string").coalesce(1)
+    for r in piece_tokens.decode(piece_tokens.encode(df, MODEL), MODEL).collect():
+        assert r.ids == library.encode(r.text or "") and r.decoded == library.decode(r.ids)
+
+
+def test_words_of_late_stay_remembered(library, vocabulary, monkeypatch):
+    monkeypatch.setattr(piece_tokens, "KNOWN", 8)
+    encoder, calls = piece_tokens.Encoder(vocabulary), []
+    word = encoder.word
+    encoder.word = lambda w: calls.append(w) or word(w)
+    for i in range(60):
+        assert encoder.text(f"often w{i}x") == library.encode(f"often w{i}x")
+        assert len(encoder.words) + len(encoder.older) <= 8
+    assert calls.count("▁often") == 1
