@@ -7,7 +7,7 @@ from larkspur.operators import documents
 
 # (path, depth, kind, children) of an event with two tags
 NODES = [
-    ("$", 0, "object", 3), ("$.user", 1, "object", 4), ("$.metadata", 1, "object", 3), ("$.props", 1, "object", 1), ("$.user.id", 2, "number", 0), ("$.user.name", 2, "string", 0),
+    ("$", 0, "object", 3), ("$.user", 1, "object", 5), ("$.metadata", 1, "object", 3), ("$.props", 1, "object", 1), ("$.user.id", 2, "number", 0), ("$.user.name", 2, "string", 0), ("$.user.email", 2, "string", 0),
     ("$.user.preferences", 2, "object", 2), ("$.user.tags", 2, "array", 2), ("$.metadata.created", 2, "string", 0), ("$.metadata.updated", 2, "null", 0),
     ("$.metadata.history", 2, "array", 1), ("$.props.k", 2, "number", 0), ("$.user.preferences.theme", 3, "string", 0), ("$.user.preferences.notifications", 3, "boolean", 0),
     ("$.user.tags.0", 3, "string", 0), ("$.user.tags.1", 3, "string", 0), ("$.metadata.history.0", 3, "object", 2),
